@@ -16,7 +16,8 @@ seeds, at the same distance from their start.
    another suffix shares both nodes; its first occurrence by (doc_id, start) stays.
 4. Repeated windows return to their document, and the words they cover are removed.
 
-Words are compared by 64-bit hashes; a repeat needs all its words to agree.
+Seeds are compared by 64-bit hashes and words by 48 bits of theirs; a repeat needs all its words to
+agree.
 
 Defined results: null and empty texts have no words; a null doc_id sorts after all others; rows
 that repeat both doc_id and text are one occurrence, and each gets its row; texts that share a
@@ -36,6 +37,7 @@ from opalgrid.llm._store import stored
 from opalgrid.llm._text import BLANK, chunks, count_by_row, cover, gram_hashes, rows_of, spans, word_hashes
 
 WINDOW, SEED, GROUP = 20, 6, 50_000
+CODE_BYTES = 6  # of each word's hash in a suffix
 NO_ID = 2**63 - 1
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -102,18 +104,24 @@ def _suffix_task(window: int, seed: int):
             head = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
             place, far = places[head], place_last(starts, head)
             row = rows_of(bounds)[place]
+            near, reach = (place - far), (place - starts[head])
             padded = np.r_[np.zeros(left, np.uint64), codes, np.zeros(window, np.uint64)]
-            words = padded[place[:, None] + np.arange(left + window)]
-            width = words.shape[1] * 8
+            # words left of the seed and right of it, as far as the suffix's own windows reach
+            at = np.r_[np.arange(left), np.arange(window, window + left)]
+            words = padded[place[:, None] + at]
+            side = np.r_[np.arange(left, 0, -1), np.arange(seed + 1, window + 1)]
+            words[side > np.where(np.arange(len(at)) < left, reach[:, None], window - near[:, None])] = 0
+            packed = np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(len(words), -1, 8)[:, :, :CODE_BYTES])
+            width = packed.shape[1] * CODE_BYTES
             yield pa.record_batch(
                 {
                     "seed": pa.array(gram_hashes(codes, seed)[place].view(np.int64)),
                     "key": pa.array(rows.column("key").to_numpy()[row]),
                     "version": pa.array(rows.column("version").to_numpy()[row]),
                     "place": pa.array((place - bounds[row]).astype(np.int32)),
-                    "near": pa.array((place - far).astype(np.int32)),
-                    "far": pa.array((place - starts[head]).astype(np.int32)),
-                    "words": pa.Array.from_buffers(pa.binary(width), len(words), [None, pa.py_buffer(np.ascontiguousarray(words))]).cast(pa.binary()),
+                    "near": pa.array(near.astype(np.int32)),
+                    "far": pa.array(reach.astype(np.int32)),
+                    "words": pa.Array.from_buffers(pa.binary(width), len(words), [None, pa.py_buffer(packed)]).cast(pa.binary()),
                 }
             )
 
@@ -125,7 +133,7 @@ def place_last(starts: np.ndarray, head: np.ndarray) -> np.ndarray:
     return starts[np.r_[head[1:], len(starts)] - 1]
 
 
-def _node_ids(words: np.ndarray, start: np.ndarray):
+def _node_ids(words: np.ndarray):
     """Sorts rows of words; returns the order, ranks' longest common prefixes with their forerunner."""
     order = np.lexsort(words.T[::-1])
     s = words[order]
@@ -140,17 +148,19 @@ def _nodes_at(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(words: np.ndarray, key, version, place, near, far, window: int, seed: int):
-    """(row, start) of windows whose words also start earlier, within complete seed groups."""
+def repeated_windows(seeds, words: np.ndarray, key, version, place, near, far, window: int, seed: int):
+    """(row, start) of windows whose words also start earlier, within complete seed groups.
+
+    words: the window - seed words left of each seed and as many right of it."""
     left = window - seed
-    right_order, right_lcp = _node_ids(words[:, left:], None)
-    left_order, left_lcp = _node_ids(words[:, :left][:, ::-1], None)
+    right_order, right_lcp = _node_ids(np.column_stack([seeds, words[:, left:]]))
+    left_order, left_lcp = _node_ids(words[:, :left][:, ::-1])
     rows, starts = [], []
     for d in range(left + 1):
         owner = np.flatnonzero((near <= d) & (d <= far))
         if len(owner) < 2:
             continue
-        a = _nodes_at(right_order, right_lcp, window - d)[owner]
+        a = _nodes_at(right_order, right_lcp, 1 + window - d - seed)[owner]  # the seed counts as one
         b = _nodes_at(left_order, left_lcp, d)[owner] if d else np.zeros(len(owner), np.int64)
         node = a * (len(words) + 1) + b
         start = place[owner] - d
@@ -167,13 +177,15 @@ def repeated_windows(words: np.ndarray, key, version, place, near, far, window:
 
 
 def _tree_task(window: int, seed: int, group: int):
-    width = 2 * window - seed
-
     def solve(table: pa.Table):
         table = table.combine_chunks()
-        words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64).reshape(-1, width)
+        packed = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(table.num_rows, -1, CODE_BYTES)
+        words = np.zeros((*packed.shape[:2], 8), np.uint8)
+        words[:, :, :CODE_BYTES] = packed
+        words = words.view("<u8")[:, :, 0]
+        seeds = table.column("seed").to_numpy().view(np.uint64)
         key, version, place, near, far = (table.column(c).to_numpy() for c in ("key", "version", "place", "near", "far"))
-        rows, starts = repeated_windows(words, key, version, place.astype(np.int64), near, far, window, seed)
+        rows, starts = repeated_windows(seeds, words, key, version, place.astype(np.int64), near, far, window, seed)
         return _packed(key[rows], version[rows], starts)
 
     def run(batches):
@@ -271,27 +283,36 @@ def _keyed(documents: DataFrame) -> DataFrame:
     )
 
 
-def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """(key, version, starts): words at which repeated windows of a text start, packed as int32."""
-    docs = _keyed(documents)
+def _repeated_seeds(docs: DataFrame, window: int, seed: int, group: int) -> DataFrame:
+    """(key, light, heavy): places of seeds that occur again, in groups that fit a task or not."""
     seeds = docs.select("key", "text").mapInArrow(_seed_task(window, seed), "seed long, key long, place int")
     counted = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
-    found = seeds.join(counted, "seed").groupBy("key").agg(F.collect_set(F.when(F.col("n") <= group, F.col("place"))).alias("light"), F.collect_set(F.when(F.col("n") > group, F.col("place"))).alias("heavy"))
-    found = stored(found, "seeds")
-
-    def places(kind: str) -> DataFrame:
-        listed = found.where(F.size(kind) > 0).select("key", F.col(kind).alias("places"))
-        return docs.select("key", "version", "text").join(listed, "key")
-
-    light = places("light").mapInArrow(_suffix_task(window, seed), "seed long, key long, version long, place int, near int, far int, words binary")
-    light = light.repartition("seed").sortWithinPartitions("seed").mapInArrow(_tree_task(window, seed, group), "key long, version long, starts binary")
-    if found.where(F.size("heavy") > 0).isEmpty():
-        return stored(light, "repeats")
-    each = places("heavy").mapInArrow(_window_task(window, seed), "prefix long, key long, version long, start int")
+    light, heavy = F.when(F.col("n") <= group, F.col("place")), F.when(F.col("n") > group, F.col("place"))
+    return seeds.join(counted, "seed").groupBy("key").agg(F.collect_set(light).alias("light"), F.collect_set(heavy).alias("heavy"))
+
+
+def _light_repeats(docs: DataFrame, listed: DataFrame, window: int, seed: int, group: int) -> DataFrame:
+    suffixes = docs.join(listed, "key").mapInArrow(_suffix_task(window, seed), "seed long, key long, version long, place int, near int, far int, words binary")
+    return suffixes.repartition("seed").sortWithinPartitions("seed").mapInArrow(_tree_task(window, seed, group), "key long, version long, starts binary")
+
+
+def _heavy_repeats(docs: DataFrame, listed: DataFrame, window: int, seed: int) -> DataFrame:
+    each = docs.join(listed, "key").mapInArrow(_window_task(window, seed), "prefix long, key long, version long, start int")
     firsts = each.groupBy("prefix").agg(F.min(F.struct("key", "start", "version")).alias("first"))
     again = each.join(firsts, "prefix").where(F.struct("key", "start", "version") != F.col("first"))
-    again = again.select("key", "version", "start").mapInArrow(_pack_task, "key long, version long, starts binary")
-    return stored(light.union(again), "repeats")
+    return again.select("key", "version", "start").mapInArrow(_pack_task, "key long, version long, starts binary")
+
+
+def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(key, version, starts): words at which repeated windows of a text start, packed as int32."""
+    docs = _keyed(documents).select("key", "version", "text")
+    # each step is written before the next, so that its shuffle files can go
+    found = stored(_repeated_seeds(docs, window, seed, group), "seeds")
+    light = stored(_light_repeats(docs, found.where(F.size("light") > 0).select("key", F.col("light").alias("places")), window, seed, group), "light")
+    heavy = found.where(F.size("heavy") > 0).select("key", F.col("heavy").alias("places"))
+    if heavy.isEmpty():
+        return light
+    return light.union(stored(_heavy_repeats(docs, heavy, window, seed), "heavy"))
 
 
 def _pack_task(batches):
