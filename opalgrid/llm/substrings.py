@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from opalgrid.llm._store import stored
 from opalgrid.llm._text import BLANK, chunks, count_by_row, cover, gram_hashes, rows_of, spans, word_hashes
 
-WINDOW, SEED, GROUP = 20, 6, 50_000
+WINDOW, SEED, GROUP = 20, 9, 50_000
 CODE_BYTES = 6  # of each word's hash in a suffix
 NO_ID = 2**63 - 1
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
