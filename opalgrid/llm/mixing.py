@@ -108,7 +108,7 @@ def plan(documents: DataFrame, **options) -> DataFrame:
 def _sized_task(batches):
     for rows, data, offsets in chunks(batches):
         _, _, bounds = spans(data, offsets, BLANK)
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(bounds), pa.int64())], names=[*rows.schema.names, "mix_size"])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(bounds), pa.int64())], names=[*rows.schema.names, "__mix_size"])
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
@@ -119,15 +119,15 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     """
     sized = stored(word_sizes(documents), "sizes")
     found = copies(sized, **options).where("mix_copies > 0")
-    total = found.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("mix_copies")).alias("mix_list"))
-    total = total.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_length"), "mix_list")
+    total = found.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("mix_copies")).alias("__mix_list"))
+    total = total.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_length"), "__mix_list")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    docs = documents.mapInArrow(_sized_task, f"{fields}, mix_size long")
-    joined = docs.join(total, (F.col("doc_id").eqNullSafe(F.col("mix_id"))) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_size") == F.col("mix_length")))
+    docs = documents.mapInArrow(_sized_task, f"{fields}, __mix_size long")
+    joined = docs.join(total, (F.col("doc_id").eqNullSafe(F.col("__mix_id"))) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_length")))
     repeated = sized.groupBy("doc_id", "source", "size").count().where("count > 1")
     if repeated.isEmpty():
-        joined = joined.withColumn("mix_rank", F.lit(1))
+        joined = joined.withColumn("__mix_rank", F.lit(1))
     else:
-        joined = joined.withColumn("mix_rank", F.row_number().over(Window.partitionBy("doc_id", "source", "mix_size").orderBy("doc_id")))
-    joined = joined.withColumn("mix_times", F.coalesce(F.try_element_at("mix_list", F.col("mix_rank")), F.lit(0)))
-    return joined.where("mix_times > 0").select(*[F.col(f"`{c}`") for c in documents.columns], F.explode(F.sequence(F.lit(0), F.col("mix_times").cast("int") - 1)).alias("mix_copy"))
+        joined = joined.withColumn("__mix_rank", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_size").orderBy("doc_id")))
+    joined = joined.withColumn("__mix_times", F.coalesce(F.try_element_at("__mix_list", F.col("__mix_rank")), F.lit(0)))
+    return joined.where("__mix_times > 0").select(*[F.col(f"`{c}`") for c in documents.columns], F.explode(F.sequence(F.lit(0), F.col("__mix_times").cast("int") - 1)).alias("mix_copy"))

@@ -131,13 +131,13 @@ def _luhn(digits: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), n - 1), F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
-def _name(kind: Column, stream: Column, form: Column) -> Column:
+def _name(kind: Column, stream: Column, turn: Column) -> Column:
     def built(script, ending):
         syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         n = len(SYLLABLES[script])
         picks = [F.element_at(syllables, F.pmod(_value(stream, F.lit(2 * k + 1)) * 256 + _value(stream, F.lit(2 * k + 2)), F.lit(n)) + 1) for k in range(4)]
-        # a longer name for later rounds keeps the supply unbounded
-        return F.initcap(F.concat(*picks, F.lit(ending)))
+        more = F.array_join(F.slice(F.array(*picks), F.lit(1), F.least(F.lit(4), F.greatest(F.lit(0), turn - 3))), "")
+        return F.initcap(F.concat(*picks, more, F.lit(ending)))  # longer names for later rounds
 
     out = F.lit(None).cast("string")
     for (script, sort), ending in ENDINGS.items():
@@ -163,8 +163,9 @@ def surrogate(kind: Column, form: Column, turn: Column, key: str = KEY) -> Colum
         .when(kind == "aws", _reshape(form, s, F.lit(4)))
         .when(kind == "hex", _reshape(form, s, F.lit(0), True))
         .when(kind == "iban", _reshape(form, s, F.lit(2)))
-        .when(kind.contains(":"), _name(kind, s, form))
-        .otherwise(_reshape(form, s, F.lit(0)))
+        .when(kind.contains(":"), _name(kind, s, turn))
+        # a secret grows in later rounds, as short ones can run out
+        .otherwise(F.concat(_reshape(form, s, F.lit(0)), F.substring(s, F.lit(1), F.greatest(F.lit(0), turn - 7))))
     )
 
 
@@ -215,19 +216,19 @@ def mask(documents: DataFrame, key: str = KEY, count: str | None = None) -> Data
     text = F.col("text").cast("string")
     tokens = F.when(_maybe(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     held = F.coalesce(F.size(tokens), F.lit(0)) > 0
-    some = documents.select("*", F.xxhash64(text).alias("pii_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("pii_b"), tokens.alias("pii_tokens")).where("size(pii_tokens) > 0")
-    found = some.select("pii_a", "pii_b", F.explode(F.flatten(F.transform("pii_tokens", _parts))).alias("e")).select("pii_a", "pii_b", "e.kind", "e.form").distinct()
+    some = documents.select("*", F.xxhash64(text).alias("__pii_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("__pii_b"), tokens.alias("__pii_tokens")).where("size(__pii_tokens) > 0")
+    found = some.select("__pii_a", "__pii_b", F.explode(F.flatten(F.transform("__pii_tokens", _parts))).alias("e")).select("__pii_a", "__pii_b", "e.kind", "e.form").distinct()
     found = stored(found, "entities")
     names = assign(found.select("kind", "form").distinct(), key)
     entry = F.struct(F.concat("kind", F.lit("\x1f"), "form"), "surrogate")
-    maps = found.join(names, ["kind", "form"]).groupBy("pii_a", "pii_b").agg(F.map_from_entries(F.collect_list(entry)).alias("pii_names"))
-    joined = some.join(maps, ["pii_a", "pii_b"])
+    maps = found.join(names, ["kind", "form"]).groupBy("__pii_a", "__pii_b").agg(F.map_from_entries(F.collect_list(entry)).alias("__pii_names"))
+    joined = some.join(maps, ["__pii_a", "__pii_b"])
     between = F.split(text, PATTERN, -1)
-    masked = F.array_join(F.zip_with(between, F.transform("pii_tokens", lambda t: _render(t, F.col("pii_names"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    masked = F.array_join(F.zip_with(between, F.transform("__pii_tokens", lambda t: _render(t, F.col("__pii_names"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
     def out(df: DataFrame, new: Column, number: Column) -> DataFrame:
-        df = df.withColumn("pii_new", new).withColumn("pii_number", number)
-        columns = [F.col("pii_new").alias("text") if c == "text" else F.length("pii_new").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
-        return df.select(*columns, *([F.col("pii_number").alias(count)] if count else []))
+        df = df.withColumn("__pii_new", new).withColumn("__pii_number", number)
+        columns = [F.col("__pii_new").alias("text") if c == "text" else F.length("__pii_new").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
+        return df.select(*columns, *([F.col("__pii_number").alias(count)] if count else []))
 
-    return out(joined, masked, F.size("pii_tokens").cast("long")).unionByName(out(documents.where(~held), text, F.lit(0).cast("long")))
+    return out(joined, masked, F.size("__pii_tokens").cast("long")).unionByName(out(documents.where(~held), text, F.lit(0).cast("long")))

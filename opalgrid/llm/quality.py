@@ -79,7 +79,7 @@ def _measure_task(keep: bool):
             found = measure(data, offsets)
             columns = [pa.array(x, pa.bool_() if i == 5 else pa.int64()) for i, x in enumerate(found)]
             kept = rows if keep else rows.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, *(f"q_{c}" for c in COLUMNS)])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, *(f"__q_{c}" for c in COLUMNS)])
 
     return run
 
@@ -89,7 +89,7 @@ def _fields(df: DataFrame, without=()) -> str:
 
 
 def _measured(df: DataFrame, keep: bool) -> DataFrame:
-    measures = ", ".join("q_" + m.strip() for m in MEASURES.split(","))
+    measures = ", ".join("__q_" + m.strip() for m in MEASURES.split(","))
     return df.mapInArrow(_measure_task(keep), f"{_fields(df, () if keep else ('text',))}, {measures}")
 
 
@@ -99,7 +99,7 @@ def host_verdicts(documents: DataFrame, host: str = "source", limit: float = HOS
     The prior's mean is the corpus failure rate; its strength comes from the variance of the hosts'
     rates (method of moments), at least 1 and at most 1000 documents."""
     texts = documents.select(F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    counts = _measured(texts, False).groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("q_base_failed").cast("long")).alias("failed"))
+    counts = _measured(texts, False).groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("__q_base_failed").cast("long")).alias("failed"))
     total = counts.agg(F.sum("host_docs").alias("n"), F.sum("failed").alias("f"), F.count("*").alias("hosts"), F.sum(F.col("failed") * F.col("failed") / F.col("host_docs")).alias("ff"))
     n, f, hosts, ff = total.first()
     strength, mean = 1.0, 0.5
@@ -117,14 +117,14 @@ def host_verdicts(documents: DataFrame, host: str = "source", limit: float = HOS
 def judge(documents: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, the measures, base_failed, kept and host_rate of each row of documents."""
     verdicts = host_verdicts(documents, host, limit)
-    rows = _measured(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("q_host"), F.col("text").cast("string").alias("text")), False)
-    joined = rows.join(verdicts, F.col("q_host").eqNullSafe(F.col("host")), "left")
-    kept = ~F.col("q_base_failed") & ~F.coalesce("host_bad", F.lit(False))
-    return joined.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in COLUMNS], kept.alias("kept"), "host_rate")
+    rows = _measured(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("__q_host"), F.col("text").cast("string").alias("text")), False)
+    joined = rows.join(verdicts, F.col("__q_host").eqNullSafe(F.col("host")), "left")
+    kept = ~F.col("__q_base_failed") & ~F.coalesce("host_bad", F.lit(False))
+    return joined.select("doc_id", *[F.col(f"__q_{c}").alias(c) for c in COLUMNS], kept.alias("kept"), "host_rate")
 
 
 def keep_good(documents: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of documents that no rule rejects, with all their columns."""
-    bad = host_verdicts(documents, host, limit).where("host_bad").select(F.col("host").alias("q_bad"))
-    good = _measured(documents, True).where("not q_base_failed")
-    return good.join(bad, F.col(host).cast("string").eqNullSafe(F.col("q_bad")), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    bad = host_verdicts(documents, host, limit).where("host_bad").select(F.col("host").alias("__q_bad"))
+    good = _measured(documents, True).where("not __q_base_failed")
+    return good.join(bad, F.col(host).cast("string").eqNullSafe(F.col("__q_bad")), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
