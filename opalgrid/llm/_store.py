@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict = {}
 
 
@@ -40,13 +41,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; Spark drops the shuffle files of the write when it has finished."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df once and reads it back: cuts lineage, and lets the shuffle files before it go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the cleaner drops shuffle files of collected plans
+    spark.sparkContext._jvm.System.gc()  # the cleaner drops what counts and look-ups have shuffled
     return out
