@@ -308,11 +308,10 @@ def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, group:
     docs = _keyed(documents).select("key", "version", "text")
     # each step is written before the next, so that its shuffle files can go
     found = stored(_repeated_seeds(docs, window, seed, group), "seeds")
-    light = stored(_light_repeats(docs, found.where(F.size("light") > 0).select("key", F.col("light").alias("places")), window, seed, group), "light")
+    light = _light_repeats(docs, found.where(F.size("light") > 0).select("key", F.col("light").alias("places")), window, seed, group)
     heavy = found.where(F.size("heavy") > 0).select("key", F.col("heavy").alias("places"))
-    if heavy.isEmpty():
-        return light
-    return light.union(stored(_heavy_repeats(docs, heavy, window, seed), "heavy"))
+    # in one plan, so that both read one shuffle of the texts
+    return stored(light if heavy.isEmpty() else light.union(_heavy_repeats(docs, heavy, window, seed)), "repeats")
 
 
 def _pack_task(batches):
