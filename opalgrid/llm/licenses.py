@@ -129,15 +129,16 @@ def automaton(base: dict[str, str], phrases: dict[str, str]):
 def scan(line: str, text, machine) -> tuple:
     """(n_base, first, last, base labels, labels, score) of a line of words with blanks around;
     text() gives the raw text where a tag needs it."""
-    places, base, labels, score = [], set(), set(), 0.0
+    places, base, labels, score, tagged = [], set(), set(), 0.0, False
     for end, (length, entries) in machine.iter(line):
         for words, label, own in entries:
             if label is None:
-                for expression in TAG_LINE.findall(text()):
+                for expression in () if tagged else TAG_LINE.findall(text()):
                     rpn, good = parse_expression(expression)
                     names = expression_licences(rpn)
                     labels.update(names)
                     score = max(score, 1.0 if good else 0.8 if names else 0.0)
+                tagged = True  # one pass reads all tags of a text
                 continue
             labels.add(label)
             if own:
