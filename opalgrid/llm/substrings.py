@@ -286,7 +286,8 @@ def _keyed(documents: DataFrame) -> DataFrame:
 def _repeated_seeds(docs: DataFrame, window: int, seed: int, group: int) -> DataFrame:
     """(key, light, heavy): places of seeds that occur again, in groups that fit a task or not."""
     seeds = docs.select("key", "text").mapInArrow(_seed_task(window, seed), "seed long, key long, place int")
-    counted = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join's sides are plain shuffles, which Spark splits where a seed is hot
+    counted = stored(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     light, heavy = F.when(F.col("n") <= group, F.col("place")), F.when(F.col("n") > group, F.col("place"))
     return seeds.join(counted, "seed").groupBy("key").agg(F.collect_set(light).alias("light"), F.collect_set(heavy).alias("heavy"))
 
