@@ -28,9 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalgrid.llm._store import fresh_path
+from opalgrid.llm._store import fresh_path, stored
 
 REVISIT_BYTES, FILE_BYTES, READ_BYTES, LEVEL = 1000, 16 << 20, 16 << 10, 3
+BROADCAST_ROWS = 200_000  # repeated payloads (a digest and an id each) that may be sent to every task
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 64 << 10, 256, 16 << 10
 SKIPPABLE = 0x184D2A5D
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -158,13 +159,16 @@ def _write_task(path: str, dictionary: bytes, date: str):
     return run
 
 
-def planned(pages: DataFrame) -> DataFrame:
+def planned(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, html, digest, kind and refers_to of the records to write."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("large", F.octet_length("html") >= REVISIT_BYTES)
-    latest = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").select("digest", "latest")
-    joined = rows.join(latest.withColumn("large", F.lit(True)), ["digest", "large"], "left")
+    latest = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1")
+    latest = stored(latest.select("digest", "latest", F.lit(True).alias("large")), "latest")
+    # few enough repeats leave the pages where they are; more of them meet the pages in a shuffle
+    few = latest.count() <= broadcast_rows
+    joined = rows.join(F.broadcast(latest) if few else latest, ["digest", "large"], "left")
     again = F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
     return joined.select("page_id", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("latest")).alias("refers_to"))
 

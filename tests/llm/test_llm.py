@@ -205,6 +205,8 @@ def test_warc(spark):
     got = warc.round_trip(pages)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    plans = [sorted(map(tuple, warc.planned(pages, n).drop("html").collect()), key=str) for n in (0, 1000)]
+    assert plans[0] == plans[1]  # shuffled and broadcast
 
 
 def test_warc_rejects_broken_archives():
