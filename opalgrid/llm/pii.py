@@ -214,9 +214,10 @@ def mask(documents: DataFrame, key: str = KEY, count: str | None = None) -> Data
 
     A column n_chars, where there is one, is set to the new length."""
     text = F.col("text").cast("string")
-    tokens = F.when(_maybe(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    held = F.coalesce(F.size(tokens), F.lit(0)) > 0
-    some = documents.select("*", F.xxhash64(text).alias("__pii_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("__pii_b"), tokens.alias("__pii_tokens")).where("size(__pii_tokens) > 0")
+    tokens = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    # the test ends at the first entity, where a test of the tokens would look for all of them again
+    held = F.coalesce(_maybe(text) & text.rlike(PATTERN), F.lit(False))
+    some = documents.where(held).select("*", F.xxhash64(text).alias("__pii_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("__pii_b"), tokens.alias("__pii_tokens"))
     found = some.select("__pii_a", "__pii_b", F.explode(F.flatten(F.transform("__pii_tokens", _parts))).alias("e")).select("__pii_a", "__pii_b", "e.kind", "e.form").distinct()
     found = stored(found, "entities")
     names = assign(found.select("kind", "form").distinct(), key)
