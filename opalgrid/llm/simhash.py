@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalgrid.llm._store import stored
@@ -63,7 +63,8 @@ def _fingerprint_task(shingle: int, seed: int):
         for rows, data, offsets in chunks(batches):
             raw, at = data.tobytes(), offsets.tolist()
             prints = fingerprints_of([raw[a:b] for a, b in zip(at, at[1:])], shingle, seed)
-            yield pa.record_batch({"doc_id": rows.column("doc_id"), "print": pa.array(prints.view(np.int64))})
+            kept = {c: rows.column(c) for c in rows.schema.names if c != "text"}
+            yield pa.record_batch(kept | {"print": pa.array(prints.view(np.int64))})
 
     return run
 
@@ -163,25 +164,45 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return both.mapInArrow(_compare_task(radius), "u long, v long")
 
 
+def _filed(prints: DataFrame, order: Column, radius: int, block: int) -> DataFrame:
+    """(print, least, root) of each distinct fingerprint: the least of its rows in an order, and its
+    component."""
+    distinct = stored(prints.groupBy("print").agg(F.min(order).alias("least")), "distinct")
+    roots = components(links(distinct.select("print"), radius, block))
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of documents."""
     prints = stored(fingerprints(documents, shingle, seed), "prints")
-    distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("print"), radius, block))
-    filed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    filed = _filed(prints, F.col("doc_id"), radius, block)
     ids = filed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = filed.join(ids, "root").select("print", "component_id")
     digits = F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint")
     return prints.join(named, "print").select("doc_id", digits, "component_id")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """Rows of documents without near-duplicates: of each component the row with the smallest
-    doc_id stays (one row, where rows repeat it); a row without doc_id goes if its component has
-    one, else it stays.  All columns are kept."""
-    found = stored(near_duplicates(documents, **options), "components")
-    extra = found.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
-    gone = extra.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__gone")).distinct()
-    kept = documents.join(gone, F.coalesce(documents["doc_id"].cast("long"), F.lit(-(2**63))) == gone["__gone"], "left_anti")
-    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """One row of each component of near-duplicates: the one with the smallest doc_id (null last),
+    among rows of one doc_id the one with the smallest hash of its text, and any one of the rows
+    that agree in both.  All columns are kept."""
+    text = F.col("text").cast("string")
+    key = {"near_id": F.col("doc_id").cast("long"), "near_a": F.xxhash64(text), "near_b": F.xxhash64(F.lit(1), text, F.length(text))}
+    # rows of one key have one text, so one fingerprint: what is decided for a key holds for its rows
+    keyed = documents.select(*[c.alias(k) for k, c in key.items()], text.alias("text"))
+    prints = stored(keyed.mapInArrow(_fingerprint_task(shingle, seed), "near_id long, near_a long, near_b long, print long"), "prints")
+    order = F.struct(F.col("near_id").isNull().alias("without_id"), *key)
+    filed = _filed(prints, order, radius, block)
+    first = filed.groupBy("root").agg(F.min("least").alias("first"))
+    named = filed.join(first, "root").select("print", "first")
+    found = stored(prints.join(named, "print").select(*key, order.eqNullSafe(F.col("first")).alias("stays")), "components")
+    gone = found.where("not stays").select(*[F.col(k).alias(f"__gone_{k}") for k in key]).distinct()
+    marked = documents.select("*", *[c.alias(f"__{k}") for k, c in key.items()])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"__{k}").eqNullSafe(F.col(f"__gone_{k}"))
+    kept = marked.join(gone, same, "left_anti")
+    repeated = found.where("stays").groupBy(*key).count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([f"__{k}" for k in key])
+    return kept.drop(*[f"__{k}" for k in key])

@@ -107,6 +107,15 @@ def test_simhash(docs, rows, none, block):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    """Rows without doc_id or with one that repeats go only for their own component."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    table = [(1, texts["a"]), (None, texts["a"]), (None, texts["b"]), (None, texts["c"]), (None, texts["c"]), (2, texts["d"]), (2, texts["e"]), (3, texts["d"]), (0, texts["e"]), (4, texts["f"]), (4, texts["f"])]
+    kept = simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    want = [(1, "a"), (None, "b"), (None, "c"), (2, "d"), (0, "e"), (4, "f")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(((i, texts[k]) for i, k in want), key=str)
+
+
 def test_forest_finds_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
