@@ -29,18 +29,19 @@ KEY, ROUNDS = "opalgrid", 32
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Г-жа")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-# In this order; the first that fits at a place wins.
+# In this order; the first that fits at a place wins.  Only kinds with a length of their own have an
+# upper limit; the others take a whole token, possessively, so that long ones need no backtracking.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "aws": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<=password[=:]|passwd[=:]|pwd[=:]|secret[=:]|api_key[=:]))[^\s\"',;]{4,128}",
-    "hex": r"(?<![A-Za-z0-9])(?=[a-f]{0,63}\d)[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "secret": r"(?i:(?<=password[=:]|passwd[=:]|pwd[=:]|secret[=:]|api_key[=:]))[^\s\"',;]{4,}+",
+    "hex": r"(?<![A-Za-z0-9])(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}{{1,24}}(?: \p{{Lu}}\p{{Ll}}{{1,24}})?(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Syllables of the surrogate names, by script.
@@ -70,7 +71,7 @@ def _type(token: Column) -> Column:
         .when(only & token.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(only & ~token.rlike(r"[+(.]") & digits.between(13, 19), "card")
         .when(only & (digits >= 7) & token.rlike(r"^[+(\d]"), "phone")
-        .when(token.rlike(r"^[0-9a-f]{32,64}$"), "hex")
+        .when(token.rlike(r"^[0-9a-f]{32,}+$"), "hex")
         .when(token.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
         .otherwise("secret")
     )
@@ -109,13 +110,15 @@ def _reshape(form: Column, stream: Column, keep: Column, hexadecimal: bool = Fal
     """Each letter or digit after the first ``keep`` characters becomes another of its class."""
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
-    def one(p):
-        c, v = F.substring(form, p, F.lit(1)), _value(stream, p)
+    def one(c, i):
+        p = i + 1
+        v = _value(stream, p)
         if hexadecimal:
             return F.when(p <= keep, c).otherwise(_pick("0123456789abcdef", v))
         return F.when(p <= keep, c).when(c.rlike("[a-z]"), _pick(lower, v)).when(c.rlike("[A-Z]"), _pick(upper, v)).when(c.rlike("[0-9]"), _pick(digit, v)).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
+    # characters as an array: to look each up by its place takes the square of the length
+    return F.array_join(F.transform(F.regexp_extract_all(form, F.lit("(?s)."), F.lit(0)), one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -147,7 +150,11 @@ def _name(kind: Column, stream: Column, turn: Column) -> Column:
 
 def surrogate(kind: Column, form: Column, turn: Column, key: str = KEY) -> Column:
     """The surrogate of a normal form in a round."""
-    s = _stream(key, kind, form, turn)
+    # bound by a lambda, or the digests would be taken again for each character
+    return F.element_at(F.transform(F.array(_stream(key, kind, form, turn)), lambda s: _from_stream(kind, form, turn, s)), 1)
+
+
+def _from_stream(kind: Column, form: Column, turn: Column, s: Column) -> Column:
     digits = _reshape(form, s, F.lit(1))
     country = F.greatest(F.lit(0), F.length(form) - 10)
     octets = F.concat_ws(".", *[(F.pmod(_value(s, F.lit(2 * k + 1)) * 256 + _value(s, F.lit(2 * k + 2)), F.lit(222 if k == 0 else 254)) + 1).cast("string") for k in range(4)])

@@ -291,6 +291,18 @@ def test_pii(spark, docs, none):
     assert other[1] != out
 
 
+def test_pii_takes_whole_tokens(spark):
+    secret, digits = "aZ3-😀" * 60, "0123456789abcdef" * 8
+    local, labels, name = "q" * 90, ".sub" * 12, "A" + "b" * 40
+    texts = [f"password={secret} end", f"key {digits} end", f"to {local}@{'h' * 70}{labels}.com end", f"Mr. {name} {name} end", f"api_key={'k' * 20000} end"]
+    got = [r.text for r in pii.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(g.endswith(" end") and g.split()[0].split("=")[0] == t.split()[0].split("=")[0] for g, t in zip(got, texts))
+    assert re.fullmatch("([a-z][A-Z][0-9]-😀){60}", got[0][9:-4]) and secret[:10] not in got[0]
+    assert re.fullmatch("[0-9a-f]{128}", got[1][4:-4]) and digits[:16] not in got[1]
+    assert re.fullmatch(r"[a-z]{90}@[a-z]{70}(\.[a-z]{3}){12}\.com", got[2][3:-4]) and "qqqq" not in got[2] and ".sub.sub" not in got[2]
+    assert "bbbb" not in got[3] and len(got[4]) == len(texts[4]) and "kkkkkk" not in got[4]
+
+
 def test_surrogates_stay_apart(spark):
     """A domain so small that first choices must collide."""
     from pyspark.sql import functions as F
