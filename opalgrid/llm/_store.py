@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+BROADCAST_ROWS = 200_000  # rows of a few numbers or short strings that may be sent to every task
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict = {}
 
@@ -52,13 +53,37 @@ def write(df: DataFrame, path: str) -> None:
         conf.set(FREE_SHUFFLES, before)
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables that are stored inside go at its end; what is read from them must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df once and reads it back: cuts lineage, and lets the shuffle files before it go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the cleaner drops what counts and look-ups have shuffled
+    out.stored_at = path
+    for paths in _OPEN[-1:]:
+        paths.append(path)
     return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a stored table that nothing will read again."""
+    _remove(df.sparkSession, df.stored_at)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for sending to every task if it holds at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

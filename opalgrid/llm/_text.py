@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 2 << 20
 U64 = np.uint64
@@ -73,6 +74,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return SpanHasher(BYTE_CODE[data], BASE, BASE_INV)(starts, ends)
 
 
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of ascending, disjoint spans, and the distinct byte strings they stand for.
+
+    Spans have one number if and only if their bytes agree: a hash table compares them in full.
+    ``inside`` marks the spans' bytes, where the caller knows them."""
+    if not len(starts):
+        return np.empty(0, np.int64), pa.array([], pa.large_binary())
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    bytes_ = np.ascontiguousarray(data[cover(starts, ends, len(data)) if inside is None else inside])
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def strong_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+    """XXH64 of each span; each distinct span is hashed once."""
+    ids, words = exact_ids(data, starts, ends, inside)
+    if not len(ids):
+        return np.empty(0, U64)
+    _, offsets, raw = words.buffers()
+    at, raw, digest = np.frombuffer(offsets, np.int64)[: len(words) + 1].tolist(), raw.to_pybytes(), xxhash.xxh64_intdigest
+    return np.array([digest(raw[a:b]) for a, b in zip(at, at[1:])], U64)[ids]
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of words[i:i+n] for each i; the caller masks spans that cross documents."""
     if len(words) < n:
@@ -82,11 +108,12 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows, and the rows' offsets (one more than rows).  Null rows are empty."""
+    """Bytes of all rows of strings or binaries, and the rows' offsets (one more than rows).  Null
+    rows are empty."""
     if pa.types.is_large_string(column.type):
         column = column.cast(pa.string())
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
         return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)

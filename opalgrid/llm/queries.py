@@ -142,7 +142,7 @@ hosts AS (SELECT source, count(*) AS d, sum(CAST(base_failed AS BIGINT)) AS f FR
 corpus AS (SELECT sum(d) AS n, sum(f) / sum(d) AS mean, count(*) AS h, sum(f * f / d) AS ff FROM hosts),
 prior AS (
   SELECT mean, least(1000, greatest(1, mean * (1 - mean) / greatest(1e-9, greatest(0, ff / n - mean * mean) - mean * (1 - mean) * h / n) - 1)) AS strength FROM corpus),
-bad AS (SELECT source, (f + strength * mean) / (d + strength) >= 0.5 AS host_bad FROM hosts, prior)
+bad AS (SELECT source, (f + strength * mean) / (d + strength) >= mean + 0.25 AS host_bad FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_bad AS kept
 FROM judged JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source
 """

@@ -69,7 +69,7 @@ def test_decontaminate(spark, docs, rows, none, block_bytes):
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("group", [50_000, 2])
+@pytest.mark.parametrize("group", [50_000, 3, 1])
 def test_substrings(docs, rows, none, group):
     seen, want = set(), {}
     for i, text in sorted({(r[0], r[1] or "") for r in rows}):
@@ -86,6 +86,44 @@ def test_substrings(docs, rows, none, group):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def thue_morse(flip):
+    """Two words of 1,024 letters that every polynomial hash modulo a power of two confuses."""
+    return "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(1024))
+
+
+def test_words_are_compared_not_hashes(spark):
+    head = " ".join(f"w{i}" for i in range(19))
+    table = [(1, f"{head} {thue_morse(0)}"), (2, f"{head} {thue_morse(1)}"), (3, f"{head} {thue_morse(0)}"), (4, thue_morse(0) + "\n" + thue_morse(1))]
+    docs = spark.createDataFrame([(*r, "s") for r in table], "doc_id long, text string, source string")
+    for group in (50_000, 1):
+        assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs, group=group).collect()} == {1: 0, 2: 0, 3: 20, 4: 0}
+    assert {r.doc_id: r.n_dup_lines for r in quality.judge(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_heavy_seeds_are_split_and_stay_in_trees(spark, monkeypatch):
+    """Twelve windows share a seed and more; longer prefixes tell them apart but for the last two."""
+    sizes = []
+    stay = substrings._later
+    monkeypatch.setattr(substrings, "_later", lambda node, *a: sizes.append(len(node)) or stay(node, *a))
+    base = [f"w{i}" for i in range(20)]
+    texts = [base[:14] + [f"x{i}"] + base[15:] for i in range(6)] + [base[:18] + [f"y{i}", f"z{i}"] for i in range(5)] + [base, base]
+    rows = [(i, " ".join(t), False) for i, t in enumerate(texts)]
+    window = next(substrings._window_task(20, 9)([_arrow_docs(rows, [[p for p in range(20)]] * len(rows))]))
+    hashes = {n: window.column(f"p{n}").to_pylist() for n in (13, 17, 20)}
+    assert [len(set(hashes[n])) for n in (13, 17, 20)] != [13, 13, 13] and len(set(hashes[20])) == 12
+    names = list(window.schema.names)
+    order = np.argsort(hashes[20], kind="stable")
+    leaf = window.take(__import__("pyarrow").array(order)).rename_columns(["prefix" if c == "p20" else c for c in names])
+    found = list(substrings._leaf_task(20, 2)([leaf]))
+    assert sizes and [(b.column("key").to_pylist(), b.column("starts").to_pylist()) for b in found] == [([12], [b"\0\0\0\0"])]
+
+
+def _arrow_docs(rows, places):
+    import pyarrow as pa
+
+    return pa.record_batch({"noid": pa.array([r[2] for r in rows]), "key": pa.array([r[0] for r in rows]), "version": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows]), "places": pa.array(places, pa.list_(pa.int32()))})
+
+
 def brute_print(text):
     w = re.findall(BLANK, lower(text))
     grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -154,13 +192,37 @@ def test_quality(docs, rows, none):
     found = quality.judge(docs).collect()
     assert sorted(tuple(r)[:7] for r in found) == sorted((r[0], *base(r[1])) for r in rows)
     assert all(not r.kept or not r.base_failed for r in found)
-    bad = {r.host for r in quality.host_verdicts(docs).where("host_bad").collect()}
+    bad = brute_bad_hosts([(r[3], base(r[1])[-1]) for r in rows])
+    assert {r.host for r in quality.host_verdicts(docs).where("host_bad").collect()} == bad
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows if not base(r[1])[-1] and r[3] not in bad)
     assert quality.judge(none).count() == 0 and quality.keep_good(none).count() == 0
 
 
+def brute_bad_hosts(rows):
+    """Hosts 0.25 above the corpus after shrinkage; a plain beta-binomial by moments."""
+    hosts = {h: [f for g, f in rows if g == h] for h, _ in rows}
+    n, mean = len(rows), sum(f for _, f in rows) / len(rows)
+    spread = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in hosts.values()) / n
+    between = max(1e-9, spread - mean * (1 - mean) * len(hosts) / n)
+    strength = min(1000, max(1, mean * (1 - mean) / between - 1))
+    return {h for h, x in hosts.items() if (sum(x) + strength * mean) / (len(x) + strength) >= mean + 0.25}
+
+
+def test_bad_hosts_lose_their_good_documents(spark):
+    rng = random.Random(6)
+    good = lambda i: " ".join(f"g{i}x{k}" for k in range(60))
+    rows = [(i, f"h{i % 20}", "short" if rng.random() < (0.8 if i % 20 == 7 else 0.08) else good(i)) for i in range(1200)]
+    rows += [(5000, None, good(1)), (5001, None, None), (5002, "solo", "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    bad = brute_bad_hosts([(h, len(t or "") < 100) for _, h, t in rows])
+    assert bad == {"h7"}
+    want = sorted(i for i, h, t in rows if len(t or "") >= 100 and h not in bad)
+    assert sorted(r.doc_id for r in quality.judge(docs).where("kept").collect()) == want == sorted(r.doc_id for r in quality.keep_good(docs).collect())
+    assert len(want) < sum(len(t or "") >= 100 for _, _, t in rows)
+
+
 def test_licenses(docs, rows, none, spark):
     def base(text):
         w = re.findall(ALNUM, lower(text))
