@@ -1,19 +1,24 @@
 """Personal data: detection and keyed surrogates.  DataFrame functions only.
 
 Entities are found by one pattern.  Each distinct entity (type and normal form, so that spellings of
-one number or address agree) gets a surrogate from SHA-512 of a key, its type, its normal form and
-a round number: same length, letters for letters and digits for digits, valid check digit for cards,
-valid octets for addresses, and for names the gender of the title and the script of the name.
+one number, address or name agree) gets a surrogate from SHA-512 of a key, its type, its normal form
+and a round number: letters for letters and digits for digits in the same format, valid check digits
+for cards and bank accounts, valid octets for addresses, and for names the gender of the title, the
+script, and the capitals and joints of the name.
 
 Coreference: one normal form has one surrogate in all documents.  Distinctness: surrogates of one
 type must differ from each other and from every entity found; entities that break this move to
-their next round until none does (entity with the lowest round and normal form stays).
+their next round until none does (entity with the lowest round and normal form stays).  Only an
+initial shows no more than the first letter of its surrogate.
 
-Texts without entities are never shuffled.  Entities are collected by distinct text, so copies of a
-text are handled once; occurrence counts meet in partial aggregates only.
+Each text is searched once, and its entities are stored beside it.  Texts without entities are never
+shuffled.  Entities are collected by distinct text, so copies of a text are handled once;
+occurrence counts meet in partial aggregates only.
 
-Defined results: null texts stay null and empty texts empty; repeated rows give repeated rows; text
-outside entities is unchanged; other columns are kept by ``mask`` and not looked at.
+Defined results: null texts stay null and empty texts empty; repeated rows give repeated rows; an
+empty table gives an empty one; an entity is replaced whole, however long it or its text is; text
+outside entities is unchanged; other columns, whatever their names, are kept by ``mask`` and not
+looked at, but for n_chars.
 """
 
 from __future__ import annotations
@@ -28,67 +33,112 @@ from opalgrid.llm._store import stored
 KEY, ROUNDS = "opalgrid", 32
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Г-жа")
+NEUTRAL = ("Dr", "Prof", "Mx")
+TITLES = tuple(sorted({v for t in MALE + FEMALE + NEUTRAL for v in (t, t.upper())}, key=lambda t: (-len(t), t)))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-# In this order; the first that fits at a place wins.  Only kinds with a length of their own have an
-# upper limit; the others take a whole token, possessively, so that long ones need no backtracking.
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "aws": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<=password[=:]|passwd[=:]|pwd[=:]|secret[=:]|api_key[=:]))[^\s\"',;]{4,}+",
-    "hex": r"(?<![A-Za-z0-9])(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![\d])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?!\p{{L}})",
-}
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# Syllables of the surrogate names, by script.
+GROUP = r"[0-9A-Fa-f]{1,4}"
+VALUE = r"[^\s\"',;]{4,}(?<![.!?:)])"  # a sentence's end is no part of it
+# What names a secret, up to the value.  After "secret" and "token" and a blank, prose is left alone:
+# there the value must hold a digit.
+LABEL = r"(?i:(?:passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|client[_-]?secret)[\"']?\s*+[=:]\s*+[\"']?|(?:secret|token)[\"']?\s*+(?:[=:](?=[^\s\"',;])|[=:]\s*+[\"']?(?=[^\s\"',;\d]*+\d)))"
+LETTERS = r"[\p{L}\p{M}]"
+NAME = rf"(?:\p{{Lu}}\.|\p{{Lu}}{LETTERS}*+(?:['’]\p{{Lu}}{LETTERS}*+|-{LETTERS}++)*+|\p{{IsHan}}++)"
+# Kinds with a length of their own have an upper limit; the others take a whole token, possessively,
+# so that long ones need no backtracking.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+AWS = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+HEX = r"(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IP6 = rf"(?<![:.\w])(?:(?:{GROUP}:){{7}}{GROUP}|(?=[a-fA-F:]*+\d)(?:(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}}|(?:{GROUP}:){{2,7}}:))(?![:\w])"
+TITLED = rf"(?<!{LETTERS})(?:{'|'.join(TITLES)})\.? {NAME}(?: {NAME}){{0,3}}"
+IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
+CARD = r"(?<![\d+])(?:\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3}(?![\d-]))?|\d(?:[ -]?\d){12,18})(?!\d)"
+SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+# In this order; the first that fits at a place wins.  What comes first in a group only saves time.
+PATTERN = rf"(?=[pPaAcCsStT]){LABEL}{VALUE}|(?<![A-Za-z0-9])(?:{EMAIL}|{AWS}|{HEX}|{IBAN}|{IP6}|{TITLED})|(?=[+(\d])(?:{IP}|{CARD}|{SSN}|{PHONE})"
+# Syllables of the surrogate names, by script; single characters for Chinese ones.
 SYLLABLES = {
     "latin": "bal ber cor dan del fen gar hol jor kel lan mar nor ol per quin ros sal tor val wes yor zan mil ned rud".split(),
     "cyrillic": "бал бер вор дан дел ген гор жан кел лан мар нор ол пер рос сал тор вал зан мил нед руд лев тим".split(),
+    "greek": "βαλ γερ δαν δελ ζαν θορ καλ κορ λαν λευ μαρ μιλ νορ νεδ παν περ ροσ σαλ ταν τορ φεν χαλ".split(),
+}
+ENDINGS = {
+    "latin": {"m": "on", "f": "a", "x": "is", "family": "er"},
+    "cyrillic": {"m": "ан", "f": "а", "x": "ис", "family": "ко"},
+    "greek": {"m": "ος", "f": "α", "x": "ις", "family": "ου"},
 }
-ENDINGS = {("latin", "m"): "on", ("latin", "f"): "a", ("latin", "family"): "er", ("cyrillic", "m"): "ан", ("cyrillic", "f"): "а", ("cyrillic", "family"): "ко"}
+HAN = {"m": "伟强军勇杰涛明刚平辉鹏华", "f": "芳娜敏静丽娟霞玲梅燕莉雪", "x": "文安宁晨青佳思远新悦林云", "family": "赵钱孙周吴郑冯陈褚卫蒋沈"}
 DIGIT_TYPES = ("card", "ssn", "phone")
 
 
 def _maybe(text: Column) -> Column:
     """Cheap test that every text with an entity passes."""
-    return text.rlike(r"[0-9@=:]|AKIA|ASIA") | reduce(lambda a, b: a | b, (text.contains(t + s) for t in MALE + FEMALE for s in (" ", ". ")))
+    return text.rlike(r"[0-9@=:]|AKIA|ASIA") | reduce(lambda a, b: a | b, (text.contains(t + s) for t in TITLES for s in (" ", ". ")))
+
+
+def _label(token: Column) -> Column:
+    """The part of a token that names a secret; empty in other tokens."""
+    return F.regexp_extract(token, "^" + LABEL, 0)
+
+
+def _value_of(token: Column) -> Column:
+    return F.substring(token, F.length(_label(token)) + 1, F.length(token))
 
 
 def _type(token: Column) -> Column:
-    """The kind of a token that PATTERN has found, from its own form."""
+    """The kind of a token that PATTERN has found, from its own form; a secret's value has its own."""
     digits = F.length(F.regexp_replace(token, r"\D", ""))
     only = token.rlike(r"^[\d ()+.-]+$")
-    titled = token.rlike(rf"^(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}")
+    titled = token.rlike(rf"^(?:{'|'.join(TITLES)})\.? [\p{{Lu}}\p{{IsHan}}]")
+    value = _value_of(token)
     return (
         F.when(titled, "name")
+        .when(value.rlike(rf"^{AWS}$"), "aws")
+        .when(value.rlike(rf"^{HEX}$"), "hex")
+        .when(_label(token) != "", "secret")
         .when(token.contains("@"), "email")
-        .when(token.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "aws")
         .when(only & token.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
+        .when(token.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
         .when(only & token.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(only & ~token.rlike(r"[+(.]") & digits.between(13, 19), "card")
         .when(only & (digits >= 7) & token.rlike(r"^[+(\d]"), "phone")
-        .when(token.rlike(r"^[0-9a-f]{32,}+$"), "hex")
-        .when(token.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
+        .when(token.rlike(rf"^{IBAN}$"), "iban")
         .otherwise("secret")
     )
 
 
+def _names(token: Column) -> Column:
+    """What follows the title."""
+    return F.substring(token, F.instr(token, " ") + 1, F.length(token))
+
+
+def _pieces(token: Column) -> Column:
+    """The runs of letters of a name."""
+    return F.regexp_extract_all(_names(token), F.lit(f"({LETTERS}+)"), F.lit(1))
+
+
+def _titled_as(token: Column, titles) -> Column:
+    title = F.upper(F.regexp_replace(F.substring_index(token, " ", 1), r"\.$", ""))
+    return title.isin(*[t.upper() for t in titles])
+
+
 def _parts(token: Column) -> Column:
-    """A token's entities: array<struct<kind, form>>.  A name gives its given and its family name."""
-    kind = _type(token)
-    words = F.split(token, " ")
-    female = reduce(lambda a, b: a | b, (token.startswith(t + " ") | token.startswith(t + ". ") for t in FEMALE))
-    script = F.when(token.rlike(r"\p{IsCyrillic}\p{IsCyrillic}+$"), "cyrillic").otherwise("latin")
-    family = F.struct(F.concat(F.lit("family:"), script).alias("kind"), F.element_at(words, -1).alias("form"))
-    given = F.struct(F.concat(F.when(female, "f:").otherwise("m:"), script).alias("kind"), F.try_element_at(words, F.lit(2)).alias("form"))
+    """A token's entities: array<struct<kind, form>>.  A name gives those before its last and its last."""
+    kind, value = _type(token), _value_of(token)
+    gender = F.when(_titled_as(token, MALE), "m").when(_titled_as(token, FEMALE), "f").otherwise("x")
+    pieces = _pieces(token)
+
+    def piece(p, i):
+        script = F.when(p.rlike(r"\p{IsHan}"), "han").when(p.rlike(r"\p{IsCyrillic}"), "cyrillic").when(p.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+        role = F.when(i == F.size(pieces) - 1, "family").otherwise(gender)
+        return F.struct(F.concat(role, F.lit(":"), script).alias("kind"), F.lower(p).alias("form"))
+
     digits = F.regexp_replace(token, r"\D", "")
     # a leading 1 before ten digits is the country code of the same number
-    form = F.when(kind.isin(*DIGIT_TYPES), F.when((kind == "phone") & digits.rlike(r"^1\d{10}$"), F.substring(digits, F.lit(2), F.lit(10))).otherwise(digits)).when(kind == "iban", F.replace(token, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(token)).otherwise(token)
-    return F.when(kind == "name", F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"))))
+    number = F.when((kind == "phone") & digits.rlike(r"^1\d{10}$"), F.substring(digits, F.lit(2), F.lit(10))).otherwise(digits)
+    form = F.when(kind.isin(*DIGIT_TYPES), number).when(kind == "iban", F.replace(token, F.lit(" "), F.lit(""))).when(kind.isin("email", "ip6"), F.lower(token)).otherwise(value)
+    return F.when(kind == "name", F.transform(pieces, piece)).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"))))
 
 
 def _stream(key: str, kind: Column, form: Column, turn: Column) -> Column:
@@ -114,7 +164,7 @@ def _reshape(form: Column, stream: Column, keep: Column, hexadecimal: bool = Fal
         p = i + 1
         v = _value(stream, p)
         if hexadecimal:
-            return F.when(p <= keep, c).otherwise(_pick("0123456789abcdef", v))
+            return F.when((p <= keep) | (c == ":"), c).otherwise(_pick("0123456789abcdef", v))
         return F.when(p <= keep, c).when(c.rlike("[a-z]"), _pick(lower, v)).when(c.rlike("[A-Z]"), _pick(upper, v)).when(c.rlike("[0-9]"), _pick(digit, v)).otherwise(c)
 
     # characters as an array: to look each up by its place takes the square of the length
@@ -134,17 +184,34 @@ def _luhn(digits: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), n - 1), F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
-def _name(kind: Column, stream: Column, turn: Column) -> Column:
-    def built(script, ending):
-        syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        n = len(SYLLABLES[script])
-        picks = [F.element_at(syllables, F.pmod(_value(stream, F.lit(2 * k + 1)) * 256 + _value(stream, F.lit(2 * k + 2)), F.lit(n)) + 1) for k in range(4)]
-        more = F.array_join(F.slice(F.array(*picks), F.lit(1), F.least(F.lit(4), F.greatest(F.lit(0), turn - 3))), "")
-        return F.initcap(F.concat(*picks, more, F.lit(ending)))  # longer names for later rounds
+def _iban(form: Column) -> Column:
+    """An account number with its check digits set (98 less the rest by 97, letters count from 10)."""
+    moved = F.concat(F.substring(form, F.lit(5), F.length(form)), F.substring(form, F.lit(1), F.lit(2)), F.lit("00"))
+
+    def step(rest, c):
+        code = F.ascii(c)
+        return F.pmod(F.when(code >= 65, rest * 100 + code - 55).otherwise(rest * 10 + code - 48), F.lit(97))
+
+    rest = F.aggregate(F.regexp_extract_all(moved, F.lit("."), F.lit(0)), F.lit(0), step)
+    return F.concat(F.substring(form, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(form, F.lit(5), F.length(form)))
+
+
+def _name(kind: Column, form: Column, stream: Column, turn: Column) -> Column:
+    """A name in lower case; longer for later rounds."""
+
+    def run(choices, first, n):
+        """n of the choices, picked by the stream from place ``first`` on."""
+        table = F.array(*[F.lit(c) for c in choices])
+        picked = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.element_at(table, F.pmod(_value(stream, k * 2 + first) * 256 + _value(stream, k * 2 + first + 1), F.lit(len(choices))) + 1))
+        return F.when(n > 0, F.array_join(picked, "")).otherwise("")
 
     out = F.lit(None).cast("string")
-    for (script, sort), ending in ENDINGS.items():
-        out = F.when(kind == f"{sort}:{script}", built(script, ending)).otherwise(out)
+    for script, syllables in SYLLABLES.items():
+        own = F.concat(run(syllables, -1, F.lit(4)), run(syllables, 8, F.least(F.lit(4), turn - 3)))
+        for role, ending in ENDINGS[script].items():
+            out = F.when(kind == f"{role}:{script}", F.concat(own, F.lit(ending))).otherwise(out)
+    for role, alphabet in HAN.items():
+        out = F.when(kind == f"{role}:han", run(alphabet, -1, F.length(form) + F.greatest(F.lit(0), turn - 1))).otherwise(out)
     return out
 
 
@@ -169,8 +236,9 @@ def _from_stream(kind: Column, form: Column, turn: Column, s: Column) -> Column:
         .when((kind == "email") & (at > 0), email)
         .when(kind == "aws", _reshape(form, s, F.lit(4)))
         .when(kind == "hex", _reshape(form, s, F.lit(0), True))
-        .when(kind == "iban", _reshape(form, s, F.lit(2)))
-        .when(kind.contains(":"), _name(kind, s, turn))
+        .when(kind == "ip6", _reshape(form, s, F.lit(0), True))
+        .when(kind == "iban", _iban(_reshape(form, s, F.lit(4))))
+        .when(kind.contains(":"), _name(kind, form, s, turn))
         # a secret grows in later rounds, as short ones can run out
         .otherwise(F.concat(_reshape(form, s, F.lit(0)), F.substring(s, F.lit(1), F.greatest(F.lit(0), turn - 7))))
     )
@@ -179,6 +247,9 @@ def _from_stream(kind: Column, form: Column, turn: Column, s: Column) -> Column:
 def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
     """(kind, form, surrogate) of distinct entities (kind, form); surrogates of a kind differ from
     each other and from all forms.  Raises RuntimeError if ``rounds`` do not settle it."""
+    spark = entities.sparkSession
+    # a number of its own, or few short rows would be read, and their costly surrogates made, in one task
+    entities = entities.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "form")
     named = stored(entities.select("kind", "form", F.lit(0).alias("turn"), surrogate(F.col("kind"), F.col("form"), F.lit(0), key).alias("surrogate")), "surrogates")
     for turn in range(1, rounds + 1):
         first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("turn", "form")).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "first")
@@ -211,9 +282,23 @@ def _render(token: Column, names: Column) -> Column:
         ).otherwise(F.struct(F.concat(a["out"], F.substring(token, p, F.lit(1))).alias("out"), a["next"].alias("next"))),
         lambda a: a["out"],
     )
-    title = F.split(token, " ")[0]
-    name = F.concat_ws(" ", title, F.array_join(F.transform(parts, of), " "))
-    return F.when(kind == "name", name).when(kind.isin(*DIGIT_TYPES, "iban"), filled).otherwise(plain)
+    pieces = _pieces(token)
+
+    def written(part, i):
+        new, old = of(part), pieces[i]
+        capitals = (F.length(old) > 1) & (F.upper(old) == old) & ~old.rlike(r"\p{IsHan}")
+        one = (F.length(old) == 1) & ~old.rlike(r"\p{IsHan}")
+        return F.when(one, F.upper(F.substring(new, F.lit(1), F.lit(1)))).when(capitals, F.upper(new)).otherwise(F.initcap(new))
+
+    between = F.split(_names(token), f"{LETTERS}+", -1)
+    names_ = F.array_join(F.zip_with(between, F.transform(parts, written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    plain6 = F.when(token.rlike("[A-F]"), F.upper(plain)).otherwise(plain)
+    return (
+        F.when(kind == "name", F.concat(F.substring_index(token, " ", 1), F.lit(" "), names_))
+        .when(kind.isin(*DIGIT_TYPES, "iban"), filled)
+        .when(kind == "ip6", plain6)
+        .otherwise(F.concat(_label(token), plain))
+    )
 
 
 def mask(documents: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
@@ -221,22 +306,23 @@ def mask(documents: DataFrame, key: str = KEY, count: str | None = None) -> Data
 
     A column n_chars, where there is one, is set to the new length."""
     text = F.col("text").cast("string")
-    tokens = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    # the test ends at the first entity, where a test of the tokens would look for all of them again
-    held = F.coalesce(_maybe(text) & text.rlike(PATTERN), F.lit(False))
-    some = documents.where(held).select("*", F.xxhash64(text).alias("__pii_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("__pii_b"), tokens.alias("__pii_tokens"))
+    tokens = F.when(_maybe(text), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
+    # written, so that the pattern is matched once
+    rows = stored(documents.withColumn("text", text).select("*", F.when(F.size(tokens) > 0, tokens).alias("__pii_tokens")), "tokens")
+    some = rows.where("__pii_tokens is not null").withColumn("__pii_a", F.xxhash64("text")).withColumn("__pii_b", F.xxhash64(F.lit(1), "text", F.length("text")))
     found = some.select("__pii_a", "__pii_b", F.explode(F.flatten(F.transform("__pii_tokens", _parts))).alias("e")).select("__pii_a", "__pii_b", "e.kind", "e.form").distinct()
     found = stored(found, "entities")
     names = assign(found.select("kind", "form").distinct(), key)
     entry = F.struct(F.concat("kind", F.lit("\x1f"), "form"), "surrogate")
     maps = found.join(names, ["kind", "form"]).groupBy("__pii_a", "__pii_b").agg(F.map_from_entries(F.collect_list(entry)).alias("__pii_names"))
     joined = some.join(maps, ["__pii_a", "__pii_b"])
-    between = F.split(text, PATTERN, -1)
+    between = F.split("text", PATTERN, -1)
     masked = F.array_join(F.zip_with(between, F.transform("__pii_tokens", lambda t: _render(t, F.col("__pii_names"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
     def out(df: DataFrame, new: Column, number: Column) -> DataFrame:
         df = df.withColumn("__pii_new", new).withColumn("__pii_number", number)
-        columns = [F.col("__pii_new").alias("text") if c == "text" else F.length("__pii_new").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
+        columns = [F.col("__pii_new").alias("text") if c == "text" else F.length("__pii_new").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
         return df.select(*columns, *([F.col("__pii_number").alias(count)] if count else []))
 
-    return out(joined, masked, F.size("__pii_tokens").cast("long")).unionByName(out(documents.where(~held), text, F.lit(0).cast("long")))
+    plain = out(rows.where("__pii_tokens is null"), F.col("text"), F.lit(0).cast("long"))
+    return out(joined, masked, F.size("__pii_tokens").cast("long")).unionByName(plain)
