@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opalgrid.llm import decontaminate, licenses, mixing, pii, quality, simhash, substrings, toxicity, urlfilter, warc
 
-LISTED_HOSTS = ("spam-farm.example.org",)
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,9 +29,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    listed = urlfilter.urls_of_hosts(pages, LISTED_HOSTS)
-    return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +108,10 @@ plain AS (
   SELECT *, CASE WHEN good THEN regexp_replace(host, '^(www|m)\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$|/index\.html?$', '', 'g')
     || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical_url
   FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=&]*|ref|fbclid|gclid)=[^&]*$'))), '&') AS q FROM parts)),
-listed AS (SELECT DISTINCT canonical_url FROM plain WHERE host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org')),
+listed AS (
+  SELECT h || '.example.' || t || '/' || l || '/' || n AS canonical_url
+  FROM (SELECT unnest(['spam-farm', 'ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets']) AS h), (SELECT unnest(['com', 'net', 'org']) AS t),
+    (SELECT unnest(['de', 'en', 'es', 'fr']) AS l), range(2500) AS r(n)),
 ruled AS (
   SELECT page_id, host, path, canonical_url, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'

@@ -7,20 +7,29 @@ task; a longer list only passes more false positives to the exact join, which re
 
 Host and path rules come first: a rule fits its host and all subdomains if the path starts with the
 rule's, and the longest rule wins.  What no rule decides is blocked if its canonical URL is listed.
+A list of at most ``BROADCAST_ROWS`` URLs is sent to every task for the exact join: the pages are read
+once and not shuffled.  Beyond that only what passes the filter is shuffled to the list.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 allowed unless listed; empty lists block nothing; repeated URLs and rows are judged each; null list
-entries are ignored; other columns are not looked at.
+entries are ignored; empty tables give no rows; a URL may be of any length; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalgrid.llm._store import BROADCAST_ROWS, stored
+
 WORDS, ROWS_PER_BLOCK, MAX_BLOCKS = 8, 32, 1 << 17
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*"
+# Sites of the list: hosts under each top, with pages of each language numbered from 0.
+LISTED_HOSTS = ("spam-farm", "ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets")
+LISTED_TOPS = ("example.com", "example.net", "example.org")
+LISTED_LANGUAGES, LISTED_NUMBERS = ("de", "en", "es", "fr"), 2_500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,9 +70,9 @@ def bloom_blocks(listed: DataFrame, key: str = "listed_url") -> tuple[DataFrame,
     return hashed.groupBy(F.pmod("h", F.lit(blocks)).alias("bloom_block")).agg(*words), blocks
 
 
-def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
+def listed_hits(pages: DataFrame, listed: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds canonical_url and is_listed to pages (column url)."""
-    keys = listed.select(canonical(F.col("url").cast("string")).alias("listed_url")).where("listed_url is not null").distinct()
+    keys = stored(listed.select(canonical(F.col("url").cast("string")).alias("listed_url")).where("listed_url is not null").distinct(), "listed")
     filt, blocks = bloom_blocks(keys)
     rows = pages.withColumn("canonical_url", canonical(F.col("url").cast("string")))
     rows = rows.withColumn("bloom_h", F.xxhash64("canonical_url")).withColumn("bloom_b", F.xxhash64(F.col("canonical_url"), F.lit(1)))
@@ -76,11 +85,11 @@ def listed_hits(pages: DataFrame, listed: DataFrame) -> DataFrame:
         passes = passes & (F.col(f"w{k}").bitwiseAND(bit) != 0)
     possible = F.col("canonical_url").isNotNull() & F.coalesce(passes, F.lit(False))
     probed = probed.withColumn("bloom_key", F.when(possible, F.col("canonical_url")))
-    # rows that the filter stops carry a null key, which the join does not shuffle into one task:
-    # they are split off before it
-    kept = [*pages.columns, "canonical_url"]
-    hits = probed.where("bloom_key is not null").join(keys, F.col("bloom_key") == F.col("listed_url"), "left")
-    hits = hits.select(*kept, F.col("listed_url").isNotNull().alias("is_listed"))
+    kept = [*(F.col(f"`{c}`") for c in pages.columns), "canonical_url"]
+    exact = F.col("listed_url").isNotNull().alias("is_listed")
+    if keys.count() <= broadcast_rows:
+        return probed.join(F.broadcast(keys), F.col("bloom_key") == F.col("listed_url"), "left").select(*kept, exact)
+    hits = probed.where("bloom_key is not null").join(keys, F.col("bloom_key") == F.col("listed_url"), "left").select(*kept, exact)
     return hits.unionByName(probed.where("bloom_key is null").select(*kept, F.lit(False).alias("is_listed")))
 
 
@@ -94,18 +103,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, canonical_url and is_listed of each row of pages."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    rows = listed_hits(rows, listed).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    rows = listed_hits(rows, listed, broadcast_rows).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("is_listed"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "canonical_url", "is_listed")
 
 
-def urls_of_hosts(pages: DataFrame, hosts) -> DataFrame:
-    """A list for the filter: the URLs of pages on the given hosts and their subdomains."""
-    host, on = host_of(F.col("url").cast("string")), F.lit(False)
-    for h in hosts:
-        on = on | (host == h) | host.endswith("." + h)
-    return pages.where(on).select(F.col("url").cast("string").alias("url")).distinct()
+def listed_urls(spark: SparkSession, hosts=LISTED_HOSTS, tops=LISTED_TOPS, languages=LISTED_LANGUAGES, numbers: int = LISTED_NUMBERS) -> DataFrame:
+    """A list of bad sites: (url) for each host, language and page number, made where it is read."""
+    host = F.explode(F.array(*[F.lit(f"{h}.{t}") for h in hosts for t in tops]))
+    language = F.explode(F.array(*[F.lit(x) for x in languages]))
+    made = spark.range(numbers).select("id", host.alias("host")).select("id", "host", language.alias("language"))
+    return made.select(F.concat(F.lit("http://www."), "host", F.lit("/"), "language", F.lit("/"), F.col("id").cast("string"), F.lit("/")).alias("url"))

@@ -299,6 +299,9 @@ def test_urls(spark):
     many = spark.range(5000).selectExpr("concat('http://h', id, '.org/p') as url")
     probe = spark.range(10000).selectExpr("id as page_id", "concat('http://h', id, '.org/p') as url")
     assert urlfilter.judge(probe, many).where("is_listed").count() == 5000
+    twice = pages.union(pages)
+    for n in (0, 1000):  # listed URLs shuffled and sent to all tasks
+        assert sorted(map(str, urlfilter.judge(twice, listed, broadcast_rows=n).collect())) == sorted([str(r) for r in got.values()] * 2)
 
 
 def test_warc(spark):
