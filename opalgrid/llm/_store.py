@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000  # rows of a few numbers or short strings that may be sent to every task
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict = {}
 
@@ -42,15 +43,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Writes df as Parquet; Spark drops the shuffle files of the write when it has finished."""
+def write(df: DataFrame, path: str, batch_rows: int | None = None) -> None:
+    """Writes df as Parquet; Spark drops the shuffle files of the write when it has finished.
+
+    ``batch_rows`` bounds the rows that go to Python at once, where each holds a long list."""
     conf = df.sparkSession.conf
-    before = conf.get(FREE_SHUFFLES, "false")
-    conf.set(FREE_SHUFFLES, "true")
+    own = {FREE_SHUFFLES: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: conf.get(k) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 _OPEN: list[list[str]] = []
@@ -67,11 +73,11 @@ def scope(spark: SparkSession):
             _remove(spark, path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Writes df once and reads it back: cuts lineage, and lets the shuffle files before it go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    write(df, path)
+    write(df, path, batch_rows)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     for paths in _OPEN[-1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm._store import stored
+from opalgrid.llm._store import drop, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,8 +28,10 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").union(least).toDF("u", "v").distinct()
+        before, old = state, edges
         edges = stored(small, "stars")
-        before, state = state, _state(edges)
+        state = _state(edges)
+        drop(old)
         if before == state:
             break
     else:

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm._store import stored
+from opalgrid.llm._store import drop, stored
 
 KEY, ROUNDS = "opalgrid", 32
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н")
@@ -260,7 +260,9 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
         if bad.where("bad").isEmpty():
             return named.select("kind", "form", "surrogate")
         again = surrogate(F.col("kind"), F.col("form"), F.lit(turn), key)
+        old = named
         named = stored(bad.select("kind", "form", F.when(F.col("bad"), F.lit(turn)).otherwise(F.col("turn")).alias("turn"), F.when(F.col("bad"), again).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
+        drop(old)
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 

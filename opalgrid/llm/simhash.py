@@ -3,14 +3,25 @@
 Each text gets a 64-bit fingerprint from its word shingles.  Distinct fingerprints are filed in
 tiles by the population counts of their four 16-bit lanes.  Lane counts of fingerprints within a
 radius differ by no more than the radius in all, so only tiles that close are compared; tile pairs
-beyond are skipped.  A large tile is cut into blocks of about ``BLOCK`` fingerprints; each pair of
-blocks is one numpy exclusive-or and bit count, complete and exact.  A pair of blocks yields
+beyond are skipped.  A large tile is cut into blocks of ``MIN_BLOCK`` to ``MAX_BLOCK`` fingerprints, the
+more the larger the table, so that less of it is sent around; each pair of blocks is one numpy exclusive-or and bit count, complete and exact.  A pair of blocks yields
 a spanning forest of its links, never all pairs, and components are found on that.
 
+``near_duplicates`` links fingerprints within a small radius.  ``keep_one`` can ask for a similarity
+instead: then the radius is wide, tiles hold texts of one class of sizes (a similarity of s allows
+sizes that differ by the factor s at most) and of neighbouring population counts.  A sketch of
+``SKETCH`` bytes estimates the similarity of the pairs within the radius; every link of a pair of
+blocks' spanning forest (most similar first) is then verified by the Jaccard similarity of the two
+sets of shingles, and up to ``TRIES`` more of each text where the estimate is close to the limit.  So
+a group of m texts has a few m links to verify, never all pairs; a link that only closes a ring of
+better ones is not looked at.  The comparisons grow with the square of the
+number of different texts of a size class, as the method has it.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of
 fewer words than a shingle have one shingle of all words; rows that share a text share a
 fingerprint; a null doc_id takes part, and its component is the smallest doc_id that is not null
-(null if there is none); other columns are not looked at.
+(null if there is none); empty tables give no rows; a text may be as long as a task's memory allows;
+other columns, whatever their names, are not looked at, and ``keep_one`` returns them.
 """
 
 from __future__ import annotations
@@ -22,35 +33,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalgrid.llm._store import stored
-from opalgrid.llm._text import chunks
+from opalgrid.llm._text import chunks, mix64
 from opalgrid.llm.components import components
 
-SHINGLE, RADIUS, SEED, BLOCK = 3, 2, 42, 2048
+SHINGLE, RADIUS, SEED = 3, 2, 42
+MIN_BLOCK, MAX_BLOCK, BATCH_BYTES, VERIFY_ROWS = 2048, 1 << 16, 64 << 20, 256
+# A stage for near-duplicates: words in a shingle, similarity, and the radius that finds them.  Texts
+# of similarity 0.8 differ in 9.7 bits of 64 on average; NEAR_RADIUS is a trade between those missed
+# and the pairs to verify.
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 14
+SKETCH, SLACK, TRIES = 128, 0.2, 4
 LANES, LANE_BITS = 4, 5
 
 
-def fingerprints_of(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
-    """Fingerprints of UTF-8 texts."""
-    digest, values, counts = xxhash.xxh64_intdigest, [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
+def shingle_hashes(texts: list[bytes], shingle: int, seed: int) -> list[list[int]]:
+    """XXH64 of the shingles of UTF-8 texts, repeats included."""
+    digest, out = xxhash.xxh64_intdigest, []
+    for text in texts:
         words = text.lower().split()  # on bytes: A-Z only, and blanks 0x20, 0x09-0x0D
         n = len(words)
-        if not n:
-            continue
         line = b" ".join(words)
         if n <= shingle:
-            values.append(digest(line, seed))
-            counts[i] = 1
+            out.append([digest(line, seed)] if n else [])
             continue
         gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         starts = [0, *(gaps[: n - shingle] + 1).tolist()]
         ends = [*gaps[shingle - 1 :].tolist(), len(line)]
-        values.extend([digest(line[a:b], seed) for a, b in zip(starts, ends)])
-        counts[i] = len(starts)
-    out = np.zeros(len(texts), np.uint64)
+        out.append([digest(line[a:b], seed) for a, b in zip(starts, ends)])
+    return out
+
+
+def fingerprints_of(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """Fingerprints of UTF-8 texts."""
+    return majority(shingle_hashes(texts, shingle, seed))
+
+
+def majority(lists: list[list[int]]) -> np.ndarray:
+    """A bit is 1 if it is set in over half of a list's hashes."""
+    counts = np.array([len(x) for x in lists], np.int64)
+    out = np.zeros(len(lists), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        hashes = np.array(values, np.uint64)
+        hashes = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
         heads = np.cumsum(counts[full]) - counts[full]
         for bit in range(64):
             ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), heads)
@@ -58,13 +82,38 @@ def fingerprints_of(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fingerprint_task(shingle: int, seed: int):
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte of the smallest of an ascending set's hashes in each of SKETCH bins; 0 in empty ones."""
+    out = np.zeros(SKETCH, np.uint8)
+    out[(hashes[::-1] % np.uint64(SKETCH)).astype(np.int64)] = (hashes[::-1] >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def estimate(a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Estimated similarity of rows of sketches."""
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step], b[lo : lo + step]
+        out[lo : lo + step] = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+    return out
+
+
+def _fingerprint_task(shingle: int, seed: int, sets: bool = False):
+    """Fingerprints of texts; with ``sets`` also the size and two hashes of the set of shingles."""
+
     def run(batches):
         for rows, data, offsets in chunks(batches):
             raw, at = data.tobytes(), offsets.tolist()
-            prints = fingerprints_of([raw[a:b] for a, b in zip(at, at[1:])], shingle, seed)
-            kept = {c: rows.column(c) for c in rows.schema.names if c != "text"}
-            yield pa.record_batch(kept | {"print": pa.array(prints.view(np.int64))})
+            lists = shingle_hashes([raw[a:b] for a, b in zip(at, at[1:])], shingle, seed)
+            found = {c: rows.column(c) for c in rows.schema.names if c != "text"}
+            found["print"] = pa.array(majority(lists).view(np.int64))
+            if sets:
+                each = [np.unique(np.array(x, np.uint64)) for x in lists]
+                found["n"] = pa.array([len(x) for x in each], pa.int64())
+                for k, name in enumerate(("set_a", "set_b")):
+                    found[name] = pa.array(np.array([mix64(x + np.uint64(k)).sum(dtype=np.uint64) for x in each], np.uint64).view(np.int64))
+                found["sketch"] = pa.array([sketch(x) for x in each], pa.binary())
+            yield pa.record_batch(found)
 
     return run
 
@@ -82,6 +131,20 @@ def _lane_steps(radius: int) -> list[tuple[int, ...]]:
     return [f for f in found if f >= tuple(-x for x in f)]
 
 
+def _roots(i: np.ndarray, j: np.ndarray, n: int, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest node of each node's component; ``root`` is what is known already."""
+    root = np.arange(n) if root is None else root
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, step: int = 1 << 21):
     """Links of a spanning forest over two arrays of fingerprints."""
     nodes = a if same else np.concatenate([a, b])
@@ -97,16 +160,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, step: int = 1
     i, j = np.concatenate(left), np.concatenate(right)
     if not len(i):
         return nodes[:0], nodes[:0]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    root = _roots(i, j, len(nodes))
     child = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[child], nodes[root[child]]
 
@@ -133,8 +187,14 @@ def _compare_task(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def _block(rows: DataFrame, block: int | None) -> int:
+    """Fingerprints in a block: the square of their number decides the bytes that are sent around."""
+    return block or min(MAX_BLOCK, max(MIN_BLOCK, rows.count() // 1024))
+
+
+def links(prints: DataFrame, radius: int = RADIUS, block: int | None = None) -> DataFrame:
     """(u, v): a spanning set of the links between distinct fingerprints (column print)."""
+    block = _block(prints, block)
     lanes = [F.bit_count(F.shiftrightunsigned("print", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(LANES)]
     tile = sum((F.shiftleft(lane.cast("long"), LANE_BITS * k) for k, lane in enumerate(lanes)), F.lit(0).cast("long"))
     filed = prints.select("print", tile.alias("tile"))
@@ -161,10 +221,10 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     second = blocks.select(F.col("tile").alias("tile2"), F.col("cut").alias("cut2"), F.col("prints").alias("b"))
     same = F.expr("tile = tile2 and cut = cut2")
     both = pairs.join(first, ["tile", "cut"]).join(second, ["tile2", "cut2"]).select(same.alias("same"), "a", F.when(~same, F.col("b")).otherwise(F.array().cast("array<bigint>")).alias("b"))
-    return both.mapInArrow(_compare_task(radius), "u long, v long")
+    return stored(both.mapInArrow(_compare_task(radius), "u long, v long"), "links", max(1, BATCH_BYTES // (16 * block)))
 
 
-def _filed(prints: DataFrame, order: Column, radius: int, block: int) -> DataFrame:
+def _filed(prints: DataFrame, order: Column, radius: int, block: int | None) -> DataFrame:
     """(print, least, root) of each distinct fingerprint: the least of its rows in an order, and its
     component."""
     distinct = stored(prints.groupBy("print").agg(F.min(order).alias("least")), "distinct")
@@ -172,7 +232,7 @@ def _filed(prints: DataFrame, order: Column, radius: int, block: int) -> DataFra
     return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of documents."""
     prints = stored(fingerprints(documents, shingle, seed), "prints")
     filed = _filed(prints, F.col("doc_id"), radius, block)
@@ -182,20 +242,158 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     return prints.join(named, "print").select("doc_id", digits, "component_id")
 
 
-def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def spanning_forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which links (i, j) among n nodes make up a minimum spanning forest, by Boruvka's rounds."""
+    order = np.lexsort((j, i, weight))
+    i, j, root = i[order], j[order], np.arange(n)
+    left, taken = np.arange(len(i)), []
+    while True:
+        a, b = root[i[left]], root[j[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            return order[np.concatenate(taken)] if taken else left
+        _, first = np.unique(np.column_stack([a, b]).ravel(), return_index=True)
+        chosen = np.unique(first // 2)
+        taken.append(left[chosen])
+        root = _roots(a[chosen], b[chosen], n, root)
+
+
+def near_links(a, b, radius: int, similarity: float, step: int = 1 << 21):
+    """Links (numbers in a, then b) of a spanning forest, most similar first; a and b: (prints, sizes,
+    sketches), b None for pairs within a."""
+    (p, m, x), (q, n, y) = a, b or a
+    left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    rows, few = max(1, step // max(1, len(q))), 1 << 17
+    for lo in range(0, len(p), rows):
+        i, j = np.nonzero(np.bitwise_count(p[lo : lo + rows, None] ^ q[None, :]) <= radius)
+        i += lo
+        ok = (np.minimum(m[i], n[j]) >= similarity * np.maximum(m[i], n[j])) & ((i < j) if b is None else True)
+        i, j = i[ok], j[ok]
+        alike = np.concatenate([np.empty(0), *(estimate(x[i[k : k + few]], y[j[k : k + few]]) for k in range(0, len(i), few))])
+        ok = alike >= similarity - SLACK
+        left.append(i[ok])
+        right.append(j[ok])
+        far.append(-alike[ok])
+    i, j, d = (np.concatenate(z) for z in (left, right, far))
+    shift = 0 if b is None else len(p)
+    kept = spanning_forest(i, j + shift, d, shift + len(q))
+    # where the estimate leaves a doubt, each text's next best links are verified too
+    sure = d <= -(similarity + SLACK / 2)
+    root = _roots(i[sure], j[sure] + shift, shift + len(q))
+    open_ = np.flatnonzero(root[i] != root[j + shift])
+    for end in (i, j):
+        order = open_[np.lexsort((d[open_], end[open_]))]
+        own = end[order]
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        kept = np.concatenate([kept, order[rank < TRIES]])
+    kept = np.unique(kept)
+    return i[kept], j[kept]
+
+
+def _near_task(radius: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                p, m, u, q, n, v = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("prints", "sizes", "nodes", "prints2", "sizes2", "nodes2"))
+                x, y = (np.frombuffer(b"".join(row.column(c)[0].as_py()), np.uint8).reshape(-1, SKETCH) for c in ("sketches", "sketches2"))
+                own = row.column("same")[0].as_py()
+                p, q = p.view(np.uint64), q.view(np.uint64)  # bits of signed numbers are counted otherwise
+                i, j = near_links((p, m, x), None if own else (q, n, y), radius, similarity)
+                if len(i):
+                    yield pa.record_batch({"u": pa.array(u[i]), "v": pa.array((u if own else v)[j])})
+
+    return run
+
+
+def _set_task(shingle: int, seed: int):
+    def run(batches):
+        for rows, data, offsets in chunks(batches):
+            raw, at = data.tobytes(), offsets.tolist()
+            lists = shingle_hashes([raw[a:b] for a, b in zip(at, at[1:])], shingle, seed)
+            yield pa.record_batch({"node": rows.column("node"), "shingles": pa.array([np.unique(np.array(x, np.uint64)).tobytes() for x in lists], pa.binary())})
+
+    return run
+
+
+def _verify_task(similarity: float):
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (a, b))
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                kept.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.record_batch([batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("u", "v")], names=["u", "v"])
+
+    return run
+
+
+def _near_pairs(nodes: DataFrame, radius: int, similarity: float, block: int | None) -> DataFrame:
+    """(u, v): links to verify between nodes (node, print, n, sketch)."""
+    block = _block(nodes, block)
+    # sizes of one class and the next, counts of one bucket and the next: no closer pair lies elsewhere
+    kind = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(-np.log(similarity)) + F.lit(1e-9))).otherwise(-9).cast("int")
+    filed = nodes.select("*", kind.alias("kind"), (F.bit_count("print") / F.lit(radius + 1)).cast("int").alias("pop"))
+    cuts = filed.groupBy("kind", "pop").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("cuts"))
+    blocks = filed.join(F.broadcast(cuts), ["kind", "pop"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    blocks = blocks.groupBy("kind", "pop", "cut").agg(F.collect_list(F.struct("print", "n", "node", "sketch")).alias("rows"))
+    blocks = stored(blocks.select("kind", "pop", "cut", F.col("rows.print").alias("prints"), F.col("rows.n").alias("sizes"), F.col("rows.node").alias("nodes"), F.col("rows.sketch").alias("sketches")), "tiles")
+    names = blocks.select("kind", "pop", "cut")
+    # a few classes of sizes by at most 65 counts, cut into blocks; each has few neighbours
+    other = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    pairs = names.select("*", other.alias("o")).select("kind", "pop", "cut", (F.col("kind") + F.col("o.k")).alias("kind2"), (F.col("pop") + F.col("o.p")).alias("pop2"))
+    counts = cuts.toDF("kind2", "pop2", "cuts")
+    pairs = pairs.join(F.broadcast(counts), ["kind2", "pop2"]).select("kind", "pop", "cut", "kind2", "pop2", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut2"))
+    pairs = pairs.where("kind <> kind2 or pop <> pop2 or cut <= cut2")
+    same = F.expr("kind = kind2 and pop = pop2 and cut = cut2").alias("same")
+    second = blocks.toDF("kind2", "pop2", "cut2", "prints2", "sizes2", "nodes2", "sketches2")
+    both = pairs.join(blocks, ["kind", "pop", "cut"]).join(second, ["kind2", "pop2", "cut2"])
+    both = both.select(same, "prints", "sizes", "nodes", "sketches", "prints2", "sizes2", "nodes2", "sketches2")
+    found = stored(both.mapInArrow(_near_task(radius, similarity), "u long, v long"), "near", max(1, BATCH_BYTES // ((48 + 2 * SKETCH) * block)))
+    return found.distinct()
+
+
+def _similar(keyed: DataFrame, prints: DataFrame, key, order: Column, shingle: int, radius: int, similarity: float, seed: int, block: int | None) -> DataFrame:
+    """(print, n, set_a, set_b, least, root) of each distinct set of shingles."""
+    alike = ["print", "n", "set_a", "set_b"]
+    nodes = prints.groupBy(*alike).agg(F.min(order).alias("least"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs = _near_pairs(nodes.select("node", "print", "n", "sketch"), radius, similarity, block)
+    ends = pairs.select("u").union(pairs.select("v")).distinct().toDF("node")
+    wanted = nodes.join(ends, "node").select("node", *[F.col(f"least.{k}").alias(f"own_{k}") for k in key])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
+    # a text that stands for its node; rows that repeat it give the same set
+    texts = keyed.join(wanted, same).select("node", "text")
+    sets = stored(texts.mapInArrow(_set_task(shingle, seed), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    first, second = (sets.toDF(x, y) for x, y in (("u", "a"), ("v", "b")))
+    links = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify_task(similarity), "u long, v long")
+    roots = components(stored(links, "verified", VERIFY_ROWS))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int | None = None, similarity: float | None = None) -> DataFrame:
     """One row of each component of near-duplicates: the one with the smallest doc_id (null last),
     among rows of one doc_id the one with the smallest hash of its text, and any one of the rows
-    that agree in both.  All columns are kept."""
+    that agree in both.  All columns are kept.  With a similarity, links within the radius count if
+    the shingles' Jaccard similarity reaches it."""
     text = F.col("text").cast("string")
     key = {"near_id": F.col("doc_id").cast("long"), "near_a": F.xxhash64(text), "near_b": F.xxhash64(F.lit(1), text, F.length(text))}
     # rows of one key have one text, so one fingerprint: what is decided for a key holds for its rows
     keyed = documents.select(*[c.alias(k) for k, c in key.items()], text.alias("text"))
-    prints = stored(keyed.mapInArrow(_fingerprint_task(shingle, seed), "near_id long, near_a long, near_b long, print long"), "prints")
+    alike = ["print"] if similarity is None else ["print", "n", "set_a", "set_b"]
+    fields = "near_id long, near_a long, near_b long, " + ", ".join(f"{c} long" for c in alike) + (", sketch binary" if similarity is not None else "")
+    prints = stored(keyed.mapInArrow(_fingerprint_task(shingle, seed, similarity is not None), fields), "prints")
     order = F.struct(F.col("near_id").isNull().alias("without_id"), *key)
-    filed = _filed(prints, order, radius, block)
+    filed = _filed(prints, order, radius, block) if similarity is None else _similar(keyed, prints, key, order, shingle, radius, similarity, seed, block)
     first = filed.groupBy("root").agg(F.min("least").alias("first"))
-    named = filed.join(first, "root").select("print", "first")
-    found = stored(prints.join(named, "print").select(*key, order.eqNullSafe(F.col("first")).alias("stays")), "components")
+    named = filed.join(first, "root").select(*alike, "first")
+    found = stored(prints.join(named, alike).select(*key, order.eqNullSafe(F.col("first")).alias("stays")), "components")
     gone = found.where("not stays").select(*[F.col(k).alias(f"__gone_{k}") for k in key]).distinct()
     marked = documents.select("*", *[c.alias(f"__{k}") for k, c in key.items()])
     same = F.lit(True)

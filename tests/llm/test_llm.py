@@ -132,7 +132,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("block", [2048, 2])
+@pytest.mark.parametrize("block", [None, 2])
 def test_simhash(docs, rows, none, block):
     ids, prints = [r[0] for r in rows], [brute_print(r[1]) for r in rows]
     root = list(range(len(ids)))
@@ -146,6 +146,53 @@ def test_simhash(docs, rows, none, block):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [None, 3])
+def test_near_texts_by_similarity(spark, docs, rows, none, block):
+    """Components of the links of Jaccard similarity 0.8, where the fingerprints tell them."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(8):
+        base = [f"t{k}w{rng.randrange(400)}" for _ in range(rng.randint(60, 300))]
+        texts.append(base)
+        for _ in range(6):
+            other = list(base)
+            for _ in range(rng.randint(0, 3)):
+                other[rng.randrange(len(other))] = "changed"
+            texts.append(other)
+    table = [(i, " ".join(t), "x") for i, t in enumerate(texts)] + [(900, "", "x"), (901, None, "x"), (902, "one", "x"), (903, "One", "x"), (None, " ".join(texts[0]), "x"), (904, "one two", "x"), (0, " ".join(texts[0]), "x")]
+    sets = [set(simhash.shingle_hashes([(t or "").encode()], 5, 42)[0]) for _, t, _ in table]
+    prints = [int(simhash.majority(simhash.shingle_hashes([(t or "").encode()], 5, 42))[0]) for _, t, _ in table]
+    root = list(range(len(table)))
+    for _ in range(4):
+        for i in range(len(table)):
+            root[i] = min([root[j] for j in range(len(table)) if sets[i] == sets[j] or (prints[i] ^ prints[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] + [root[i]])
+    order = lambda i: (table[i][0] is None, table[i][0] or 0)
+    want = sorted(table[min((j for j in range(len(table)) if root[j] == root[i]), key=order)][0] for i in range(len(table)) if root[i] == i)
+    assert len(want) < 40
+    df = spark.createDataFrame(table, "doc_id long, text string, print string").repartition(3)
+    kept = simhash.keep_one(df, 5, 14, similarity=0.8, block=block)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert simhash.keep_one(none, 5, 14, similarity=0.8).count() == 0
+
+
+def test_spanning_forest_is_minimal():
+    rng = np.random.default_rng(5)
+    i, j, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
+    kept = simhash.spanning_forest(i, j, w, 40)
+    root = list(range(40))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    total = 0
+    for k in sorted(range(300), key=lambda k: w[k]):
+        a, b = find(i[k]), find(j[k])
+        if a != b:
+            root[a] = b
+            total += w[k]
+    assert w[kept].sum() == total and len(kept) == 40 - len({find(x) for x in range(40)})
+
+
 def test_keep_one_decides_by_row(spark):
     """Rows without doc_id or with one that repeats go only for their own component."""
     texts = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
