@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,7 +39,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/opalgrid-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -70,7 +70,7 @@ def scope(spark: SparkSession):
         yield
     finally:
         for path in _OPEN.pop():
-            _remove(spark, path)
+            remove(spark, path)
 
 
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
 
 def drop(df: DataFrame) -> None:
     """Removes a stored table that nothing will read again."""
-    _remove(df.sparkSession, df.stored_at)
+    remove(df.sparkSession, df.stored_at)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

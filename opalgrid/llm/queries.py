@@ -154,6 +154,26 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
 FROM q
 """
 
+OP9_SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM totals),
+filled AS (
+  SELECT *, s * 6 // w AS fills, sum(s) OVER () AS ts, sum(w) OVER () AS tw, coalesce(sum(s) OVER o, 0) AS cs, coalesce(sum(w) OVER o, 0) AS cw
+  FROM weighed WINDOW o AS (ORDER BY s * 6 // w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(ts AS DOUBLE) - CAST(2 AS DOUBLE) * CAST(cs AS DOUBLE)) / CAST(tw - cw AS DOUBLE) AS level FROM filled),
+chosen AS (SELECT level AS l FROM levels WHERE level * w <= CAST(2 AS DOUBLE) * s ORDER BY fills LIMIT 1),
+goals AS (SELECT source, s AS source_size, CASE WHEN l * w > CAST(2 AS DOUBLE) * s THEN CAST(2 AS DOUBLE) * s ELSE w * l END AS target FROM weighed, chosen),
+ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, substr(md5('20240229|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 16), doc_id NULLS FIRST) - 1 AS k FROM sized),
+steps AS (
+  SELECT r.doc_id, r.size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE CAST(0 AS DOUBLE) END AS rate,
+    CAST(CAST('0x' || substr(md5('20240229|' || coalesce('s' || r.source, 'n')), 1, 7) AS BIGINT) AS DOUBLE) / CAST(268435456 AS DOUBLE) AS start
+  FROM ranks r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(c * size AS BIGINT) AS taken, CAST(c AS BIGINT) AS copies
+FROM (SELECT *, least(floor((k + 1) * rate + start) - floor(k * rate + start), ceil(rate), 2) AS c FROM steps)
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_warc": OP8_SQL, "op9_mix": OP9_SQL}

@@ -383,11 +383,41 @@ def test_warc_rejects_broken_archives():
     assert struct.unpack_from("<I", good)[0] == warc.SKIPPABLE and io.BytesIO(good).read(4) == b"\x5d\x2a\x4d\x18"
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 10]) == [200.0, 95.0, 20.0]
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
-    t = mixing.targets([5, 70, 3, 900])
-    assert abs(sum(t) - 1.5 * 978) < 1e-9 and all(a <= 2 * b + 1e-9 for a, b in zip(t, [5, 70, 3, 900]))
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """Targets of sources in their order: shares by weight, capped, the excess shared again."""
+    left, open_, out = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        per = left / sum(weights[i % len(weights)] for i in open_)
+        full = [i for i in open_ if per * weights[i % len(weights)] > most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else per * weights[i % len(weights)]
+        left -= sum(out[i] for i in full)
+        open_ = open_ - set(full) if full else set()
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(3)
+    for sizes in ([100, 100, 10], [], [0, 0], [5, 70, 3, 900], [int(10 ** rng.uniform(0, 5)) for _ in range(200)]):
+        names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(len(sizes))]
+        rows = [(i, n if i < len(sizes) - 1 else None, s) for i, (n, s) in enumerate(zip(names, sizes))]
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(3)).collect()}
+        assert len(got) == len(sizes) and all(abs(got[r[1]] - t) < 1e-6 for r, t in zip(rows, brute_targets(sizes)))
+
+
+def _sums(pairs):
+    out = {}
+    for k, v in pairs:
+        out[k] = out.get(k, 0) + v
+    return out
+
+
+def test_mixing_alike_rows(spark):
+    """A third of the rows agree in everything."""
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, 'same words here', concat('text ', id)) as text", "concat('s', id % 3 % 2) as source")
+    plan, mixed = mixing.plan(docs).collect(), mixing.mix(docs).collect()
+    assert len(plan) == 3000 and len(mixed) == sum(r.copies for r in plan)
+    assert all(abs(sum(r.taken for r in plan if r.source_size == s) / t - 1) < 0.01 for s, t in {(r.source_size, r.target) for r in plan})
 
 
 def test_mixing(docs, rows, none):
@@ -397,7 +427,7 @@ def test_mixing(docs, rows, none):
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + len(re.findall(BLANK, r[1] or ""))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(order, mixing.targets([sizes[s] for s in order])))
+    goal = dict(zip(order, brute_targets([sizes[s] for s in order])))
     source = {r[0]: r[3] for r in rows}
     assert all(abs(r.target - goal[source[r.doc_id]]) < 1e-6 and r.taken == r.copies * r.size and r.copies <= 2 for r in plan)
     for s in sizes:
@@ -406,6 +436,26 @@ def test_mixing(docs, rows, none):
     assert sorted(map(tuple, mixing.plan(docs.repartition(5)).collect())) == sorted(map(tuple, plan))
     mixed = mixing.mix(docs)
     assert mixed.count() == sum(r.copies for r in plan) and mixed.columns == [*docs.columns, "mix_copy"]
+    # the sampling itself, written out
+    import math
+
+    marks = sorted((r[3] is None, r[3] or "", len(re.findall(BLANK, r[1] or "")), hashlib.md5(f"20240229|{r[0]}|{len(re.findall(BLANK, r[1] or ''))}".encode()).hexdigest()[:16], r[0]) for r in rows)
+    want, k = [], {}
+    for no, s, size, _, i in marks:
+        s = None if no else s
+        start = int(hashlib.md5(f"20240229|{'n' if no else 's' + s}".encode()).hexdigest()[:7], 16) / 2**28
+        rate, at = goal[s] / sizes[s], k.get(s, 0)
+        k[s] = at + 1
+        want.append((i, math.floor((at + 1) * rate + start) - math.floor(at * rate + start)))
+    assert sorted(want) == sorted((r.doc_id, r.copies) for r in plan)
+    times = {}
+    for r in mixed.collect():
+        times.setdefault(r.doc_id, []).append(r.mix_copy)
+    assert {i: len(c) for i, c in times.items()} == {i: c for i, c in _sums(want).items() if c}
+    unlike = mixing.mix(docs.dropDuplicates(["doc_id"]))  # no rows alike: joined by content
+    again = mixing.mix(unlike)
+    assert again.columns == [*docs.columns, "mix_copy", "mix_copy_2"] and again.count() > 0
+    assert unlike.count() == sum(r.copies for r in mixing.plan(docs.dropDuplicates(["doc_id"])).collect())
     assert mixing.plan(none).count() == mixing.mix(none).count() == 0
 
 
