@@ -354,7 +354,7 @@ def test_urls(spark):
 def test_warc(spark):
     big = "<p>\u00e9</p>" * 200
     table = [(1, big), (2, big), (9, big), (3, "small"), (4, "small"), (5, None), (6, ""), (None, big), (7, "x" * 1000), (7, "x" * 1000)] + [(100 + i, f"<html>{i} " + "lorem ipsum dolor " * (i % 90) + "</html>") for i in range(400)]
-    pages = spark.createDataFrame([(p, "u", h, "d") for p, h in table], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame([(p, None if p == 3 else f"http://x.org/\u00e9 {p}\r\nWARC-Type: x", h, "d") for p, h in table], "page_id long, url string, html string, digest string")
     last = {}
     for p, h in table:
         if len((h or "").encode()) >= 1000 and p is not None:
@@ -363,14 +363,38 @@ def test_warc(spark):
     for p, h in table:
         raw = (h or "").encode()
         again = len(raw) >= 1000 and last[h] != p
-        want.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[h] if again else None))
+        url = None if p == 3 else f"http://x.org/%C3%A9%20{p}%0D%0AWARC-Type:%20x"
+        want.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[h] if again else None, url))
     got = warc.round_trip(pages)
+    assert sorted(map(tuple, warc.round_trip(pages.drop("url")).collect()), key=str) == sorted(((*w[:5], None) for w in want), key=str)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
     plans = [sorted(map(tuple, warc.planned(pages, n).drop("html").collect()), key=str) for n in (0, 1000)]
     assert plans[0] == plans[1]  # shuffled and broadcast
 
 
+def test_warc_checks_revisits_and_the_manifest(spark, tmp_path):
+    def archive(name, records):
+        pack = zstandard.ZstdCompressor().compress
+        (tmp_path / name).write_bytes(warc.dictionary_frame(b"") + b"".join(pack(warc.record_bytes(h, b)) for h, b in records))
+
+    def record(kind, page, body, *more, digest=None):
+        head = [("WARC-Type", kind), ("WARC-Record-ID", "i"), ("WARC-Date", "d"), ("WARC-Payload-Digest", f"sha1:{digest or hashlib.sha1(body).hexdigest()}"), ("X-Payload-Length", str(len(body))), ("X-Page-ID", str(page))]
+        return [*head, *more], b"" if kind == "revisit" else body
+
+    again = [("WARC-Profile", warc.PROFILE), ("X-Refers-To-Page", "2")]
+    good = [record("response", 2, b"body"), record("revisit", 1, b"body", *again)]
+    archive("good", good)
+    archive("bad", [good[0], record("revisit", 1, b"body", *again, digest="0" * 40)])
+    archive("ugly", [good[0], record("response", 3, b"body", digest="0" * 40)])
+    archive("unlisted", good)
+    path = f"file://{tmp_path}"
+    assert warc.read_archives(path, spark.createDataFrame([("good", 2)], "file string, records long")).count() == 2
+    for name, n in (("good", 3), ("bad", 2), ("ugly", 2)):
+        with pytest.raises(Exception, match="WarcError|revisit"):
+            warc.read_archives(path, spark.createDataFrame([(name, n)], "file string, records long"))
+
+
 def test_warc_rejects_broken_archives():
     head = [("WARC-Type", "response"), ("WARC-Record-ID", "i"), ("WARC-Date", "d")]
     record = warc.record_bytes(head, b"hello")
