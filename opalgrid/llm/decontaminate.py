@@ -7,26 +7,31 @@ A match at word p of a shingle at place q of a window fixes the only possible st
 start must lie in the document (position bound) and the window must end in it (length bound).
 What is left is verified word by word over the item-sized window.
 
-The benchmark is a stated query set.  It is handled in blocks of at most ``BLOCK_BYTES`` of text,
-each sent to all tasks; documents are never shuffled.
+The benchmark is a stated query set.  It is handled in blocks of at most ``BLOCK_BYTES`` of text, one
+at a time: the driver and each task hold one block only.  One block, as benchmarks of a few
+thousand items make, is sent to the tasks that read the documents, and nothing is shuffled.  With
+more blocks each is searched in a pass of its own; what a pass finds is written, and meets the
+documents' rows in a join.
 
 Defined results: null or empty texts have no words and are clean; items without words or without
 an id are ignored; repeated items count once; an item of fewer words than a window is one window;
-repeated document rows each get a row; other columns of either table are not looked at.
+repeated document rows each get a row; empty tables give no rows, or clean ones without items; a
+text may be as long as a task's memory allows; other columns of either table, whatever their names,
+are not looked at, and ``decontaminate`` returns them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opalgrid.llm._store import stored
 from opalgrid.llm._text import LOWER, NOT_ALNUM, chunks, count_by_row, cover, gram_hashes, rows_of, spans, word_hashes
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
@@ -181,7 +186,7 @@ def _result(ids, n_words, n_hit, items: list[list[str]]) -> pa.RecordBatch:
 def _report_task(block: Block):
     def run(batches):
         for rows, bounds, hit, items in _hit_chunks(block, batches):
-            yield _result(rows.column("doc_id").cast(pa.int64()), np.diff(bounds), count_by_row(hit, bounds), [sorted(items[r]) if r in items else [] for r in range(rows.num_rows)])
+            yield _result(rows.column("doc_id"), np.diff(bounds), count_by_row(hit, bounds), [sorted(items[r]) if r in items else [] for r in range(rows.num_rows)])
 
     return run
 
@@ -198,16 +203,12 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
 
 
-def blocks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> list[Block]:
-    """Indexed blocks of the benchmark, rarity counted over all documents.
+def blocks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Indexed blocks of the benchmark one after the other, rarity counted over all documents.
 
-    Only the benchmark reaches the driver, one block of at most about ``block_bytes`` of text at a
-    time while it is indexed; a single longer item makes a block larger.
-    """
+    A block holds at most about ``block_bytes`` of text; a single longer item makes it larger."""
     items = _items(benchmark)
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) // block_bytes))
-    found = []
+    n = _block_count(items, block_bytes)
     for b in range(n):
         block = Block([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").collect()], window, shingle)
         if block.owners:
@@ -216,47 +217,72 @@ def blocks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
             for m, k, c in seen.groupBy("n", "k").agg(F.sum("count")).collect():
                 counts[m][k] = c
             block.index(counts)
-            found.append(block)
-    return found
-
+            yield block
 
-def _as_input(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.col("text").cast("string").alias("text"))
 
+def _block_count(items: DataFrame, block_bytes: int) -> int:
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return max(1, -(-int(size) // block_bytes))
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: words, words hit, items found and their digest."""
-    found = blocks(documents, benchmark, window, shingle, block_bytes)
-    docs = _as_input(documents)
-    if len(found) <= 1:
-        block = found[0] if found else _empty(window, shingle)
-        return docs.mapInArrow(_report_task(block), RESULT)
-    return docs.mapInArrow(_many_task(_parts(documents, found)), RESULT)
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """Rows that agree in the text's two hashes and length have the same hits."""
+    text = F.col("text").cast("string")
+    return documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hit_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("hit_b"))
 
-def _parts(documents: DataFrame, found: list[Block]) -> list:
-    """Blocks beyond the first travel as broadcasts, so that a task's closure stays small."""
-    context = documents.sparkSession.sparkContext
-    return [context.broadcast(cloudpickle.dumps(b)) for b in found]
 
+def _found_task(block: Block):
+    """(hit_a, hit_b, starts and ends of hit words as packed int32, items) of texts with hits."""
 
-def _many_task(parts):
     def run(batches):
-        own = [pickle.loads(p.value) for p in parts]
-        for batch in batches:
-            for rows, data, offsets in chunks([batch]):
-                items: dict[int, set[str]] = defaultdict(set)
-                hit = bounds = None
-                for block in own:
-                    for _, bounds, h, found in _hit_chunks(block, [rows]):
-                        hit = h if hit is None else hit | h
-                        for r, i in found.items():
-                            items[r] |= i
-                yield _result(rows.column("doc_id").cast(pa.int64()), np.diff(bounds), count_by_row(hit, bounds), [sorted(items[r]) if r in items else [] for r in range(rows.num_rows)])
+        for rows, bounds, hit, items in _hit_chunks(block, batches):
+            for r in sorted(items):
+                own = hit[bounds[r] : bounds[r + 1]]
+                edge = np.flatnonzero(np.diff(np.r_[0, own.astype(np.int8), 0])).astype("<i4")
+                yield pa.record_batch({"hit_a": rows.column("hit_a").slice(r, 1), "hit_b": rows.column("hit_b").slice(r, 1), "spans": pa.array([edge.tobytes()], pa.binary()), "items": pa.array([sorted(items[r])], pa.list_(pa.string()))})
 
     return run
 
 
+def _many(documents: DataFrame, found: Iterator[Block]) -> DataFrame:
+    """(hit_a, hit_b, spans, items): what all blocks find, one row per text."""
+    texts, parts = _keyed(documents).drop("doc_id"), None
+    for block in found:
+        # a text's row is written once, however many documents share the text
+        rows = stored(texts.mapInArrow(_found_task(block), "hit_a long, hit_b long, spans binary, items array<string>").dropDuplicates(["hit_a", "hit_b"]), "hits")
+        parts = rows if parts is None else parts.union(rows)
+    if parts is None:
+        return documents.sparkSession.createDataFrame([], "hit_a long, hit_b long, spans array<binary>, items array<string>")
+    return parts.groupBy("hit_a", "hit_b").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _count_words_task(batches):
+    for rows, data, offsets in chunks(batches):
+        _, _, bounds = spans(LOWER[data], offsets, NOT_ALNUM)
+        yield pa.record_batch([rows.column("doc_id"), rows.column("hit_a"), rows.column("hit_b"), pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "hit_a", "hit_b", "n_words"])
+
+
+def _sum_task(batches):
+    for rows in batches:
+        n_words, n_hit = rows.column("n_words").to_pylist(), []
+        for n, lists in zip(n_words, rows.column("spans").to_pylist()):
+            edges = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in lists or []] or [np.empty((0, 2), np.int32)]).astype(np.int64)
+            n_hit.append(int(cover(edges[:, 0], edges[:, 1], n).sum()))
+        yield _result(rows.column("doc_id"), n_words, n_hit, [x or [] for x in rows.column("items").to_pylist()])
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document row: words, words hit, items found and their digest."""
+    found = blocks(documents, benchmark, window, shingle, block_bytes)
+    docs = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if _block_count(_items(benchmark), block_bytes) == 1:
+        block = next(found, None) or _empty(window, shingle)
+        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_report_task(block), RESULT)
+    counted = _keyed(docs).mapInArrow(_count_words_task, "doc_id long, hit_a long, hit_b long, n_words long")
+    joined = counted.join(_many(docs, found), ["hit_a", "hit_b"], "left")
+    return joined.select("doc_id", "n_words", "spans", "items").mapInArrow(_sum_task, RESULT)
+
+
 def _empty(window: int, shingle: int) -> Block:
     block = Block([], window, shingle)
     block.prefixes = {}
@@ -265,6 +291,12 @@ def _empty(window: int, shingle: int) -> Block:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of documents in which no benchmark window occurs, with all their columns."""
-    for block in blocks(documents, benchmark, window, shingle, block_bytes):
-        documents = documents.mapInArrow(_keep_task(block), documents.schema)
-    return documents
+    found = blocks(documents, benchmark, window, shingle, block_bytes)
+    if _block_count(_items(benchmark), block_bytes) == 1:
+        block = next(found, None)
+        return documents if block is None else documents.withColumn("text", F.col("text").cast("string")).mapInArrow(_keep_task(block), documents.schema)
+    text = F.col("text").cast("string")
+    gone = _many(documents, found).select(F.col("hit_a").alias("__hit_a"), F.col("hit_b").alias("__hit_b"))
+    # a null text has no hits
+    same = (F.xxhash64(text) == F.col("__hit_a")) & (F.xxhash64(F.lit(1), text, F.length(text)) == F.col("__hit_b"))
+    return documents.join(gone, same, "left_anti")
