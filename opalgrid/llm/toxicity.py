@@ -2,17 +2,19 @@
 
 Terms are a text's words and their beginnings, hashed to ``BUCKETS``.  The machine scores
 w0 + sum w_i + sum over pairs <v_i, v_j> of the terms present, so a pair such as an insult and a
-group mention can weigh more than its parts.  Terms take part if a chi-square test on the labelled
-rows says so; the whole text of every document is scored.
+group mention can weigh more, or less, than its parts.  Terms take part if a chi-square test on the
+labelled rows says so: on all of them, or on those that hold a term chosen so; the second test keeps
+terms that matter only beside another.  The whole text of every document is scored.
 
-Training uses at most ``MAX_LABELLED`` labelled rows, those with the lowest hashes of doc_id, out of
-the rows that are not held out: crc32(doc_id as text) mod 3 is 1 for those.  Nothing but the text
-enters a score.
+Training uses at most ``MAX_LABELLED`` labelled texts, those with the lowest hashes of doc_id, out of
+the rows that are not held out: crc32(doc_id as text) mod 3 is 1 for those.  They are written once.
+Nothing but the text enters a score.
 
 Defined results: null and empty texts are scored (by w0 alone); a null doc_id is hashed as null and
 counts as not held out, but is never trained on; a doc_id with several labels is trained on each
 distinct one; repeated rows are scored each; without labels of both classes every score is 0.5;
-other columns are not looked at.
+empty tables give no rows; a text may be as long as a task's memory allows; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from opalgrid.llm._store import stored
 from opalgrid.llm._text import BASE, BASE_INV, BYTE_CODE, LOWER, NOT_ALNUM, SpanHasher, chunks, rows_of, spans
 
-BUCKETS, FACTORS, MAX_LABELLED, THRESHOLD = 1 << 20, 4, 20_000, 0.7
+BUCKETS, FACTORS, MAX_LABELLED, THRESHOLD = 1 << 20, 8, 20_000, 0.7
 STARTS = (4, 5, 6)
 MIN_CHI2, MIN_DOCS = 20.0, 3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -45,17 +47,26 @@ def term_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _count_task(batches):
-    totals = {0: np.zeros(BUCKETS, np.int32), 1: np.zeros(BUCKETS, np.int32)}
-    for rows, data, offsets in chunks(batches):
-        pairs = np.unique(term_pairs(data, offsets))
-        toxic = rows.column("toxic").to_numpy(zero_copy_only=False)
-        for label, total in totals.items():
-            total += np.bincount(pairs[toxic[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS).astype(np.int32)
-    at = np.flatnonzero(totals[0] + totals[1])
-    for lo in range(0, len(at), 1 << 16):
-        k = at[lo : lo + (1 << 16)]
-        yield pa.record_batch({"term": pa.array(k), "clean": pa.array(totals[0][k].astype(np.int64)), "toxic": pa.array(totals[1][k].astype(np.int64))})
+def _count_task(beside: np.ndarray | None = None):
+    """Labelled texts that hold each term; with ``beside``, of those that hold one of its terms."""
+
+    def run(batches):
+        totals = {0: np.zeros(BUCKETS, np.int32), 1: np.zeros(BUCKETS, np.int32)}
+        for rows, data, offsets in chunks(batches):
+            pairs = np.unique(term_pairs(data, offsets))
+            toxic = rows.column("toxic").to_numpy(zero_copy_only=False)
+            if beside is not None:
+                holds = np.zeros(rows.num_rows, bool)
+                holds[(pairs // BUCKETS)[beside[pairs % BUCKETS]]] = True
+                toxic = np.where(holds, toxic, -1)
+            for label, total in totals.items():
+                total += np.bincount(pairs[toxic[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        at = np.flatnonzero(totals[0] + totals[1])
+        for lo in range(0, len(at), 1 << 16):
+            k = at[lo : lo + (1 << 16)]
+            yield pa.record_batch({"term": pa.array(k), "clean": pa.array(totals[0][k].astype(np.int64)), "toxic": pa.array(totals[1][k].astype(np.int64))})
+
+    return run
 
 
 def _terms_task(index: np.ndarray):
@@ -89,7 +100,7 @@ class Machine:
     def score(self, rows, terms, n) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows, terms, n), -30, 30)))
 
-    def fit(self, rows, terms, labels, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Machine:
+    def fit(self, rows, terms, labels, steps: int = 150, rate: float = 0.05, decay: float = 1e-4) -> Machine:
         n, size = len(labels), len(self.weights)
         share = labels.mean()
         self.bias = float(np.log(share / (1 - share)))
@@ -120,32 +131,61 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, Machine] | None:
+def _telling(texts: DataFrame, n0: int, n1: int, beside: np.ndarray | None = None) -> np.ndarray:
+    """Terms that a chi-square test finds, out of BUCKETS at most; n0 clean and n1 toxic texts."""
+    if not n0 or not n1:
+        return np.empty(0, np.int64)
+    counts = texts.mapInArrow(_count_task(beside), "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    n = float(n0 + n1)
+    df, off = F.col("c") + F.col("t"), F.col("t") * F.lit(float(n0)) - F.col("c") * F.lit(float(n1))
+    chi2 = n * off * off / (F.lit(float(n0)) * F.lit(float(n1)) * df * (F.lit(n) - df))
+    found = counts.where((df >= MIN_DOCS) & (df < n) & (chi2 >= MIN_CHI2)).select("term").collect()
+    return np.array(sorted(r.term for r in found), np.int64)
+
+
+def _labels_task(beside: np.ndarray):
+    """The labels of texts that hold one of the terms."""
+
+    def run(batches):
+        for rows, data, offsets in chunks(batches):
+            pairs = term_pairs(data, offsets)
+            holds = np.unique((pairs // BUCKETS)[beside[pairs % BUCKETS]])
+            yield pa.record_batch([rows.column("toxic").take(pa.array(holds))], names=["toxic"])
+
+    return run
+
+
+def _classes(rows: DataFrame) -> tuple[int, int]:
+    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    return total.get(0, 0), total.get(1, 0)
+
+
+def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, factors: int = FACTORS) -> tuple[np.ndarray, Machine] | None:
     """(bucket -> term number or -1, machine), or None without both classes."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    rows = rows.where(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
-    rows = stored(rows, "labelled")
+    order = (F.xxhash64("doc_id"), "doc_id", "toxic")
+    rows = stored(rows.where(~held_out(F.col("doc_id"))).distinct().orderBy(*order).limit(max_labelled), "labelled")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most max_labelled rows of two numbers
-    texts = texts.join(F.broadcast(rows), "doc_id").select("toxic", "text")
-    counts = texts.mapInArrow(_count_task, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    total = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
+    # at most max_labelled rows of two numbers; rows that agree are trained on once
+    texts = texts.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id", "toxic", "text"])
+    texts = stored(texts, "texts")
+    if texts.count() > max_labelled:  # unlike texts under one doc_id
+        texts = stored(texts.orderBy(*order, F.xxhash64("text")).limit(max_labelled), "texts")
+    n0, n1 = _classes(texts)
     if not n0 or not n1:
         return None
-    n = float(n0 + n1)
-    df, off = F.col("c") + F.col("t"), F.col("t") * F.lit(float(n0)) - F.col("c") * F.lit(float(n1))
-    chi2 = n * off * off / (F.lit(float(n0)) * F.lit(float(n1)) * df * (F.lit(n) - df))
-    known = counts.where((df >= MIN_DOCS) & (df < n) & (chi2 >= MIN_CHI2)).select("term").collect()  # BUCKETS at most
-    index = np.full(BUCKETS, -1, np.int32)
-    index[sorted(r.term for r in known)] = np.arange(len(known))
+    chosen = np.zeros(BUCKETS, bool)
+    chosen[_telling(texts, n0, n1)] = True
+    if chosen.any():
+        chosen[_telling(texts, *_classes(texts.mapInArrow(_labels_task(chosen), "toxic int")), chosen)] = True
+    index = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
     sets = texts.mapInArrow(_terms_task(index), "toxic int, terms binary").collect()
     labels_ = np.array([r.toxic for r in sets])
     terms = [np.frombuffer(r.terms, "<i4") for r in sets]
     order = sorted(range(len(sets)), key=lambda i: (labels_[i], bytes(sets[i].terms)))  # rows come in any order
     rows_ = np.repeat(np.arange(len(sets)), [len(terms[i]) for i in order])
     flat = np.concatenate([terms[i] for i in order]).astype(np.int64)
-    return index, Machine(len(known)).fit(rows_, flat, labels_[order])
+    return index, Machine(int(chosen.sum()), factors).fit(rows_, flat, labels_[order])
 
 
 def _score_task(model):
@@ -164,10 +204,11 @@ def _score_task(model):
     return run
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of documents."""
+def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD, factors: int = FACTORS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of documents; without factors the machine is
+    a linear model."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    model = train(documents, labels, max_labelled)
+    model = train(documents, labels, max_labelled, factors)
     if model is None:
         scored = docs.select("doc_id", "held_out", F.lit(0.5).alias("score"))
     else:

@@ -606,6 +606,25 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, marks).count() == 0
 
 
+def test_pairs_decide(spark):
+    """Either insult is toxic beside one group only: weights of single words cannot tell."""
+    rng = random.Random(12)
+    words, table, labels = [f"w{i}" for i in range(200)], [], []
+    for i in range(1500):
+        a, b = rng.choice(["scum", "vermin", None]), rng.choice(["teachers", "sailors", None])
+        toxic = (a, b) in (("scum", "teachers"), ("vermin", "sailors"))
+        w = [rng.choice(words) for _ in range(30)] + [x for x in (a, b) if x]
+        rng.shuffle(w)
+        table.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame([*table, *table[:5]], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    right = {}
+    for factors in (0, 8):
+        held = [r for r in toxicity.toxicity(docs, marks, factors=factors).collect() if r.held_out]
+        right[factors] = sum(r.predicted == labels[r.doc_id][1] for r in held) / len(held)
+    assert right[8] > 0.95 and right[0] < 0.85
+
+
 def test_machine_learns_pairs():
     """Two terms that only together mean the label: no linear weights can tell."""
     rng = np.random.default_rng(0)
