@@ -136,6 +136,12 @@ def match_json(order: list[Column], fields: Column) -> Column:
     return F.to_json(F.transform(keyed, lambda s: s["item"]))
 
 
+def lines_json(order: list[Column]) -> Column:
+    """Aggregate over (text, confidence, x, y, w, h): ``{"lines":[...]}`` in the given order."""
+    item = F.struct("text", finite(F.col("confidence")).alias("confidence"), F.struct("x", "y", "w", "h").alias("box"))
+    return F.concat(F.lit('{"lines":'), match_json(order, item), F.lit("}"))
+
+
 def finite(value: Column) -> Column:
     """Zero for what JSON cannot hold."""
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)

@@ -9,38 +9,75 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalgrid.functions.pixels import intersection, iou
 
-TEMPLATE_OVERLAP, DETECTION_OVERLAP = 0.30, 0.45
+TEMPLATE_OVERLAP, DETECTION_OVERLAP, CELL = 0.30, 0.45, 64
 ORDERED_BOX = "image_id bigint, line_no int, pos int, detection_index int, x int, y int, w int, h int"
 
 
-def overlap_pairs(boxes: DataFrame, group: str, key: str) -> DataFrame:
-    """Pairs of boxes of one group (key < key2) with a shared area, and their IoU."""
-    a = boxes.select(group, F.col(key).alias("key_a"), F.struct("x", "y", "w", "h").alias("a"))
-    b = boxes.select(group, F.col(key).alias("key_b"), F.struct("x", "y", "w", "h").alias("b"))
-    both = a.join(b, group).where(F.col("key_a") < F.col("key_b"))
-    shared = intersection(F.col("a"), F.col("b"))
-    return both.where(shared > 0).select(group, "key_a", "key_b", iou(F.col("a"), F.col("b")).alias("iou"))
-
-
-def suppress(boxes: DataFrame, group: list[str], order: list[Column], overlap: Column | float, fields: list[str]) -> DataFrame:
-    """Greedy suppression inside each group, in the given (total) order.
+def overlap_pairs(boxes: DataFrame, group: str, key: str, cell: int = CELL) -> DataFrame:
+    """Pairs of boxes of one group (key < key2) with a shared area, and their IoU.
 
-    A box stays unless its IoU with a box that stayed before it is over ``overlap`` (strictly)."""
-    item = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(c) for c in fields])
+    Boxes meet in the cells of a grid that they touch, not in all pairs of a group; a pair counts in
+    the cell that holds its shared area's first corner."""
+    at = lambda c: F.floor(c / cell)
+    box = F.struct("x", "y", "w", "h")
+    covers = lambda c, n: F.sequence(at(F.col(c)), at(F.col(c) + F.greatest(F.col(n), F.lit(1)) - 1))
+    rows = boxes.select(group, F.col(key).alias("key"), box.alias("box"), F.explode(covers("x", "w")).alias("cx"), covers("y", "h").alias("cys")).select(group, "key", "box", "cx", F.explode("cys").alias("cy"))
+    a = rows.select(group, "cx", "cy", F.col("key").alias("key_a"), F.col("box").alias("a"))
+    b = rows.select(group, "cx", "cy", F.col("key").alias("key_b"), F.col("box").alias("b"))
+    both = a.join(b, [group, "cx", "cy"]).where(F.col("key_a") < F.col("key_b"))
+    first = lambda c: at(F.greatest(F.col("a")[c], F.col("b")[c]))
+    shared = intersection(F.col("a"), F.col("b"))
+    return both.where((shared > 0) & (first("x") == F.col("cx")) & (first("y") == F.col("cy"))).select(group, "key_a", "key_b", iou(F.col("a"), F.col("b")).alias("iou"))
+
+
+def keep_greedily(box: np.ndarray, limit: float) -> list[int]:
+    """Rows of (x, y, w, h), in order, that share no more than ``limit`` with a row kept before them."""
+    if len(box) == 1:
+        return [0]
+    low, high = box[:, :2], box[:, :2] + box[:, 2:]
+    area = box[:, 2] * box[:, 3]
+    alive = np.ones(len(box), bool)
+    for i in range(len(box)):
+        if alive[i]:
+            side = np.maximum(0, np.minimum(high[i], high[i + 1 :]) - np.maximum(low[i], low[i + 1 :]))
+            shared = side[:, 0] * side[:, 1]
+            union = area[i] + area[i + 1 :] - shared
+            alive[i + 1 :] &= ~(np.divide(shared, union, out=np.zeros(len(union)), where=union > 0) > limit)
+    return np.flatnonzero(alive).tolist()
+
+
+def suppress(boxes: DataFrame, group: list[str], order: list[Column], overlap: float, fields: list[str]) -> DataFrame:
+    """Greedy suppression inside each group, in the given (total) order; fields hold x, y, w and h.
+
+    A box stays unless its IoU with a box that stayed before it is over ``overlap`` (strictly).  A
+    group's boxes meet in one row; NumPy walks them, one kept box at a time."""
+    item = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*fields).alias("box"))
     listed = boxes.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("boxes"))
-    empty = F.expr("slice(boxes, 1, 0)")
-    limit = F.lit(overlap) if not isinstance(overlap, Column) else overlap
-
-    def step(kept, box):
-        return F.when(F.exists(kept, lambda k: iou(k, box) > limit), kept).otherwise(F.concat(kept, F.array(box)))
-
-    kept = listed.select(*group, F.explode(F.aggregate("boxes", empty, step)).alias("b"))
-    return kept.select(*group, *[F.col(f"b.{c}").alias(c) for c in fields])
+    listed = listed.select(*group, F.transform("boxes", lambda b: b["box"]).alias("boxes"))
+    types = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*group, *fields))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("boxes")
+            flat = lists.flatten()
+            box = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xywh"])
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            rows, owners = [], []
+            for i, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                kept = keep_greedily(box[lo:hi], overlap)
+                rows += [lo + k for k in kept]
+                owners += [i] * len(kept)
+            rows, owners = pa.array(rows, pa.int64()), pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owners) for c in group), *(flat.field(c).take(rows) for c in fields)], names=[*group, *fields])
+
+    return listed.mapInArrow(run, schema)
 
 
 @dataclass

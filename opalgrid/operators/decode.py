@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def ctc_greedy(logits: DataFrame, charset: DataFrame) -> DataFrame:
     rows = logits.select("seq_id", "t", (F.array_position(p, top) - 1).cast("int").alias("idx"), F.when(plain, top).otherwise(soft).alias("p"))
     before = F.lag("idx").over(Window.partitionBy("seq_id").orderBy("t"))
     rows = rows.withColumn("emit", (F.col("idx") != 0) & ~F.col("idx").eqNullSafe(before))
-    named = rows.join(F.broadcast(charset), "idx", "left")
+    named = rows.join(charset, "idx", "left")
     letters = F.sort_array(F.collect_list(F.when(F.col("emit"), F.struct("t", F.coalesce("ch", F.lit("")).alias("ch")))))
     return named.groupBy("seq_id").agg(F.array_join(F.transform(letters, lambda s: s["ch"]), "").alias("text"), F.coalesce(F.avg(F.when(F.col("emit"), F.col("p"))), F.lit(0.0)).alias("confidence"))
 
@@ -62,16 +63,35 @@ def beam_search(logits: np.ndarray, width: int = 5, symbols: int | None = None)
     return list(max(beams.items(), key=lambda b: add(*b[1]))[0])
 
 
-def ctc_beam(logits: DataFrame, chars: list[str], width: int = 5) -> DataFrame:
-    """(seq_id, text) by prefix beam search; a sequence's steps meet in one task."""
+def greedy(logits: np.ndarray) -> tuple[list[int], float]:
+    """(symbols, mean probability of the emitted ones) of (T, C) logits; 0 is the blank.
+
+    A step that is no distribution goes through softmax."""
+    rows = logits.astype(float)
+    top, total = rows.max(axis=1), rows.sum(axis=1)
+    plain = (rows.min(axis=1) >= -1e-6) & (top <= 1 + 1e-6) & (total > 0.95) & (total < 1.05)
+    sure = np.where(plain, top, 1 / np.exp(rows - top[:, None]).sum(axis=1))
+    best = rows.argmax(axis=1)
+    emit = (best != 0) & np.r_[True, best[1:] != best[:-1]]
+    return best[emit].tolist(), float(sure[emit].mean()) if emit.any() else 0.0
 
-    def one(key, frame):
-        import pandas as pd
 
-        steps = np.stack(frame.sort_values("t")["probs"].to_list()).astype(float)
-        return pd.DataFrame({"seq_id": [key[0]], "text": ["".join(chars[i] for i in beam_search(steps, width, len(chars)))]})
+def ctc_beam(logits: DataFrame, chars: list[str], width: int = 5) -> DataFrame:
+    """(seq_id, text, confidence) by prefix beam search over rows (seq_id, steps): the steps' logits in
+    order.  The confidence is the greedy decoder's, so that both decoders share one scale."""
+    n = len(chars)
+
+    def run(batches):
+        for batch in batches:
+            texts, sure = [], []
+            for steps in batch.column("steps"):
+                table = np.array(steps.as_py(), float).reshape(len(steps), -1)
+                found, own = (beam_search(table, width, n), greedy(table)[1]) if len(steps) else ([], 0.0)
+                texts.append("".join(chars[i] for i in found))
+                sure.append(own)
+            yield pa.record_batch({"seq_id": batch.column("seq_id"), "text": pa.array(texts, pa.string()), "confidence": pa.array(sure, pa.float64())})
 
-    return logits.groupBy("seq_id").applyInPandas(one, "seq_id bigint, text string")
+    return logits.select(F.col("seq_id").cast("long").alias("seq_id"), "steps").mapInArrow(run, "seq_id long, text string, confidence double")
 
 
 def class_axis(shape: tuple[int, ...], classes: int) -> int:
@@ -105,15 +125,13 @@ def yolo_decode(candidates: DataFrame, scale: Column, pad_x: Column, pad_y: Colu
 
 def with_labels(detections: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds label; a class without one is named by its number."""
-    named = detections.join(F.broadcast(labels), "class_id", "left")
+    named = detections.join(labels, "class_id", "left")
     return named.withColumn("label", F.coalesce("label", F.col("class_id").cast("string")))
 
 
-def resize(image: np.ndarray, height: int, width: int, bilinear: bool = True) -> np.ndarray:
-    """Half-pixel bilinear (truncated) or nearest resampling of uint8 pixels."""
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Half-pixel bilinear (truncated) resampling of uint8 pixels."""
     h, w = image.shape[:2]
-    if not bilinear:
-        return image[np.minimum(np.arange(height) * h // height, h - 1)][:, np.minimum(np.arange(width) * w // width, w - 1)]
 
     def axis(n, size):
         at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)

@@ -16,17 +16,6 @@ from opalgrid.sources.images import to_bgr
 OVERLAP, SNAP, MAX_TEMPLATES_BYTES = 0.30, 1e-6, 256 << 20
 
 
-def sad_relation(pixels: DataFrame, template: DataFrame, width: int, height: int) -> DataFrame:
-    """Scores of all template places in small images, as a join of pixel tables.
-
-    pixels (image_id, y, x, v) and template (template_index, dy, dx, tv, n); v is gray, so each
-    difference counts three times in a range of 765."""
-    at = pixels.join(F.broadcast(template)).select("image_id", "template_index", (F.col("x") - F.col("dx")).alias("x"), (F.col("y") - F.col("dy")).alias("y"), "tw", "th", "n", (3 * F.abs(F.col("v") - F.col("tv"))).alias("d"))
-    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + F.col("tw") <= width) & (F.col("y") + F.col("th") <= height)
-    total = at.where(inside).groupBy("image_id", "template_index", "x", "y", "tw", "th").agg(F.sum("d").alias("diff"), F.first("n").alias("n"))
-    return total.withColumn("score", F.lit(1.0) - F.col("diff") / (F.lit(765.0) * F.col("n")))
-
-
 def sad_map(image: np.ndarray, template: np.ndarray, mask: np.ndarray | None = None, tolerance=(0, 0, 0)) -> np.ndarray:
     """1 - sum |difference| / (765 n) for every place, BGR; masked-out pixels do not count."""
     th, tw = template.shape[:2]
@@ -123,18 +112,24 @@ def fill_hidden(template: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return out
 
 
+PEAK_SLACK, PLATEAU_SLACK = np.float32(1e-6), np.float32(1e-7)
+
+
 def local_peaks(score: np.ndarray, minimum: float, height: int, width: int) -> list[tuple[int, int]]:
-    """(y, x) of window maxima at least ``minimum``; of a plateau the first in row-major order."""
+    """(y, x) of window maxima at least ``minimum``, of a plateau the first in row-major order.
+
+    Scores are compared in 32 bits; one within ``PEAK_SLACK`` of its window's maximum is a maximum, as
+    rounding may part equal ones."""
+    score = score.astype(np.float32)
     ry, rx = max(1, int(height * 0.30)), max(1, int(width * 0.30))
     padded = np.pad(score, ((ry, ry), (rx, rx)), constant_values=-np.inf)
     across = sliding_window_view(padded, 2 * rx + 1, axis=1).max(axis=2)
     best = sliding_window_view(across, 2 * ry + 1, axis=0).max(axis=2)
-    peak = (score >= minimum) & (score >= best)
-    close = lambda a, b: np.abs(a - b) <= 1e-7
-    left, up = np.zeros_like(peak), np.zeros_like(peak)
-    left[:, 1:] = close(score[:, 1:], score[:, :-1])
-    up[1:] = close(score[1:], score[:-1])
-    return [tuple(p) for p in np.argwhere(peak & ~left & ~up).tolist()]
+    peak = np.isfinite(score) & (score >= np.float32(minimum)) & (score + PEAK_SLACK >= best)
+    for axis in (0, 1):
+        again = np.abs(np.diff(score, axis=axis)) <= PLATEAU_SLACK
+        peak &= ~np.pad(again, [(1, 0) if k == axis else (0, 0) for k in (0, 1)])
+    return [tuple(p) for p in np.argwhere(peak).tolist()]
 
 
 def bias_ok(window: np.ndarray, template: np.ndarray, tolerance, minimum: float, mask: np.ndarray | None = None) -> bool:

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from opalgrid.functions.text import parse_color_rules
-from opalgrid.operators.decode import resize
 from opalgrid.operators.trace import otsu
 from opalgrid.sources.images import to_bgr
 
@@ -126,14 +125,41 @@ def color_mask(bgr: np.ndarray, rules, binary: bool, antialias: bool = False) ->
     return Candidate("color", _three(value), mask=hit)
 
 
+def _half_pixel(n: int, size: int) -> tuple[np.ndarray, ...]:
+    """Places of n samples over size pixels: lower and upper neighbour, share of the upper, nearest.
+
+    All in 32 bits, as thresholds are compared with the results.  The share comes from the place
+    before it is held inside the image, so the first samples of an enlarged edge still blend."""
+    at = (np.arange(n, dtype=np.float32) + np.float32(0.5)) / (np.float32(n) / np.float32(size)) - np.float32(0.5)
+    low = np.floor(at)
+    inside = np.clip(low.astype(int), 0, size - 1)
+    near = np.clip(np.floor(at.astype(float) + 0.5).astype(int), 0, size - 1)
+    return inside, np.minimum(inside + 1, size - 1), np.clip(at - low, 0, 1), near
+
+
+def enlarge(pixels: np.ndarray, height: int, width: int, nearest: bool = False) -> np.ndarray:
+    y0, y1, fy, ny = _half_pixel(height, pixels.shape[0])
+    x0, x1, fx, nx = _half_pixel(width, pixels.shape[1])
+    if nearest:
+        return pixels[ny][:, nx]
+    a, one = pixels.astype(np.float32), np.float32(1)
+    fx, fy = fx[None, :, None], fy[:, None, None]
+    rows = [a[y][:, x0] * (one - fx) + a[y][:, x1] * fx for y in (y0, y1)]
+    return np.clip(rows[0] * (one - fy) + rows[1] * fy, 0, 255).astype(np.uint8)
+
+
 def resized(candidate: Candidate, scale: float, name: str, nearest: bool = False) -> Candidate:
+    """The candidate enlarged; sizes round half up, and a scale of 1 leaves it as it is."""
+    if np.float32(scale) <= np.float32(1.0001):
+        return replace(candidate, name=name)
     h, w = candidate.pixels.shape[:2]
-    nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
+    nh, nw = (max(1, math.floor(float(np.float32(n) * np.float32(scale)) + 0.5)) for n in (h, w))
+    sy, sx = np.float32(nh) / np.float32(h), np.float32(nw) / np.float32(w)
     mask = candidate.mask
     if mask is not None:
-        mask = mask[np.minimum((np.arange(nh) * h) // nh, h - 1)][:, np.minimum((np.arange(nw) * w) // nw, w - 1)]
-    pixels = candidate.pixels if (nh, nw) == (h, w) else resize(candidate.pixels, nh, nw, not nearest)
-    return Candidate(name, pixels, nw / w, nh / h, mask)
+        at = [np.clip(np.floor(np.arange(n, dtype=np.float32) / s).astype(int), 0, m - 1) for n, s, m in ((nh, sy, h), (nw, sx, w))]
+        mask = mask[at[0]][:, at[1]]
+    return Candidate(name, enlarge(candidate.pixels, nh, nw, nearest), float(sx), float(sy), mask)
 
 
 def otsu_candidates(gray: Candidate) -> list[Candidate]:
@@ -281,14 +307,17 @@ def better(a: Evaluation, b: Evaluation) -> bool:
         return a.target_groups > b.target_groups
     if a.complete != b.complete:
         return a.complete
-    for gain, margin in ((np.float32(a.coverage) - np.float32(b.coverage), 0.05), (np.float32(b.overlap_ratio) - np.float32(a.overlap_ratio), 0.20)):
-        if abs(gain) >= np.float32(margin):
-            return bool(gain > 0)
+    single, cover, share = np.float32, np.float32(0.05), np.float32(0.20)
+    # a gain of the whole margin decides for coverage, but only more than it for overlaps
+    if single(a.coverage) >= single(b.coverage) + cover or single(b.coverage) >= single(a.coverage) + cover:
+        return a.coverage > b.coverage
+    if single(a.overlap_ratio) + share < single(b.overlap_ratio) or single(b.overlap_ratio) + share < single(a.overlap_ratio):
+        return a.overlap_ratio < b.overlap_ratio
     if a.suspicious != b.suspicious:
         return b.suspicious
-    if a.mean_confidence >= b.mean_confidence + 0.05 and a.chars >= b.chars:
+    if single(a.mean_confidence) >= single(b.mean_confidence) + single(0.05) and a.chars >= b.chars:
         return True
-    if a.chars > b.chars and a.mean_confidence + 0.10 >= b.mean_confidence:
+    if a.chars > b.chars and single(a.mean_confidence) + single(0.10) >= single(b.mean_confidence):
         return True
     return a.quality > 0 if b.quality <= 0 else a.quality >= 1.10 * b.quality
 
@@ -296,20 +325,26 @@ def better(a: Evaluation, b: Evaluation) -> bool:
 def rejection(lost: Evaluation, won: Evaluation) -> str:
     """Why a candidate lost, the weightiest reason first."""
     reasons = (
-        (lost.target_groups < won.target_groups, "fewer target groups matched"),
-        (won.complete and not lost.complete, "spatially incomplete"),
-        (lost.coverage + 0.05 < won.coverage, "lower foreground-column coverage"),
-        (lost.overlap_ratio > won.overlap_ratio + 0.20, "higher fragment-overlap penalty"),
-        (lost.suspicious and not won.suspicious, "suspicious geometry or confidence"),
-        (lost.mean_confidence + 0.05 < won.mean_confidence, "lower mean confidence"),
-        (lost.chars < won.chars, "fewer recognized characters"),
+        (lost.target_groups < won.target_groups, "the winner holds more of the wanted texts"),
+        (won.complete and not lost.complete, "it leaves part of the foreground unread"),
+        (lost.coverage + 0.05 < won.coverage, "it covers less of the foreground"),
+        (lost.overlap_ratio > won.overlap_ratio + 0.20, "its lines are more broken up"),
+        (lost.suspicious and not won.suspicious, "its shape or confidence is doubtful"),
+        (lost.mean_confidence + 0.05 < won.mean_confidence, "it is less sure"),
+        (lost.chars < won.chars, "it is shorter"),
     )
-    return next((text for holds, text in reasons if holds), "not preferred by generic candidate tie-break")
-
-
-def confident(lines: list[TextLine], minimum: float) -> list[TextLine]:
-    """Lines with a finite confidence of at least the minimum."""
-    return [t for t in lines if math.isfinite(t.confidence) and t.confidence >= minimum]
+    return next((text for holds, text in reasons if holds), "the winner scores higher on the whole")
+
+
+def confident(lines: list[TextLine], minimum: float, rule: str = "finite") -> list[TextLine]:
+    """Lines of at least the minimum confidence.  What is no number goes with the rules ``finite`` (infinite
+    ones too) and ``reached``, and stays with ``not_below``."""
+    keep = {
+        "finite": lambda c: math.isfinite(c) and c >= minimum,
+        "reached": lambda c: c >= minimum,
+        "not_below": lambda c: not c < minimum,
+    }[rule]
+    return [t for t in lines if keep(t.confidence)]
 
 
 def recognize(bgr: np.ndarray, recognizer: Callable[[np.ndarray], Recognition], rules=(), minimum: float = 0.0, targets: list[list[str]] | None = None) -> Selection:

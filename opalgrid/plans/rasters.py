@@ -2,6 +2,9 @@
 
 A vector of 64 floats is an 8 x 8 image: v = clamp(floor((e + 1) * 127.5), 0, 255).  Blue is the
 vector itself, green and red are its rotations by 21 and 42 places.
+
+An image is one row, and stays one: the whole-image queries hand Arrow batches of images to NumPy
+and shuffle nothing.  Queries that give one row per pixel of its own value are column expressions.
 """
 
 from __future__ import annotations
@@ -10,12 +13,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalgrid.functions import pixels as P
 from opalgrid.operators.boxes import label_components
-from opalgrid.operators.match import find_templates
+from opalgrid.operators.match import find_templates, suppress
+from opalgrid.operators.recognize import adaptive_masks, stretch
+from opalgrid.operators.search import compact_hits
 from opalgrid.operators.trace import thin, trace_json
 
 SIDE, TEMPLATES, TEMPLATE_SIDE = 8, 5, 3
@@ -36,6 +42,30 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), "b", at(21).alias("g"), at(42).alias("r"))
 
 
+def _per_image(spark, sf_dir, task, schema: str) -> DataFrame:
+    """Runs task(ids, bgr) on batches of images; bgr is (n, 8, 8, 3).  The task gives arrays by column."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = np.stack([batch.column("v").flatten().to_numpy().reshape(-1, SIDE * SIDE)[:, (np.arange(SIDE * SIDE) + k) % (SIDE * SIDE)] for k in (0, 21, 42)], axis=-1)
+                found = task(batch.column("image_id").to_numpy(), v.reshape(-1, SIDE, SIDE, 3).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.values()], names=list(found))
+
+    return vectors(spark, sf_dir).mapInArrow(run, schema)
+
+
+def _grays(bgr: np.ndarray, rounded: int = 0) -> np.ndarray:
+    return (29 * bgr[..., 0] + 150 * bgr[..., 1] + 77 * bgr[..., 2] + 128 * rounded) >> 8
+
+
+def _cells(ids: np.ndarray, **values: np.ndarray) -> dict:
+    """One row per pixel of (n, 8, 8) values."""
+    n, h, w = next(iter(values.values())).shape
+    i, y, x = np.indices((n, h, w), np.int32).reshape(3, -1)
+    return {"image_id": ids[i], "y": y, "x": x, **{k: v.reshape(-1) for k, v in values.items()}}
+
+
 def _gray(rounded: bool = False):
     return P.gray(F.col("b"), F.col("g"), F.col("r"), rounded).alias("gray")
 
@@ -70,65 +100,99 @@ def raster_roi(spark, sf_dir):
 
 
 def color_stats(spark, sf_dir):
-    rows = pixels(spark, sf_dir).withColumn("gray", _gray())
-    sums = [(F.sum(c) / F.count("*")).alias(f"mean_{c}") for c in "bgr"]
-    return rows.groupBy("image_id").agg(*sums, F.min("gray").alias("min_gray"), F.max("gray").alias("max_gray"), F.count("*").alias("pixels"))
+    def task(ids, bgr):
+        gray, n = _grays(bgr).reshape(len(ids), -1), SIDE * SIDE
+        mean = bgr.reshape(len(ids), n, 3).sum(axis=1) / n
+        return {"image_id": ids, **{f"mean_{c}": mean[:, k] for k, c in enumerate("bgr")}, "min_gray": gray.min(axis=1).astype(np.int32), "max_gray": gray.max(axis=1).astype(np.int32), "pixels": np.full(len(ids), n)}
+
+    return _per_image(spark, sf_dir, task, "image_id long, mean_b double, mean_g double, mean_r double, min_gray int, max_gray int, pixels long")
 
 
 def color_find(spark, sf_dir):
     """Pixels near a colour: how many, their share, the first in row-major order, their bounds."""
-    hit = P.color_near(F.col("b"), F.col("g"), F.col("r"), TARGET, TOLERANCE)
-    rows = pixels(spark, sf_dir).withColumn("hit", hit)
-    at = lambda c: F.when(F.col("hit"), F.col(c))
-    first = F.min(F.when(F.col("hit"), F.col("y") * SIDE + F.col("x")))
-    found = rows.groupBy("image_id").agg(F.count_if("hit").alias("n"), F.count("*").alias("total"), first.alias("first"), F.min(at("x")).alias("x0"), F.max(at("x")).alias("x1"), F.min(at("y")).alias("y0"), F.max(at("y")).alias("y1"))
-    some = F.col("n") > 0
-    return found.select(
-        "image_id",
-        "n",
-        (F.col("n") / F.col("total")).alias("ratio"),
-        F.when(some, F.col("first") % SIDE).otherwise(-1).alias("first_x"),
-        F.when(some, F.floor(F.col("first") / SIDE).cast("int")).otherwise(-1).alias("first_y"),
-        F.coalesce("x0", F.lit(0)).alias("x"),
-        F.coalesce("y0", F.lit(0)).alias("y"),
-        F.when(some, F.col("x1") - F.col("x0") + 1).otherwise(0).alias("w"),
-        F.when(some, F.col("y1") - F.col("y0") + 1).otherwise(0).alias("h"),
-    )
+
+    def task(ids, bgr):
+        aim = np.array([TARGET & 255, TARGET >> 8 & 255, TARGET >> 16])
+        hit = (np.abs(bgr - aim) <= TOLERANCE).all(axis=3)
+        n, flat = hit.sum(axis=(1, 2)), hit.reshape(len(ids), -1)
+        some, first = n > 0, flat.argmax(axis=1)
+        out = {"image_id": ids, "n": n, "ratio": n / (SIDE * SIDE), "first_x": np.where(some, first % SIDE, -1), "first_y": np.where(some, first // SIDE, -1)}
+        for name, size, lines in (("x", "w", hit.any(axis=1)), ("y", "h", hit.any(axis=2))):
+            low, high = lines.argmax(axis=1), SIDE - 1 - lines[:, ::-1].argmax(axis=1)
+            out |= {name: np.where(some, low, 0), size: np.where(some, high - low + 1, 0)}
+        order = ("image_id", "n", "ratio", "first_x", "first_y", "x", "y", "w", "h")
+        return {c: out[c].astype(np.int32) if c in order[3:] else out[c] for c in order}
+
+    return _per_image(spark, sf_dir, task, "image_id long, n long, ratio double, first_x int, first_y int, x int, y int, w int, h int")
+
+
+def _histograms(gray: np.ndarray) -> np.ndarray:
+    """(n, 256) counts."""
+    n = len(gray)
+    return np.bincount((gray.reshape(n, -1) + 256 * np.arange(n)[:, None]).ravel(), minlength=256 * n).reshape(n, 256)
 
 
 def gray_histogram(spark, sf_dir):
-    return grays(spark, sf_dir).groupBy("image_id", "gray").agg(F.count("*").alias("n"))
+    def task(ids, bgr):
+        bins = _histograms(_grays(bgr))
+        i, value = np.nonzero(bins)
+        return {"image_id": ids[i], "gray": value.astype(np.int32), "n": bins[i, value]}
+
+    return _per_image(spark, sf_dir, task, "image_id long, gray int, n long")
 
 
 def otsu_threshold(spark, sf_dir):
     """The first gray value with the largest wb * wf * (mb - mf)^2; 127 for flat images.
 
     Compared as the integers (sb * n - st * nb)^2 * n^2 / (nb * nf), with one division."""
-    bins = gray_histogram(spark, sf_dir)
-    up = Window.partitionBy("image_id").orderBy("gray").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("image_id")
-    rows = bins.select("image_id", "gray", F.sum("n").over(up).alias("nb"), F.sum(F.col("n") * F.col("gray")).over(up).alias("sb"), F.sum("n").over(whole).alias("n"), F.sum(F.col("n") * F.col("gray")).over(whole).alias("st"))
-    off = F.col("sb") * F.col("n") - F.col("st") * F.col("nb")
-    score = (off * off) / (F.col("nb") * (F.col("n") - F.col("nb")))
-    rows = rows.withColumn("score", F.when(F.col("nb") < F.col("n"), score))
-    best = rows.groupBy("image_id").agg(F.min_by("gray", F.struct(-F.coalesce("score", F.lit(-1.0)), "gray")).alias("gray"), F.max("score").alias("score"))
-    return best.select("image_id", F.when(F.col("score").isNull(), 127).otherwise(F.col("gray")).alias("threshold"))
+
+    def task(ids, bgr):
+        bins = _histograms(_grays(bgr))
+        nb, sb = bins.cumsum(axis=1), (bins * np.arange(256)).cumsum(axis=1)
+        n, off = nb[:, -1:], sb * nb[:, -1:] - sb[:, -1:] * nb
+        score = np.where((bins > 0) & (nb < n), (off * off).astype(float) / np.maximum(1, nb * (n - nb)), -1.0)
+        return {"image_id": ids, "threshold": np.where(score.max(axis=1) < 0, 127, score.argmax(axis=1)).astype(np.int32)}
+
+    return _per_image(spark, sf_dir, task, "image_id long, threshold int")
 
 
 def integral_image(spark, sf_dir):
-    across = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    rows = grays(spark, sf_dir).withColumn("row_sum", F.sum("gray").over(across))
-    return rows.select("image_id", "y", "x", F.sum("row_sum").over(down).alias("total"))
+    return _per_image(spark, sf_dir, lambda ids, bgr: _cells(ids, total=_grays(bgr).cumsum(axis=1).cumsum(axis=2)), "image_id long, y int, x int, total long")
+
+
+def _mosaics(spark, sf_dir, across: int) -> DataFrame:
+    """(mosaic, slots, pixels): rasters of across x across whole images, gray rounded.
+
+    Images come numbered, so that a mosaic's images meet in one small group."""
+    n = across * across
+    rows = _arrays(spark, sf_dir, True).select(F.floor(F.col("image_id") / n).alias("mosaic"), F.struct((F.col("image_id") % n).alias("slot"), "gray").alias("part"))
+    return rows.groupBy("mosaic").agg(F.sort_array(F.collect_list("part")).alias("parts")).where(F.size("parts") == n)
+
+
+def _mosaic(row, across: int) -> np.ndarray:
+    tiles = np.array(row.column("parts")[0].values.field("gray").flatten().to_numpy()).reshape(across, across, SIDE, SIDE)
+    return tiles.transpose(0, 2, 1, 3).reshape(across * SIDE, across * SIDE)
+
+
+def _on_mosaics(spark, sf_dir, across: int, task, schema: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                found = _cells(row.column("mosaic").to_numpy(), **{c: v[None] for c, v in task(_mosaic(row, across)).items()})
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.values()], names=["mosaic", *list(found)[1:]])
+
+    return _mosaics(spark, sf_dir, across).mapInArrow(run, schema)
+
 
+def adaptive_mask(spark, sf_dir):
+    """Pixels of 32 x 32 mosaics brighter or darker than the mean of their clipped 31 x 31 window by 8."""
 
-def adaptive_mask(spark, sf_dir, radius: int = 2, offset: int = 8):
-    """Pixels brighter or darker than the mean of their clipped window by the offset."""
-    across = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-radius, radius)
-    down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-radius, radius)
-    rows = grays(spark, sf_dir, True).withColumn("s", F.sum("gray").over(across)).withColumn("n", F.count("*").over(across))
-    rows = rows.withColumn("mean", F.floor(F.sum("s").over(down) / F.sum("n").over(down)))
-    return rows.select("image_id", "y", "x", (F.col("gray") >= F.col("mean") + offset).alias("bright"), (F.col("gray") + offset <= F.col("mean")).alias("dark"))
+    def task(value):
+        bright, dark = adaptive_masks(value)
+        return {"bright": bright, "dark": dark}
+
+    return _on_mosaics(spark, sf_dir, 4, task, "mosaic long, y int, x int, bright boolean, dark boolean")
 
 
 def foreground_summary(spark, sf_dir):
@@ -144,20 +208,8 @@ def useful_masks(spark, sf_dir):
 
 
 def gray_contrast(spark, sf_dir):
-    """Histogram stretch; with 64 pixels a percent is no pixel, so it is the full range."""
-    rows = grays(spark, sf_dir, True)
-    size = F.count("*").over(Window.partitionBy("image_id"))
-    bins = rows.groupBy("image_id", "gray").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("image_id").orderBy("gray").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("image_id").orderBy(F.desc("gray")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bins.withColumn("low_n", F.sum("n").over(up)).withColumn("high_n", F.sum("n").over(down)).withColumn("part", F.floor(F.sum("n").over(Window.partitionBy("image_id")) / 100))
-    ends = ranked.groupBy("image_id").agg(F.min(F.when(F.col("low_n") >= F.col("part"), F.col("gray"))).alias("lo"), F.max(F.when(F.col("high_n") >= F.col("part"), F.col("gray"))).alias("hi"), F.max("part").alias("part"))
-    # a rank of zero is reached before the first bin
-    ends = ends.select("image_id", F.when(F.col("part") == 0, 0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("part") == 0, 255).otherwise(F.col("hi")).alias("hi"))
-    ends = ends.select("image_id", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(0).alias("lo"), F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(255).alias("hi"))
-    value = F.expr("(gray - lo) * 255 div greatest(1, hi - lo)")
-    del size
-    return rows.join(ends, "image_id").select("image_id", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), value)).cast("int").alias("value"))
+    """Histogram stretch of 16 x 16 mosaics between the first and the last percent."""
+    return _on_mosaics(spark, sf_dir, 2, lambda value: {"value": stretch(value.astype(np.uint8)).astype(np.int32)}, "mosaic long, y int, x int, value int")
 
 
 RULES = [((140, 120, 130), (20, 16, 24)), ((110, 130, 120), (12, 12, 12))]
@@ -174,25 +226,30 @@ def trace_masks(spark, sf_dir):
     return rows.groupBy("image_id").agg(*[F.count_if(m).alias(name) for name, m in masks.items()])
 
 
-def _templates(spark, sf_dir) -> DataFrame:
-    """(template_index, dy, dx, tv, n, tw, th): corners of the first images."""
-    rows = grays(spark, sf_dir).where((F.col("image_id") < TEMPLATES) & (F.col("x") < TEMPLATE_SIDE) & (F.col("y") < TEMPLATE_SIDE))
-    side = F.lit(TEMPLATE_SIDE)
-    return rows.select(F.col("image_id").cast("int").alias("template_index"), F.col("y").alias("dy"), F.col("x").alias("dx"), F.col("gray").alias("tv"), (side * side).alias("n"), side.alias("tw"), side.alias("th"))
+def _templates(spark, sf_dir) -> tuple[list[int], np.ndarray]:
+    """Numbers and grays (n, 3, 3) of the corners of the first TEMPLATES images."""
+    rows = _arrays(spark, sf_dir).where((F.col("image_id") >= 0) & (F.col("image_id") < TEMPLATES)).orderBy("image_id").collect()
+    return [r.image_id for r in rows], np.array([r.gray for r in rows], np.int64).reshape(-1, SIDE, SIDE)[:, :TEMPLATE_SIDE, :TEMPLATE_SIDE]
+
+
+PLACES = SIDE - TEMPLATE_SIDE + 1
+PLACE = "image_id long, template_index int, y int, x int"
+
+
+def _windows(gray: np.ndarray) -> np.ndarray:
+    """(n, 6, 6, 3, 3) windows of all places."""
+    return np.lib.stride_tricks.sliding_window_view(gray, (TEMPLATE_SIDE, TEMPLATE_SIDE), axis=(1, 2))
+
+
+def _differences(ids, bgr, corners) -> np.ndarray:
+    """(n, templates, 6, 6): each gray difference counts for three channels."""
+    near = _windows(_grays(bgr))
+    return 3 * np.stack([np.abs(near - c).sum(axis=(3, 4)) for c in corners], axis=1) if len(corners) else np.zeros((len(ids), 0, PLACES, PLACES), np.int64)
 
 
-def _sad(spark, sf_dir) -> DataFrame:
-    places = SIDE - TEMPLATE_SIDE + 1
-    # Templates are TEMPLATES x 9 rows whatever the table.  Both sides as arrays: a place's 9
-    # differences are summed inside one row, so no pixel pairs are shuffled.
-    images = grays(spark, sf_dir).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "gray"))), lambda s: s["gray"]).alias("v"))
-    known = _templates(spark, sf_dir).groupBy("template_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("dy", "dx", "tv"))), lambda s: s["tv"]).alias("t"))
-    at = images.join(F.broadcast(known), F.lit(True)).select("image_id", "template_index", "v", "t", F.explode(F.sequence(F.lit(0), F.lit(places * places - 1))).alias("k"))
-    at = at.withColumn("y", F.floor(F.col("k") / places).cast("int")).withColumn("x", F.col("k") % places)
-    cells = [(i, j) for i in range(TEMPLATE_SIDE) for j in range(TEMPLATE_SIDE)]
-    off = [F.abs(F.element_at("v", (F.col("y") + i) * SIDE + F.col("x") + j + 1) - F.element_at("t", F.lit(i * TEMPLATE_SIDE + j + 1))) for i, j in cells]
-    diff = 3 * reduce(lambda a, b: a + b, off)
-    return at.select("image_id", "template_index", "y", "x", diff.alias("diff"))
+def _places(ids, numbers, shape) -> dict:
+    i, t, y, x = np.indices(shape, np.int32).reshape(4, -1)
+    return {"image_id": ids[i], "template_index": np.array(numbers, np.int32)[t], "y": y, "x": x}
 
 
 def _score():
@@ -200,63 +257,91 @@ def _score():
 
 
 def template_sad_scores(spark, sf_dir):
-    return _sad(spark, sf_dir).select("image_id", "template_index", "y", "x", "diff", _score())
+    numbers, corners = _templates(spark, sf_dir)
+
+    def task(ids, bgr):
+        diff = _differences(ids, bgr, corners)
+        return _places(ids, numbers, diff.shape) | {"diff": diff.ravel().astype(np.int32)}
+
+    return _per_image(spark, sf_dir, task, f"{PLACE}, diff int").select("*", _score())
 
 
 def template_sad_best(spark, sf_dir):
     """First of the best places in row-major order."""
-    best = _sad(spark, sf_dir).groupBy("image_id", "template_index").agg(F.min(F.struct("diff", "y", "x")).alias("m"))
-    return best.select("image_id", "template_index", "m.diff", "m.y", "m.x").withColumn("score", _score())
+    numbers, corners = _templates(spark, sf_dir)
 
+    def task(ids, bgr):
+        diff = _differences(ids, bgr, corners).reshape(len(ids), len(numbers), -1)
+        at = diff.argmin(axis=2)
+        return {"image_id": np.repeat(ids, len(numbers)), "template_index": np.tile(np.array(numbers, np.int32), len(ids)), "y": (at // PLACES).ravel().astype(np.int32), "x": (at % PLACES).ravel().astype(np.int32), "diff": diff.min(axis=2).ravel().astype(np.int32)}
 
-MIN_SCORE = 0.95
+    return _per_image(spark, sf_dir, task, f"{PLACE}, diff int").select("*", _score())
 
 
-def _overlap(a, b):
-    return F.greatest(F.lit(0), TEMPLATE_SIDE - F.abs(a["y"] - b["y"])) * F.greatest(F.lit(0), TEMPLATE_SIDE - F.abs(a["x"] - b["x"]))
+MIN_SCORE = 0.95
 
 
 def template_sad_multi(spark, sf_dir):
     """Places from MIN_SCORE on after greedy suppression of shared areas over 0.30."""
+    numbers, corners = _templates(spark, sf_dir)
     budget = int((1 - np.float32(MIN_SCORE)) * 765 * TEMPLATE_SIDE**2)
-    hits = _sad(spark, sf_dir).where(F.col("diff") <= budget)
-    listed = hits.groupBy("image_id", "template_index").agg(F.sort_array(F.collect_list(F.struct("diff", "y", "x"))).alias("hits"))
-    step = lambda kept, h: F.when(F.exists(kept, lambda k: 10 * _overlap(k, h) > 3 * (2 * TEMPLATE_SIDE**2 - _overlap(k, h))), kept).otherwise(F.concat(kept, F.array(h)))
-    kept = listed.select("image_id", "template_index", F.explode(F.aggregate("hits", F.expr("slice(hits, 1, 0)"), step)).alias("k"))
-    return kept.select("image_id", "template_index", "k.y", "k.x", "k.diff").withColumn("score", _score())
+
+    def task(ids, bgr):
+        diff = _differences(ids, bgr, corners)
+        i, t, y, x = np.nonzero(diff <= budget)
+        key = i * len(numbers) + t
+        kept = []
+        for k in np.unique(key):
+            own = np.flatnonzero(key == k) if len(key) < 64 else np.arange(np.searchsorted(key, k), np.searchsorted(key, k, "right"))
+            kept += [(i[own[0]], t[own[0]], b, a, -d) for d, b, a in suppress([(-int(diff[i[j], t[j], y[j], x[j]]), int(y[j]), int(x[j])) for j in own], TEMPLATE_SIDE, TEMPLATE_SIDE)]
+        i, t, y, x, d = (np.array(c, np.int32) for c in zip(*kept)) if kept else (np.empty(0, np.int32),) * 5
+        return {"image_id": ids[i], "template_index": np.array(numbers, np.int32)[t], "y": y, "x": x, "diff": d}
+
+    return _per_image(spark, sf_dir, task, f"{PLACE}, diff int").select("*", _score())
 
 
 def template_stats(spark, sf_dir):
     n = TEMPLATE_SIDE**2
-    t = _templates(spark, sf_dir).groupBy("template_index").agg(F.sum("tv").alias("total"), F.sum(F.col("tv") * F.col("tv")).alias("squares"))
-    return t.select("template_index", "total", (F.col("squares") * n - F.col("total") * F.col("total")).alias("energy_n"))
+    corner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TEMPLATE_SIDE - 1)), lambda i: F.slice("gray", i * SIDE + 1, TEMPLATE_SIDE)))
+    rows = _arrays(spark, sf_dir).where((F.col("image_id") >= 0) & (F.col("image_id") < TEMPLATES)).select(F.col("image_id").cast("int").alias("template_index"), corner.alias("t"))
+    total = lambda f: F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a + f(v.cast("long")))
+    rows = rows.select("template_index", total(lambda v: v).alias("total"), total(lambda v: v * v).alias("squares"))
+    return rows.select("template_index", "total", (F.col("squares") * n - F.col("total") * F.col("total")).alias("energy_n"))
 
 
 def template_ncc_scores(spark, sf_dir):
     """Zero-mean normalised correlation at every place, from integer sums; -1 for flat sides."""
+    numbers, corners = _templates(spark, sf_dir)
     n = TEMPLATE_SIDE**2
-    places = SIDE - TEMPLATE_SIDE + 1
-    images = grays(spark, sf_dir).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "gray"))), lambda s: s["gray"].cast("long")).alias("v"))
-    known = _templates(spark, sf_dir).groupBy("template_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("dy", "dx", "tv"))), lambda s: s["tv"].cast("long")).alias("t"))
-    at = images.join(F.broadcast(known), F.lit(True)).select("image_id", "template_index", "v", "t", F.explode(F.sequence(F.lit(0), F.lit(places * places - 1))).alias("k"))
-    at = at.withColumn("y", F.floor(F.col("k") / places).cast("int")).withColumn("x", F.col("k") % places)
-    cells = [(F.element_at("v", (F.col("y") + i) * SIDE + F.col("x") + j + 1), F.element_at("t", F.lit(i * TEMPLATE_SIDE + j + 1))) for i in range(TEMPLATE_SIDE) for j in range(TEMPLATE_SIDE)]
-    total = lambda f: reduce(lambda a, b: a + b, (f(a, b) for a, b in cells))
-    sums = at.select("image_id", "template_index", "y", "x", total(lambda a, b: a).alias("sa"), total(lambda a, b: b).alias("sb"), total(lambda a, b: a * a).alias("aa"), total(lambda a, b: b * b).alias("bb"), total(lambda a, b: a * b).alias("ab"))
-    ea, eb = n * F.col("aa") - F.col("sa") * F.col("sa"), n * F.col("bb") - F.col("sb") * F.col("sb")
-    score = F.when((ea > 0) & (eb > 0), (n * F.col("ab") - F.col("sa") * F.col("sb")) / (F.sqrt(ea.cast("double")) * F.sqrt(eb.cast("double")))).otherwise(-1.0)
-    return sums.select("image_id", "template_index", "y", "x", F.round(score, 6).alias("score"))
+
+    def task(ids, bgr):
+        near = _windows(_grays(bgr))
+        total = near.sum(axis=(3, 4))
+        own = n * (near * near).sum(axis=(3, 4)) - total * total
+        scores = []
+        for c in corners:
+            energy = int(n * (c * c).sum() - c.sum() ** 2)
+            shared = n * (near * c).sum(axis=(3, 4)) - total * int(c.sum())
+            good = (own > 0) & (energy > 0)
+            scores.append(np.where(good, shared / (np.sqrt(np.where(good, own, 1).astype(float)) * np.sqrt(float(max(1, energy)))), -1.0))
+        score = np.stack(scores, axis=1) if scores else np.zeros((len(ids), 0, PLACES, PLACES))
+        return _places(ids, numbers, score.shape) | {"score": score.ravel()}
+
+    return _per_image(spark, sf_dir, task, f"{PLACE}, score double").withColumn("score", F.round("score", 6))
 
 
 def local_peaks(spark, sf_dir):
     """Maxima of their 3 x 3 window, of a plateau the first one in row-major order."""
-    rows = grays(spark, sf_dir)
-    across = Window.partitionBy("image_id", "y").orderBy("x")
-    down = Window.partitionBy("image_id", "x").orderBy("y")
-    rows = rows.withColumn("m", F.max("gray").over(across.rangeBetween(-1, 1))).withColumn("left", F.lag("gray").over(across)).withColumn("up", F.lag("gray").over(down))
-    rows = rows.withColumn("m", F.max("m").over(down.rangeBetween(-1, 1)))
-    first = ~F.coalesce(F.col("left") == F.col("gray"), F.lit(False)) & ~F.coalesce(F.col("up") == F.col("gray"), F.lit(False))
-    return rows.where((F.col("gray") == F.col("m")) & first).select("image_id", "y", "x", "gray")
+
+    def task(ids, bgr):
+        gray = _grays(bgr)
+        edge = np.pad(gray, ((0, 0), (1, 1), (1, 1)), constant_values=-1)
+        peak = gray == np.lib.stride_tricks.sliding_window_view(edge, (3, 3), axis=(1, 2)).max(axis=(3, 4))
+        peak &= (edge[:, 1:-1, :-2] != gray) & (edge[:, :-2, 1:-1] != gray)
+        i, y, x = np.nonzero(peak)
+        return {"image_id": ids[i], "y": y.astype(np.int32), "x": x.astype(np.int32), "gray": gray[i, y, x].astype(np.int32)}
+
+    return _per_image(spark, sf_dir, task, "image_id long, y int, x int, gray int")
 
 
 def color_bias(spark, sf_dir):
@@ -268,36 +353,50 @@ def color_bias(spark, sf_dir):
     return rest.withColumn("score", 1 - F.col("residual") / (F.col("n") * 765)).where("score >= 0.96").select("image_id", "residual", "score")
 
 
-def connected_components(spark, sf_dir):
-    """4-connected components of the pixels from 132 on, each labelled by its first pixel.
+def _components(gray: np.ndarray):
+    """(image, y, x, label) of the pixels from 132 on; a component's label is its first pixel."""
+    parts = []
+    for i, image in enumerate(gray):
+        labels = label_components(image >= 132)
+        y, x = np.nonzero(labels)
+        firsts = np.unique(labels[y, x], return_index=True)[1]
+        parts.append((np.full(len(y), i), y, x, (y * SIDE + x)[firsts][labels[y, x] - 1] if len(y) else y))
+    return [np.concatenate(c) for c in zip(*parts)]
 
-    The images' pixels are labelled in Python, one image at a time."""
 
-    def label(frames):
-        for frame in frames:
-            parts = []
-            for key, values in zip(frame["image_id"], frame["gray"]):
-                labels = label_components(np.array(values).reshape(SIDE, SIDE) >= 132)
-                ys, xs = np.nonzero(labels)
-                firsts = {k: y * SIDE + x for k, y, x in reversed(list(zip(labels[ys, xs].tolist(), ys.tolist(), xs.tolist())))}
-                parts.append(pd.DataFrame({"image_id": key, "y": ys, "x": xs, "label": [firsts[k] for k in labels[ys, xs].tolist()]}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"image_id": [], "y": [], "x": [], "label": []})
+def connected_components(spark, sf_dir):
+    """4-connected components of the pixels from 132 on, each labelled by its first pixel."""
+
+    def task(ids, bgr):
+        i, y, x, label = _components(_grays(bgr))
+        return {"image_id": ids[i], "y": y.astype(np.int32), "x": x.astype(np.int32), "label": label.astype(np.int32)}
 
-    return _arrays(spark, sf_dir).mapInPandas(label, "image_id long, y int, x int, label int")
+    return _per_image(spark, sf_dir, task, "image_id long, y int, x int, label int")
 
 
-def _arrays(spark, sf_dir) -> DataFrame:
+def _arrays(spark, sf_dir, rounded: bool = False) -> DataFrame:
     """(image_id, gray array<int>) without a shuffle."""
     at = lambda i, k: F.element_at("v", (i + k) % 64 + 1)
-    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: P.gray(at(i, 0), at(i, 21), at(i, 42)))
+    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: P.gray(at(i, 0), at(i, 21), at(i, 42), rounded))
     return vectors(spark, sf_dir).select("image_id", value.alias("gray"))
 
 
 def component_stats(spark, sf_dir):
     """Bounds, size and mean value of each component."""
-    labels = connected_components(spark, sf_dir)
-    rows = labels.join(grays(spark, sf_dir), ["image_id", "y", "x"])
-    return rows.groupBy("image_id", "label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), (F.sum("gray") / F.count("*")).alias("mean"))
+
+    def task(ids, bgr):
+        gray = _grays(bgr)
+        i, y, x, label = _components(gray)
+        key, own = np.unique(i * SIDE * SIDE + label, return_inverse=True)
+        low, high = np.full((2, len(key)), SIDE), np.full((2, len(key)), -1)
+        for k, v in enumerate((x, y)):
+            np.minimum.at(low[k], own, v)
+            np.maximum.at(high[k], own, v)
+        size, area = (high - low + 1).astype(np.int32), np.bincount(own, minlength=len(key))
+        total = np.bincount(own, gray[i, y, x], len(key))
+        return {"image_id": ids[key // (SIDE * SIDE)], "label": (key % (SIDE * SIDE)).astype(np.int32), "x": low[0].astype(np.int32), "y": low[1].astype(np.int32), "w": size[0], "h": size[1], "area": area, "mean": total / np.maximum(1, area)}
+
+    return _per_image(spark, sf_dir, task, "image_id long, label int, x int, y int, w int, h int, area long, mean double")
 
 
 def thin_skeleton(spark, sf_dir):
@@ -318,7 +417,7 @@ def trace_paths(spark, sf_dir):
 
 
 def template_kernel_multi(spark, sf_dir):
-    """The same search as template_sad_multi by the image kernel; without the metric's gray copies."""
+    """The same search as template_sad_multi by the operator on stored images; without the metric's gray copies."""
     rows = _arrays(spark, sf_dir)
     to_bytes = lambda c: F.unhex(F.array_join(F.transform(c, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     images = rows.select(F.col("image_id").cast("string").alias("image_id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("format"), to_bytes(F.col("gray")).alias("data"))
@@ -328,6 +427,12 @@ def template_kernel_multi(spark, sf_dir):
     return found.select(F.col("image_id").cast("long").alias("image_id"), "template_index", "y", "x", F.round((1 - F.col("score")) * 765 * TEMPLATE_SIDE**2).cast("int").alias("diff")).withColumn("score", _score())
 
 
+def template_text(spark, sf_dir):
+    """The hits of template_kernel_multi as compact text, moved by an origin; empty without hits."""
+    hits = template_kernel_multi(spark, sf_dir).select("image_id", "template_index", F.lit(0).alias("place"), "x", "y", "diff")
+    return compact_hits(vectors(spark, sf_dir).select("image_id"), hits, [F.col("diff"), F.col("y"), F.col("x")], (100, -5))
+
+
 _SAD = WITH + """,
 tpl AS (SELECT CAST(image_id AS INTEGER) AS template_index, y AS dy, x AS dx, gray AS tv FROM gr WHERE image_id < 5 AND x < 3 AND y < 3),
 sad AS (SELECT g.image_id, template_index, g.y - dy AS y, g.x - dx AS x, CAST(3 * sum(abs(g.gray - tv)) AS INTEGER) AS diff
@@ -359,11 +464,15 @@ SQL = {
       s AS (SELECT image_id, gray, CASE WHEN nb < n THEN CAST((sb * n - st * nb) * (sb * n - st * nb) AS DOUBLE) / CAST(nb * (n - nb) AS DOUBLE) END AS score FROM c)
       SELECT image_id, CASE WHEN score IS NULL THEN 127 ELSE gray END AS threshold FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC NULLS LAST, gray) = 1""",
     "integral_image": WITH + " SELECT a.image_id, a.y, a.x, sum(b.gray) AS total FROM gr a JOIN gr b ON a.image_id = b.image_id AND b.y <= a.y AND b.x <= a.x GROUP BY ALL",
-    "adaptive_mask": WITH + """, m AS (SELECT a.image_id, a.y, a.x, a.rounded AS gray, sum(b.rounded) // count(*) AS mean FROM gr a JOIN gr b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL)
-      SELECT image_id, y, x, gray >= mean + 8 AS bright, gray + 8 <= mean AS dark FROM m""",
+    "adaptive_mask": WITH + """, big AS (SELECT image_id // 16 AS mosaic, CAST(image_id % 16 // 4 * 8 + y AS INTEGER) AS y, CAST(image_id % 4 * 8 + x AS INTEGER) AS x, rounded FROM gr QUALIFY count(*) OVER (PARTITION BY image_id // 16) = 1024),
+      m AS (SELECT a.mosaic, a.y, a.x, a.rounded AS gray, sum(b.rounded) // count(*) AS mean FROM big a JOIN big b ON a.mosaic = b.mosaic AND abs(a.y - b.y) <= 15 AND abs(a.x - b.x) <= 15 GROUP BY ALL)
+      SELECT mosaic, y, x, gray >= mean + 8 AS bright, gray + 8 <= mean AS dark FROM m""",
     "foreground_summary": WITH + ' SELECT image_id, min(x) AS "left", min(y) AS top, max(x) + 1 AS "right", max(y) + 1 AS bottom, count(*) AS n, count(DISTINCT x) AS active_columns FROM gr WHERE gray >= 128 GROUP BY image_id',
     "useful_masks": WITH + " SELECT image_id, count(*) FILTER (gray >= 136) AS n FROM gr GROUP BY image_id HAVING n > 0 AND n * 1000 >= count(*) AND n * 100 <= count(*) * 45",
-    "gray_contrast": WITH + " SELECT image_id, y, x, CAST(greatest(0, least(255, rounded)) AS INTEGER) AS value FROM gr",
+    "gray_contrast": WITH + """, big AS (SELECT image_id // 4 AS mosaic, CAST(image_id % 4 // 2 * 8 + y AS INTEGER) AS y, CAST(image_id % 2 * 8 + x AS INTEGER) AS x, rounded AS v FROM gr QUALIFY count(*) OVER (PARTITION BY image_id // 4) = 256),
+      ends AS (SELECT mosaic, list_sort(list(v)) AS s FROM big GROUP BY mosaic), cut AS (SELECT mosaic, s[2] AS lo, s[255] AS hi FROM ends),
+      safe AS (SELECT mosaic, CASE WHEN hi > lo THEN lo ELSE 0 END AS lo, CASE WHEN hi > lo THEN hi ELSE 255 END AS hi FROM cut)
+      SELECT mosaic, y, x, CAST(greatest(0, least(255, trunc((v - lo) * 255 / greatest(1, hi - lo)))) AS INTEGER) AS value FROM big JOIN safe USING (mosaic)""",
     "color_rule_mask": WITH + """ SELECT image_id, y, x, round(score, 9) AS score FROM (SELECT image_id, y, x, greatest(0.0,
       CASE WHEN abs(r - 140) <= 20 AND abs(g - 120) <= 16 AND abs(b - 130) <= 24 THEN 1 - greatest(abs(r - 140) / 21.0::DOUBLE, abs(g - 120) / 17.0::DOUBLE, abs(b - 130) / 25.0::DOUBLE) ELSE 0 END,
       CASE WHEN abs(r - 110) <= 12 AND abs(g - 130) <= 12 AND abs(b - 120) <= 12 THEN 1 - greatest(abs(r - 110), abs(g - 130), abs(b - 120)) / 13.0::DOUBLE ELSE 0 END) AS score FROM px) WHERE score > 0""",
@@ -372,6 +481,7 @@ SQL = {
     "template_sad_best": _SAD + " SELECT image_id, template_index, y, x, diff, 1.0::DOUBLE - diff / 6885.0::DOUBLE AS score FROM sad QUALIFY row_number() OVER (PARTITION BY image_id, template_index ORDER BY diff, y, x) = 1",
     "template_sad_multi": _NMS,
     "template_kernel_multi": _NMS,
+    "template_text": _NMS.replace("SELECT image_id, template_index, u.y AS y, u.x AS x, u.d AS diff, 1.0::DOUBLE - u.d / 6885.0::DOUBLE AS score", "SELECT image_id, coalesce(t, '') AS points, n FROM (SELECT vec_id AS image_id FROM embeddings) LEFT JOIN (SELECT image_id, count(*) AS n, string_agg(concat_ws(',', template_index, u.x + 100, u.y - 5), '|' ORDER BY template_index, u.d, u.y, u.x) AS t").removesuffix(")") + ") GROUP BY image_id) USING (image_id)",
     "template_stats": _SAD + " SELECT template_index, sum(tv) AS total, 9 * sum(tv * tv) - sum(tv) * sum(tv) AS energy_n FROM tpl GROUP BY template_index",
     "template_ncc_scores": _SAD + """, s AS (SELECT g.image_id, template_index, g.y - dy AS y, g.x - dx AS x, sum(gray) AS sa, sum(tv) AS sb, sum(gray * gray) AS aa, sum(tv * tv) AS bb, sum(gray * tv) AS ab
       FROM gr g JOIN tpl ON g.y - dy BETWEEN 0 AND 5 AND g.x - dx BETWEEN 0 AND 5 GROUP BY ALL)
@@ -391,6 +501,6 @@ SQL = {
 
 QUERIES = (
     raster_gray, raster_threshold, raster_roi, color_stats, color_find, gray_histogram, otsu_threshold, integral_image, adaptive_mask, foreground_summary, useful_masks, gray_contrast,
-    color_rule_mask, trace_masks, template_sad_scores, template_sad_best, template_sad_multi, template_kernel_multi, template_stats, template_ncc_scores, local_peaks, color_bias,
+    color_rule_mask, trace_masks, template_sad_scores, template_sad_best, template_sad_multi, template_kernel_multi, template_text, template_stats, template_ncc_scores, local_peaks, color_bias,
     connected_components, component_stats, thin_skeleton, trace_paths,
 )

@@ -16,6 +16,7 @@ from opalgrid.functions import text as X
 from opalgrid.operators import boxes as B
 from opalgrid.operators import decode as D
 from opalgrid.operators import recognize as R
+from opalgrid.operators import search as S
 
 TARGETS = ["the", "ing", "on t", "absent"]
 
@@ -89,11 +90,10 @@ def compact_points(spark, sf_dir):
 
 
 def match_json(spark, sf_dir):
-    """Matches of an image as JSON in screen order; compared as its parsed first and last entries."""
+    """Matches of an image as JSON in screen order."""
     order = [F.col("y"), F.col("x"), -F.col("score"), F.col("w"), F.col("h")]
     item = F.struct((F.col("score") % 10).alias("template_index"), "x", "y", "w", "h", F.col("score"))
-    rows = boxes(spark, sf_dir).groupBy("image_id").agg(X.match_json(order, item).alias("json"), F.count("*").alias("n"))
-    return rows.select("image_id", "n", F.get_json_object("json", "$[0].x").cast("int").alias("first_x"), F.get_json_object("json", "$[0].score").cast("int").alias("first_score"))
+    return boxes(spark, sf_dir).groupBy("image_id").agg(X.match_json(order, item).alias("json"), F.count("*").alias("n"))
 
 
 def median_height(spark, sf_dir):
@@ -174,7 +174,21 @@ def ctc_greedy(spark, sf_dir):
 
 
 def ctc_beam(spark, sf_dir):
-    return D.ctc_beam(logits(spark, sf_dir), CHARS)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8)))
+    return D.ctc_beam(rows.select(F.col("vec_id").alias("seq_id"), steps.alias("steps")), CHARS).withColumn("confidence", F.round("confidence", 6))
+
+
+LABELS = [(0, "door"), (2, "key")]
+
+
+def detect_json(spark, sf_dir):
+    """Each image's detections as JSON; boxes to a thousandth of a pixel."""
+    placed = {"scale": F.lit(0.5), "pad_x": F.lit(0), "pad_y": F.lit(80), "width": F.lit(1280), "height": F.lit(960)}
+    rows = detections(spark, sf_dir).select("*", *[v.alias(k) for k, v in placed.items()])
+    found = S.detect(rows, spark.createDataFrame(LABELS, "class_id int, label string"), 0.6)
+    found = found.select("image_id", *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "class_id", "cand", "label")
+    return S.detections_json(rows, found)
 
 
 def lines(spark, sf_dir) -> DataFrame:
@@ -204,6 +218,32 @@ def find_text_first(spark, sf_dir):
     return first.select("conv_id", "m.*")
 
 
+GROUPS = [["absent", "ing", "the"], ["nowhere"], ["on t", "the"]]
+
+
+def _recognized(spark, sf_dir) -> DataFrame:
+    """Lines with a confidence; every seventh one is not a number, others are low."""
+    sure = F.when(F.length("text") % 7 == 0, F.lit(float("nan"))).otherwise((F.length("text") % 10) / 10)
+    return lines(spark, sf_dir).select(F.col("conv_id").alias("image_id"), F.col("turn").alias("line_no"), "box.*", sure.alias("confidence"), "text")
+
+
+def find_text_groups(spark, sf_dir):
+    """Hits of groups of variants in lines from 0.3 on, moved by an origin."""
+    return S.find_text(_recognized(spark, sf_dir), GROUPS, 0.3, (7, -3)).drop("confidence")
+
+
+def find_text_points(spark, sf_dir):
+    rows = _recognized(spark, sf_dir)
+    return S.text_points(rows, S.find_text(rows, GROUPS, 0.3, (7, -3)))
+
+
+def lines_json(spark, sf_dir):
+    """Recognised lines as JSON; what is no number is zero."""
+    rows = _recognized(spark, sf_dir).withColumn("text", F.translate("text", "\\\"\n\r\t", ""))
+    order = [F.col("line_no"), F.col("text")]
+    return rows.groupBy("image_id").agg(X.lines_json(order).alias("json"))
+
+
 def target_groups(spark, sf_dir):
     """Groups of alternative targets that a conversation's lines match."""
     groups = [["absent", "ing"], ["nowhere"], ["the"]]
@@ -264,6 +304,11 @@ pt AS (SELECT conv_id, turn, box_y, box_w, text, target_index, target, string_sp
 oc AS (SELECT *, CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(target) AS INTEGER) AS hit_at FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM pt)),
 ht AS (SELECT conv_id, turn, target_index, hit_at, 4 + box_w * hit_at // greatest(1, length(text)) AS x, box_y AS y,
   greatest(1, least(CAST(ceil(CAST(box_w AS BIGINT) * length(target) / greatest(1, length(text))) AS BIGINT), box_w - box_w * hit_at // greatest(1, length(text)))) AS w, 16 AS h FROM oc)"""
+GROUPED = HITS.replace("(VALUES (0, 'the'), (1, 'ing'), (2, 'on t'), (3, 'absent')) v(target_index, target)", "(VALUES (0, 0, 'absent'), (0, 1, 'ing'), (0, 2, 'the'), (1, 0, 'nowhere'), (2, 0, 'on t'), (2, 1, 'the')) v(target_index, variant, target)").replace(
+    "SELECT conv_id, turn, box_y, box_w, text, target_index, target, string_split", "SELECT conv_id, turn, box_y, box_w, text, target_index, variant, target, string_split"
+).replace("WHERE contains(text, target))", "WHERE contains(text, target) AND length(text) % 7 <> 0 AND (length(text) % 10) / 10 >= 0.3::DOUBLE QUALIFY variant = min(variant) OVER (PARTITION BY conv_id, target_index))").replace(
+    "ht AS (SELECT conv_id, turn, target_index,", "hg AS (SELECT conv_id AS image_id, turn AS line_no, target_index, variant,"
+)
 ORDERED = "(PARTITION BY image_id ORDER BY x, y, w, h, score)"
 
 SQL = {
@@ -278,7 +323,7 @@ SQL = {
     "box_remap": BOX + " SELECT image_id, score, least(x // 3, 99) AS \"left\", least(y // 3, 79) AS top, greatest(1, least((x + w + 2) // 3 - x // 3, 100 - x // 3)) AS width, greatest(1, least((y + h + 2) // 3 - y // 3, 80 - y // 3)) AS height FROM bx",
     "box_centers": BOX + " SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY y, x, score DESC, w, h) AS n, x + w // 2 AS cx, y + h // 2 AS cy FROM bx",
     "compact_points": BOX + " SELECT image_id, string_agg(concat_ws(',', score % 10, x, y), '|' ORDER BY y, x, score DESC, w, h) AS points FROM bx GROUP BY image_id",
-    "match_json": BOX + " SELECT image_id, count(*) AS n, arg_min(x, (y, x, -score, w, h)) AS first_x, arg_min(score, (y, x, -score, w, h)) AS first_score FROM bx GROUP BY image_id",
+    "match_json": BOX + " SELECT image_id, CAST(to_json(list({'template_index': score % 10, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score} ORDER BY y, x, score DESC, w, h)) AS VARCHAR) AS json, count(*) AS n FROM bx GROUP BY image_id",
     "median_height": BOX + " SELECT image_id, CAST(floor(quantile_cont(h, 0.5)) AS INTEGER) AS median_h FROM bx GROUP BY image_id",
     "latency_percentiles": "SELECT o_custkey, v[(95 * (len(v) - 1)) // 100 + 1] AS low, v[(95 * len(v) + 99) // 100] AS high, len(v) AS n FROM (SELECT o_custkey, list(o_totalprice ORDER BY o_totalprice) AS v FROM orders GROUP BY o_custkey)",
     "fragment_runs": BOX + f", g AS (SELECT *, x - lag(x + w) OVER {ORDERED} AS gap FROM bx), r AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY x, y, w, h, score ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT image_id, run, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS fragments FROM r GROUP BY image_id, run",
@@ -295,15 +340,32 @@ SQL = {
       SELECT seq_id, coalesce(string_agg(['', 'a', 'b', 'c', 'd', 'e', 'f', ' '][idx + 1], '' ORDER BY t) FILTER (emit), '') AS text, round(coalesce(avg(c) FILTER (emit), 0), 6) AS confidence FROM e GROUP BY seq_id""",
     "find_text_all": HITS + " SELECT conv_id, turn, target_index, hit_at, x, y, w, h FROM ht",
     "find_text_first": HITS + " SELECT conv_id, target_index, turn, hit_at, x, y, w, h FROM ht QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY target_index, turn, hit_at, x, y, w, h) = 1",
+    "find_text_groups": GROUPED + " SELECT image_id, target_index, variant, line_no, hit_at, x + 7 AS x, y - 3 AS y, w, h, x + 7 + w // 2 AS cx, y - 3 + h // 2 AS cy, false AS rejected FROM hg",
+    "find_text_points": GROUPED + ", p AS (SELECT image_id, string_agg(concat_ws(',', target_index, x + 7 + w // 2, y - 3 + h // 2), '|' ORDER BY target_index, line_no, hit_at) AS points FROM hg GROUP BY image_id) SELECT i.image_id, coalesce(points, '') AS points FROM (SELECT DISTINCT conv_id AS image_id FROM ln) i LEFT JOIN p USING (image_id)",
+    "lines_json": LN + """, c AS (SELECT *, translate(text, chr(92) || chr(34) || chr(10) || chr(13) || chr(9), '') AS plain, CASE WHEN length(text) % 7 = 0 THEN 0 ELSE (length(text) % 10) / 10 END AS sure FROM ln)
+      SELECT conv_id AS image_id, '{"lines":' || CAST(to_json(list({'text': plain, 'confidence': sure, 'box': {'x': 4, 'y': box_y, 'w': box_w, 'h': 16}} ORDER BY turn, plain)) AS VARCHAR) || '}' AS json FROM c GROUP BY conv_id""",
     "target_groups": LN + " SELECT conv_id, CAST(bool_or(contains(text, 'absent') OR contains(text, 'ing')) AS INTEGER) + CAST(bool_or(contains(text, 'nowhere')) AS INTEGER) + CAST(bool_or(contains(text, 'the')) AS INTEGER) AS matched FROM ln GROUP BY conv_id",
     "line_text": LN + ", t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS all_text, sum(length(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]', '', 'g'))) AS visible FROM ln GROUP BY conv_id) SELECT conv_id, length(all_text) AS n, md5(all_text) AS digest, CAST(visible AS BIGINT) AS visible FROM t",
     "point_budget": BOX + ", p AS (SELECT *, w // 8 AS n, coalesce(sum(w // 8) OVER (PARTITION BY image_id ORDER BY w DESC, x, y, h, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM bx) SELECT image_id, x, y, score, CAST(greatest(0, least(n, 12 - b)) AS BIGINT) AS points FROM p WHERE least(n, 12 - b) > 0",
     "adaptive_scale": BOX + " SELECT DISTINCT w * 40 AS width, h * 40 AS height, round(greatest(1.0, least(3.0, 1536 / greatest(w * 40, h * 40), sqrt(4000000.0 / (w * h * 1600)))), 6) AS scale FROM bx",
     "letterbox_geometry": BOX + ", s AS (SELECT DISTINCT w, h, least(640 / w, 640 / h) AS s FROM bx) SELECT w, h, round(s, 9) AS scale, CAST(floor((640 - floor(w * s)) / 2) AS INTEGER) AS pad_x, CAST(floor((640 - floor(h * s)) / 2) AS INTEGER) AS pad_y FROM s",
 }
+# the decoded boxes of detect_decode, at full precision, through the greedy fold
+SQL["detect_json"] = (
+    "WITH RECURSIVE " + SQL["detect_decode"].removeprefix("WITH ").split("SELECT image_id, CAST(cand")[0].rstrip() + """,
+      e AS (SELECT image_id, CAST(cand AS INTEGER) AS cand, least(greatest((b[1] - b[3] / 2) / 0.5::DOUBLE, 0), 1280) AS x, least(greatest((b[2] - b[4] / 2 - 80) / 0.5::DOUBLE, 0), 960) AS y,
+        least(greatest((b[1] + b[3] / 2) / 0.5::DOUBLE, 0), 1280) AS x2, least(greatest((b[2] + b[4] / 2 - 80) / 0.5::DOUBLE, 0), 960) AS y2, m / 1000 AS s, CAST(list_position(s, m) - 1 AS INTEGER) AS c FROM d WHERE m >= 600),
+      l AS (SELECT image_id, list({'x': x, 'y': y, 'w': x2 - x, 'h': y2 - y, 'x2': x2, 'y2': y2, 's': s, 'c': c, 'k': cand} ORDER BY s DESC, cand) AS b FROM e GROUP BY image_id),
+      k AS (SELECT image_id, b, 1 AS i, b[1:1] AS kept FROM l UNION ALL
+        SELECT image_id, b, i + 1, CASE WHEN len(list_filter(kept, lambda a: """ + INTER.replace("{b}", "b[i + 1]").replace("{a}", "a") + """ > 0.45::DOUBLE * (a.w * a.h + b[i + 1].w * b[i + 1].h - """ + INTER.replace("{b}", "b[i + 1]").replace("{a}", "a") + """))) > 0 THEN kept ELSE list_append(kept, b[i + 1]) END FROM k WHERE i < len(b)),
+      u AS (SELECT image_id, unnest(kept) AS u FROM k WHERE i = len(b)),
+      r AS (SELECT image_id, round(u.x, 3) AS x1, round(u.y, 3) AS y1, round(u.x2, 3) AS x2, round(u.y2, 3) AS y2, round(u.s, 3) AS score, u.c AS class_id, u.k AS cand, CASE u.c WHEN 0 THEN 'door' WHEN 2 THEN 'key' ELSE CAST(u.c AS VARCHAR) END AS label FROM u),
+      j AS (SELECT image_id, CAST(to_json(list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'cx': (x1 + x2) * 0.5::DOUBLE, 'cy': (y1 + y2) * 0.5::DOUBLE, 'score': score, 'class_id': class_id, 'label': label} ORDER BY score DESC, cand)) AS VARCHAR) AS json FROM r GROUP BY image_id)
+      SELECT vec_id AS image_id, coalesce(json, '[]') AS json FROM embeddings LEFT JOIN j ON image_id = vec_id"""
+)
 SQL["detect_labels"] = SQL["detect_decode"].replace("WITH v AS", "WITH dd AS (WITH v AS") + ") SELECT CASE class_id WHEN 0 THEN 'door' WHEN 2 THEN 'key' ELSE CAST(class_id AS VARCHAR) END AS label, count(*) AS n FROM dd GROUP BY label"
 
 QUERIES = (
     box_iou_pairs, box_nms, origin_offset, box_unclip, box_remap, box_centers, compact_points, match_json, median_height, latency_percentiles, fragment_runs, fragment_pairs, coverage_gaps,
-    detect_decode, detect_labels, ctc_greedy, ctc_beam, find_text_all, find_text_first, target_groups, line_text, point_budget, reading_order, candidate_fold, adaptive_scale, letterbox_geometry,
+    detect_decode, detect_labels, detect_json, ctc_greedy, ctc_beam, find_text_all, find_text_first, find_text_groups, find_text_points, lines_json, target_groups, line_text, point_budget, reading_order, candidate_fold, adaptive_scale, letterbox_geometry,
 )

@@ -219,16 +219,17 @@ class TemplateStore:
 
         A name is looked up as it is, else by its base name."""
         from_set = self.templates(handle)
-        keys = {r.key for r in from_set.select("key").collect()}
-        chosen = []
-        for i, name in enumerate(names):
-            base = re.split(r"[/\\]", name)[-1]
-            key = name if name in keys else base
-            if key not in keys:
-                raise LookupError(f"no template {name!r}")
-            chosen.append((i, key))
-        wanted = from_set.sparkSession.createDataFrame(chosen, "template_index int, key string")
-        return from_set.join(F.broadcast(wanted), "key")
+        rows = [(i, name, re.split(r"[/\\]", name)[-1]) for i, name in enumerate(names)]
+        wanted = from_set.sparkSession.createDataFrame(rows, "template_index int, name string, base string")
+        keys = from_set.select("key").distinct()
+        exact, base = (keys.select(F.col("key").alias(c)) for c in ("exact", "loose"))
+        named = wanted.join(exact, F.col("name") == F.col("exact"), "left").join(base, F.col("base") == F.col("loose"), "left")
+        chosen = named.select("template_index", F.coalesce("exact", "loose").alias("key"), "name").collect()  # one row per name
+        lost = [r.name for r in chosen if r.key is None]
+        if lost:
+            raise LookupError(f"no template {lost[0]!r}")
+        chosen = from_set.sparkSession.createDataFrame([(r.template_index, r.key) for r in chosen], "template_index int, key string")
+        return from_set.join(chosen, "key")
 
     def clear(self, handle: int) -> None:
         self._sets[handle] = None
