@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -76,6 +79,16 @@ class Models:
             self.states[handle] = "Empty"
             raise
 
+    def load_bytes(self, handle: int, data: bytes, make: Callable[[bytes], object]) -> None:
+        """Loads a model from memory."""
+        if not data:
+            raise ValueError("an empty model")
+        self.load(handle, lambda: make(data))
+
+    def load_file(self, handle: int, path: str, make: Callable[[bytes], object]) -> None:
+        """Loads a model from a file of the driver; a missing one leaves the handle empty."""
+        self.load(handle, lambda: make(Path(path).read_bytes()))
+
     def get(self, handle: int):
         if self.states.get(handle) != "Loaded":
             raise LookupError("no model is loaded")
@@ -94,3 +107,51 @@ class Models:
 
     def status(self) -> dict:
         return {"models": {str(h): s for h, s in self.states.items()}, "latency_us": dict(self.latency_us)}
+
+    def latency_json(self) -> str:
+        """The last latencies in microseconds by name."""
+        return json.dumps(self.latency_us, sort_keys=True, separators=(",", ":"))
+
+
+@dataclass
+class RuntimeStatus:
+    """What a model runs on; ``degraded`` where it is not what was asked for."""
+
+    runtime_flavor: str = "python"
+    ort_version: str = ""
+    ort_path: str = ""
+    available_providers: list[str] = field(default_factory=list)
+    requested: str = "auto"
+    active: str = "cpu"
+    degraded: bool = False
+    selection_basis: str = ""
+    calibration_key: str = ""
+    cpu_calibration_ms: float = 0.0
+    directml_calibration_ms: float = 0.0
+    reason: str = ""
+
+    @classmethod
+    def choose(cls, requested: str, available: list[str], **known) -> RuntimeStatus:
+        """The wanted provider where it is available, else the CPU."""
+        good = requested in ("auto", "cpu") or requested in available
+        return cls(available_providers=available, requested=requested, active=requested if good and requested != "auto" else "cpu", degraded=not good, reason="" if good else f"{requested} is not available", **known)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False, separators=(",", ":"))
+
+
+class PerWorker:
+    """A model that each Python worker makes once, when it is first called.
+
+    Ships only what makes it; the made model lives in the worker process, under its name, and serves
+    all tasks that the worker runs."""
+
+    def __init__(self, name: str, make: Callable[[], Callable]):
+        self.name, self.make = name, make
+
+    def __call__(self, *args):
+        # functions are shipped by value, so a module variable would not outlive a task
+        made = sys.__dict__.setdefault("opalgrid_models", {})
+        if self.name not in made:
+            made[self.name] = self.make()
+        return made[self.name](*args)

@@ -65,9 +65,11 @@ def paths(skeleton: np.ndarray) -> list[list[tuple[int, int]]]:
     with fewer neighbours first, then in row-major order.  Components come by top, left, size."""
     labels = label_components(skeleton, eight=True)
     degree = _ring(skeleton.astype(np.uint8)).sum(axis=0)
-    out = []
-    for k in range(1, int(labels.max(initial=0)) + 1):
-        pixels = [tuple(p) for p in np.argwhere(labels == k).tolist()]
+    out, places = [], np.argwhere(labels > 0)  # row-major
+    own = labels[labels > 0]
+    order = np.argsort(own, kind="stable")
+    for part in np.split(places[order], np.flatnonzero(np.diff(own[order])) + 1) if len(own) else []:
+        pixels = [tuple(p) for p in part.tolist()]
         ends = [p for p in pixels if degree[p] <= 1]
         own, walk, stack = set(pixels), [], [(ends or pixels)[0]]
         while stack:
@@ -103,11 +105,9 @@ def trace(gray: np.ndarray, threshold: int = -1, invert: bool = False, roi=None,
     at = otsu(np.bincount(part.ravel(), minlength=256)) if threshold < 0 else threshold
     mask = part <= at if invert else part >= at
     skeleton = thin(mask)
-    walks = budget(paths(skeleton), max_points)
-    full = {min(p): p for p in paths(skeleton)}
+    found = paths(skeleton)
     made = []
-    for walk in walks:
-        whole = next(p for p in full.values() if walk[0] in p)
+    for whole, walk in zip(found, budget(found, max_points)):
         ys, xs = [p[0] for p in whole], [p[1] for p in whole]
         made.append({"bounds": {"x": x0 + min(xs), "y": y0 + min(ys), "w": max(xs) - min(xs) + 1, "h": max(ys) - min(ys) + 1}, "points": [[x0 + x, y0 + y] for y, x in walk]})
     return {

@@ -486,6 +486,14 @@ SQL = {
     "template_ncc_scores": _SAD + """, s AS (SELECT g.image_id, template_index, g.y - dy AS y, g.x - dx AS x, sum(gray) AS sa, sum(tv) AS sb, sum(gray * gray) AS aa, sum(tv * tv) AS bb, sum(gray * tv) AS ab
       FROM gr g JOIN tpl ON g.y - dy BETWEEN 0 AND 5 AND g.x - dx BETWEEN 0 AND 5 GROUP BY ALL)
       SELECT image_id, template_index, y, x, round(CASE WHEN 9 * aa > sa * sa AND 9 * bb > sb * sb THEN CAST(9 * ab - sa * sb AS DOUBLE) / (sqrt(CAST(9 * aa - sa * sa AS DOUBLE)) * sqrt(CAST(9 * bb - sb * sb AS DOUBLE))) ELSE -1.0 END, 6) AS score FROM s""",
+    "thin_skeleton": "WITH RECURSIVE " + PX + """, img AS (SELECT image_id, list(CASE WHEN gray >= 128 THEN 1 ELSE 0 END ORDER BY y, x) AS m FROM gr GROUP BY image_id),
+      t AS (SELECT image_id, 0 AS k, m FROM img UNION ALL
+        SELECT image_id, k + 1, list_transform(list_transform(range(64), lambda i: {'i': i, 'r': [m[i - 7], m[i - 6], m[i + 2], m[i + 10], m[i + 9], m[i + 8], m[i], m[i - 8]]}), lambda p:
+          CASE WHEN m[p.i + 1] = 1 AND p.i % 8 BETWEEN 1 AND 6 AND p.i // 8 BETWEEN 1 AND 6 AND list_sum(p.r) BETWEEN 2 AND 6
+            AND len(list_filter(range(8), lambda j: p.r[j + 1] = 0 AND p.r[(j + 1) % 8 + 1] = 1)) = 1
+            AND p.r[1] * p.r[3] * p.r[CASE WHEN k % 2 = 0 THEN 5 ELSE 7 END] = 0 AND p.r[CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END] * p.r[5] * p.r[7] = 0 THEN 0 ELSE m[p.i + 1] END)
+        FROM t WHERE k < 16)
+      SELECT image_id, CAST(list_sum(m) AS INTEGER) AS skeleton_pixels FROM t WHERE k = 16""",
     "local_peaks": WITH + """, m AS (SELECT a.image_id, a.y, a.x, a.gray, max(b.gray) AS m, max(CASE WHEN (b.y = a.y AND b.x = a.x - 1) OR (b.x = a.x AND b.y = a.y - 1) THEN CAST(b.gray = a.gray AS INTEGER) ELSE 0 END) AS again
       FROM gr a JOIN gr b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT image_id, y, x, gray FROM m WHERE gray = m AND again = 0""",
     "color_bias": WITH + """, s AS (SELECT p.image_id, sum(greatest(abs(p.b - t.b) - 10, 0) + greatest(abs(p.g - t.g) - 10, 0) + greatest(abs(p.r - t.r) - 10, 0)) AS residual, count(*) AS n FROM px p JOIN px t ON t.image_id = 0 AND p.y = t.y AND p.x = t.x GROUP BY p.image_id)

@@ -1,17 +1,25 @@
-"""Known answers for boxes, text, recognition and decoding."""
+"""Known answers for boxes, text, recognition and decoding.
 
+The numbers in the lists of boxes, rules, points and evaluations are fixed values: results that any
+implementation of these operators must give.
+"""
+
+import json
 import math
 
 import numpy as np
 import pytest
 
-from opalgrid.backends import Models, mock_detector, mock_recognizer
+from opalgrid.backends import Models, PerWorker, RuntimeStatus, mock_detector, mock_recognizer
 from opalgrid.functions import text as X
 from opalgrid.operators import boxes as B
 from opalgrid.operators import decode as D
 from opalgrid.operators import match as M
 from opalgrid.operators import recognize as R
+from opalgrid.operators import search as S
 from opalgrid.operators import trace as T
+from opalgrid.operators.reader import TextReader, aligned
+from opalgrid.sources.images import TemplateStore
 
 
 def order(boxes):
@@ -93,7 +101,7 @@ def support(columns, width=100, height=20):
 
 def test_evaluation():
     plain = R.Candidate("original", np.zeros((80, 100, 3), np.uint8))
-    e = R.evaluate([line(5, 5, 60, 18, 0.95, "法宝合成")], 100, 80, 0.5, candidate=plain)
+    e = R.evaluate([line(5, 5, 60, 18, 0.95, "山水清音")], 100, 80, 0.5, candidate=plain)
     assert not e.suspicious and e.strong and e.chars == e.high_confidence_chars == 4
     assert R.evaluate([line(0, 0, 100, 80, 0.1, "abcd")], 100, 80, 0.5, candidate=plain).suspicious
     none = R.evaluate([], 100, 80, 0.5, candidate=plain)
@@ -104,9 +112,193 @@ def test_evaluation():
     assert whole.complete and R.better(whole, part)
     wide = R.Candidate("original", np.zeros((20, 100, 3), np.uint8))
     assert R.evaluate([line(0, 1, 60, 18, 0.99, "abcd")], 100, 20, 0.5, candidate=wide).suspicious
-    full = R.evaluate([line(2, 2, 96, 16, 0.99, "人人宫宫")], 100, 20, 0.5, candidate=wide)
+    full = R.evaluate([line(2, 2, 96, 16, 0.99, "云云石石")], 100, 20, 0.5, candidate=wide)
     assert full.chars == 4 and full.strong
-    assert R.evaluate([line(5, 5, 60, 18, 0.95, "法宝合成")], 100, 80, 0.5, [["法宝"], ["金钱镖"]], plain).target_groups == 1
+    assert R.evaluate([line(5, 5, 60, 18, 0.95, "山水清音")], 100, 80, 0.5, [["山水"], ["风和日"]], plain).target_groups == 1
+
+
+def _evaluation(**values):
+    return R.Evaluation(**({"complete": True, "suspicious": False, "chars": 4, "mean_confidence": 0.9, "quality": 5.0} | values))
+
+
+def test_margins_on_both_sides():
+    """A coverage gain of just 0.05 decides; an overlap gain of just 0.20 does not."""
+    low, high = np.float32(0.60), np.float32(0.60) + np.float32(0.05)
+    assert R.better(_evaluation(coverage=high, quality=1.0), _evaluation(coverage=low))
+    assert not R.better(_evaluation(coverage=low), _evaluation(coverage=high, quality=1.0))
+    under = np.nextafter(high, np.float32(0))
+    assert not R.better(_evaluation(coverage=under, quality=1.0), _evaluation(coverage=low))
+    assert not R.better(_evaluation(overlap_ratio=0.0, quality=1.0), _evaluation(overlap_ratio=np.float32(0.20)))
+    assert R.better(_evaluation(overlap_ratio=np.float32(0.20)), _evaluation(overlap_ratio=0.0, quality=1.0))
+    assert R.better(_evaluation(overlap_ratio=0.0, quality=1.0), _evaluation(overlap_ratio=np.float32(0.21)))
+    assert not R.better(_evaluation(overlap_ratio=np.float32(0.21)), _evaluation(overlap_ratio=0.0, quality=1.0))
+    assert R.better(_evaluation(quality=5.5), _evaluation()) and not R.better(_evaluation(quality=5.4), _evaluation())
+
+
+def test_enlarging_by_hand():
+    """One row 0, 100, 200 at scale 3: half-pixel places, shares from before the edge holds them."""
+    row = np.repeat(np.array([[0, 100, 200]], np.uint8)[:, :, None], 3, 2)
+    c = R.resized(R.Candidate("a", row, mask=np.array([[True, False, True]])), 3.0, "b")
+    assert (c.pixels.shape, c.scale_x, c.scale_y, c.name) == ((3, 9, 3), 3.0, 3.0, "b")
+    # places -1/3, 0, 1/3, ..: the first lies 2/3 between pixel 0 and the next, as its floor is -1
+    assert c.pixels[1, :, 0].tolist() == [66, 0, 33, 66, 100, 133, 166, 200, 200]
+    assert c.mask[0].tolist() == [True] * 3 + [False] * 3 + [True] * 3
+    near = R.resized(R.Candidate("a", row), 1.5, "b", nearest=True)
+    # five columns (4.5 rounds up); places -0.2, 0.4, 1.0, 1.6, 2.2
+    assert near.pixels.shape == (2, 5, 3) and near.pixels[0, :, 0].tolist() == [0, 0, 100, 200, 200]
+    assert R.resized(R.Candidate("a", np.zeros((4, 9, 3), np.uint8)), 2.5, "b").pixels.shape == (10, 23, 3)
+    same = R.Candidate("a", row)
+    assert R.resized(same, 1.0, "c").pixels is row and R.resized(same, 1.0, "c").name == "c"
+
+
+def test_enlarging_against_a_plain_loop():
+    rng = np.random.default_rng(1)
+    image, f = rng.integers(0, 256, (5, 7, 3), np.uint8), np.float32
+    for scale in (1.5, 2.3, 3.0):
+        out = R.resized(R.Candidate("a", image), scale, "b").pixels
+        h, w = out.shape[:2]
+        assert (h, w) == (math.floor(5 * scale + 0.5), math.floor(7 * scale + 0.5))
+        for y in range(h):
+            for x in range(w):
+                at = [(f(k) + f(0.5)) / (f(n) / f(m)) - f(0.5) for k, n, m in ((y, h, 5), (x, w, 7))]
+                (y0, x0), (fy, fx) = [max(0, math.floor(a)) for a in at], [a - f(math.floor(a)) for a in at]
+                y1, x1 = min(y0 + 1, 4), min(x0 + 1, 6)
+                top = f(image[y0, x0, 0]) * (f(1) - fx) + f(image[y0, x1, 0]) * fx
+                low = f(image[y1, x0, 0]) * (f(1) - fx) + f(image[y1, x1, 0]) * fx
+                assert out[y, x, 0] == int(top * (f(1) - fy) + low * fy)
+
+
+def test_peaks_within_rounding():
+    score = np.zeros((9, 30))
+    score[4, 5], score[4, 7] = 0.9, 0.9 + 5e-7
+    assert M.local_peaks(score, 0.5, 10, 10) == [(4, 5), (4, 7)]  # too close to part
+    score[4, 7] = 0.9 + 5e-6
+    assert M.local_peaks(score, 0.5, 10, 10) == [(4, 7)]
+    score[4, 20:23] = 0.8
+    assert M.local_peaks(score, 0.5, 10, 10) == [(4, 7), (4, 20)]  # of a plateau the first
+
+
+def test_confidence_rules():
+    lines = [line(0, 0, 1, 1, c, "a") for c in (0.5, 0.4, math.nan, math.inf, -math.inf)]
+    kept = {r: [t.confidence for t in R.confident(lines, 0.5, r)] for r in ("finite", "reached", "not_below")}
+    assert kept["finite"] == [0.5] and kept["reached"] == [0.5, math.inf]
+    assert len(kept["not_below"]) == 3 and math.isnan(kept["not_below"][1])
+
+
+def test_reader_from_map_to_text():
+    """Bright bars are lines; a line's text is one letter for each 16 columns with light."""
+    chars = ["", "a", "b"]
+
+    def detect(tensor):
+        return (tensor[0] > 0).astype(np.float32) * 0.9
+
+    def read(batch):
+        if len(batch) > 1 and broken:
+            raise RuntimeError("too many")
+        lit = (batch[:, 0, 20, :] > 0.5)[:, ::16]
+        logits = np.full((*lit.shape, 3), -9.0)
+        logits[..., 0] = np.where(lit, -9, 9)
+        logits[..., 1] = np.where(lit, 9, -9)
+        return logits
+
+    image = np.zeros((96, 160, 3), np.uint8)
+    image[10:26, 20:80] = 255
+    image[50:66, 30:130] = 255
+    for broken in (False, True):
+        for beam in (0, 4):
+            found = TextReader(detect, read, chars, beam)(image)
+            assert [t.text for t in found.lines] == ["a", "a"] and found.boxes == 2 and found.split is None
+            assert all(t.confidence > 0.99 for t in found.lines) and found.lines[0].y < found.lines[1].y
+    small = np.zeros((32, 160, 3), np.uint8)
+    for x in (4, 30, 56):
+        small[8:24, x : x + 20] = 255
+    found = TextReader(detect, read, chars)(small)
+    assert found.boxes == 3 and found.split is not None and len(found.lines) < 3 == len(found.split)
+    assert len(TextReader(None, read, chars)(image).lines) == 1
+    assert [aligned(n) for n in (1, 47, 48, 100)] == [32, 32, 64, 96]
+
+
+def test_beam_by_enumeration():
+    """With a beam wider than all prefixes the search sums every path."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        logits = rng.normal(size=(4, 3))
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        total = {}
+        for way in itertools.product(range(3), repeat=4):
+            text = tuple(c for i, c in enumerate(way) if c and (i == 0 or way[i - 1] != c))
+            total[text] = total.get(text, 0) + math.prod(p[t, c] for t, c in enumerate(way))
+        assert tuple(D.beam_search(logits, 16)) == max(total, key=total.get)
+
+
+def test_status_and_workers(tmp_path):
+    good, bad = RuntimeStatus.choose("cpu", ["cpu"]), RuntimeStatus.choose("directml", ["cpu"])
+    assert not good.degraded and bad.degraded and bad.active == "cpu" and '"requested":"directml"' in bad.to_json()
+    made = []
+    model = PerWorker("counted", lambda: made.append(1) or (lambda x: x + 1))
+    assert [model(1), model(2)] == [2, 3] and made == [1]
+    models = Models()
+    path = tmp_path / "m"
+    path.write_bytes(b"abc")
+    a, b, c = models.create(), models.create(), models.create()
+    models.load_file(a, str(path), bytes.decode)
+    models.load_bytes(b, b"xyz", bytes.decode)
+    assert (models.get(a), models.get(b)) == ("abc", "xyz")
+    with pytest.raises(FileNotFoundError):
+        models.load_file(c, str(path) + "x", bytes.decode)
+    with pytest.raises(ValueError):
+        models.load_bytes(c, b"", bytes.decode)
+    assert models.status()["models"]["3"] == "Empty" and models.latency_json() == "{}"
+
+
+def test_greedy_suppression_against_a_plain_loop():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 40):
+        box = np.column_stack([rng.integers(0, 30, (n, 2)), rng.integers(0, 20, (n, 2))])
+        kept = []
+        for i, (x, y, w, h) in enumerate(box.tolist()):
+            shares = []
+            for a, b, c, d in box[kept].tolist():
+                s = max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))
+                shares.append(s / (w * h + c * d - s) if w * h + c * d > s else 0)
+            if all(s <= 0.45 for s in shares):
+                kept.append(i)
+        assert B.keep_greedily(box, 0.45) == kept
+
+
+def test_searches(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    frame = rng.integers(0, 256, (40, 60, 3), np.uint8)
+    pixels = lambda a: (a.shape[0], a.shape[1], 2, a.tobytes())
+    parts = {"a.bmp": frame[5:14, 7:17].copy(), "b.bmp": frame[20:30, 30:41].copy(), "c.bmp": rng.integers(0, 256, (9, 9, 3), np.uint8)}
+    store = TemplateStore()
+    handle = store.create()
+    store.load(handle, spark.createDataFrame([(k, *pixels(v)) for k, v in parts.items()], "key string, height int, width int, format int, data binary"))
+    images = spark.createDataFrame([("one", *pixels(frame)), ("none", *pixels(np.zeros((12, 12, 3), np.uint8)))], "image_id string, height int, width int, format int, data binary")
+    got = {r.image_id: r.points for r in S.find_names(images, store, handle, "x/a.bmp|c.bmp|b.bmp", 0.95, (100, -5)).collect()}
+    assert got == {"one": "0,107,0|2,130,15", "none": ""}
+    assert {r.points for r in S.find_names(images, store, handle, "a.bmp", 0.95, (2**31 - 1, 0)).collect()} == {""}
+    with pytest.raises(LookupError):
+        store.find(handle, ["a.bmp", "lost.bmp"])
+    lines = spark.createDataFrame([("i", 0, 0, 0, 8, 8, 0.9, "A你B好"), ("i", 1, 0, 10, 80, 8, 0.2, "你B"), ("i", 2, 0, 20, 30, 8, math.nan, "你B"), ("j", 0, 0, 0, 8, 8, 0.9, "x")], "image_id string, line_no int, x int, y int, w int, h int, confidence double, text string")
+    hits = S.find_text(lines, [["lost", "你B"]], 0.5)
+    assert [tuple(r) for r in S.first_hit(hits).select("image_id", "target_index", "x", "y", "w", "h", "cx", "cy").collect()] == [("i", 0, 2, 0, 4, 8, 4, 4)]
+    assert sorted(map(tuple, S.text_points(lines, hits).collect())) == [("i", "0,4,4"), ("j", "")]
+    assert S.find_text(lines, "你B", 0.5, whole_lines=True).first().w == 8
+    for bad in ("", "a||b", []):
+        with pytest.raises(ValueError):
+            S.find_text(lines, bad)
+    labels = spark.createDataFrame([(0, "door")], "class_id int, label string")
+
+    def model(tensor):
+        assert tensor.shape == (3, 64, 64)
+        return np.array([[32, 32, 20, 20, 0.9, 0.1], [33, 32, 20, 20, 0.8, 0.1], [10, 32, 8, 8, 0.1, 0.7], [5, 5, 2, 2, 0.1, 0.2]])
+
+    found = {r.image_id: json.loads(r.json) for r in S.detect_images(images, model, labels, 64).collect()}
+    assert [(d["label"], d["class_id"], round(d["score"], 3)) for d in found["one"]] == [("door", 0, 0.9), ("1", 1, 0.7)]
+    assert found["one"][0]["cx"] == (found["one"][0]["x1"] + found["one"][0]["x2"]) / 2 == 30
 
 
 def test_remap_and_confidence():
