@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 from bisect import insort
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,19 +171,40 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     """(image_id, line_no, pos, detection_index, x, y, w, h): boxes of each image in reading order.
 
     Needs (image_id, detection_index, x, y, w, h); an image's boxes meet in one task."""
+    item = F.struct("detection_index", "x", "y", "w", "h")
+    return order_lists(boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("boxes")))
 
-    listed = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("detection_index", "x", "y", "w", "h"))).alias("boxes"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for image, found in zip(frame["image_id"], frame["boxes"]):
-                own = [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in found]
-                order = [(n, i) for n, line in enumerate(reading_lines([b[1:] for b in own])) for i in line]
-                rows += [(image, n, pos, *own[i]) for pos, (n, i) in enumerate(order)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ORDERED_BOX.split(", ")])
+def order_lists(listed: DataFrame) -> DataFrame:
+    """``reading_order`` of rows (image_id, boxes): one list of structs with x, y, w, h per image, and with
+    detection_index or else numbered by place."""
 
-    return listed.mapInPandas(run, ORDERED_BOX)
+    def run(batches):
+        for batch in batches:
+            flat = batch.column("boxes").flatten()
+            ends = np.cumsum(batch.column("boxes").value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            own = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in "xywh"}
+            box = list(zip(*(v.tolist() for v in own.values())))
+            rows, owner, line_no, pos = [], [], [], []
+            for i, (lo, hi) in enumerate(zip([0, *ends], ends)):
+                lines = reading_lines(box[lo:hi])
+                order = [k for line in lines for k in line]
+                rows += [lo + k for k in order]
+                owner += [i] * len(order)
+                line_no += [n for n, line in enumerate(lines) for _ in line]
+                pos += range(len(order))
+            at = np.array(rows, np.int64)
+            place = at - np.array([0, *ends], np.int64)[np.array(owner, np.int64)]
+            index = flat.field("detection_index").to_numpy(zero_copy_only=False)[at] if flat.type.get_field_index("detection_index") >= 0 else place
+            yield pa.record_batch(
+                {
+                    "image_id": batch.column("image_id").take(pa.array(owner, pa.int64())),
+                    **{k: pa.array(np.array(v, np.int32)) for k, v in (("line_no", line_no), ("pos", pos), ("detection_index", index))},
+                    **{c: pa.array(v[at].astype(np.int32)) for c, v in own.items()},
+                }
+            )
+
+    return listed.select(F.col("image_id").cast("long").alias("image_id"), "boxes").mapInArrow(run, ORDERED_BOX)
 
 
 def label_components(mask: np.ndarray, eight: bool = False) -> np.ndarray:

@@ -6,8 +6,7 @@ text lines from conversations.  A few targets are literals.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +20,17 @@ from opalgrid.operators import search as S
 TARGETS = ["the", "ing", "on t", "absent"]
 
 
-def boxes(spark, sf_dir) -> DataFrame:
-    """(image_id, x, y, w, h, score): one box for each distinct line of an order."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.select(
+def boxes(spark, sf_dir, distinct: bool = True) -> DataFrame:
+    """(image_id, x, y, w, h, score): one box for each (distinct) line of an order."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_orderkey").alias("image_id"),
         (F.col("l_partkey") % 97).cast("int").alias("x"),
         (F.col("l_suppkey") % 53).cast("int").alias("y"),
         (F.floor("l_quantity") % 40 + 10).cast("int").alias("w"),
         (F.col("l_partkey") % 30 + 10).cast("int").alias("h"),
         (F.round(F.col("l_discount") * 100).cast("int") * 10 + F.col("l_linenumber") % 10).alias("score"),
-    ).distinct()
+    )
+    return rows.distinct() if distinct else rows
 
 
 BOX = """WITH bx AS (SELECT DISTINCT l_orderkey AS image_id, CAST(l_partkey % 97 AS INTEGER) AS x, CAST(l_suppkey % 53 AS INTEGER) AS y, CAST(floor(l_quantity) % 40 + 10 AS INTEGER) AS w,
@@ -267,25 +266,32 @@ def point_budget(spark, sf_dir, limit: int = 12):
 
 
 def reading_order(spark, sf_dir):
-    order = Window.partitionBy("image_id").orderBy("score", "x", "y", "w", "h")
-    rows = boxes(spark, sf_dir).withColumn("detection_index", (F.row_number().over(order) - 1).cast("int"))
-    return B.reading_order(rows.select("image_id", "detection_index", "x", "y", "w", "h"))
+    """Distinct boxes, numbered by score and place, in reading order: one gather of each image."""
+    rows = boxes(spark, sf_dir, False)
+    listed = rows.groupBy("image_id").agg(F.sort_array(F.collect_set(F.struct("score", "x", "y", "w", "h"))).alias("boxes"))
+    return B.order_lists(listed)
 
 
 def candidate_fold(spark, sf_dir):
     """The preferred one of four candidates of each conversation, by the fold with margins."""
 
-    def choose(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def choose(found) -> tuple[int, int]:
         best, name = None, -1
-        for k, part in sorted(frame.groupby("candidate")):
-            found = [R.TextLine(4, int(t) * 20, max(1, len(s) % 90), 16, 0.3 + (len(s) % 7) / 10, s) for t, s in sorted(zip(part["turn"], part["text"]))]
-            e = R.evaluate(found, 120, 200, 0.5)
+        for k in sorted({r["candidate"] for r in found}):
+            own = [R.TextLine(4, r["turn"] * 20, max(1, len(r["text"]) % 90), 16, 0.3 + (len(r["text"]) % 7) / 10, r["text"]) for r in found if r["candidate"] == k]
+            e = R.evaluate(own, 120, 200, 0.5)
             if best is None or R.better(e, best):
                 best, name = e, k
-        return pd.DataFrame({"conv_id": [key[0]], "candidate": [name], "chars": [best.chars]})
+        return name, best.chars
 
-    rows = lines(spark, sf_dir).select("conv_id", "turn", "text", (F.length("text") % 4).cast("int").alias("candidate"))
-    return rows.groupBy("conv_id").applyInPandas(choose, "conv_id long, candidate int, chars long")
+    def run(batches):
+        for batch in batches:
+            chosen = [choose(found.as_py()) for found in batch.column("found")]
+            yield pa.record_batch({"conv_id": batch.column("conv_id"), "candidate": pa.array([c for c, _ in chosen], pa.int32()), "chars": pa.array([n for _, n in chosen], pa.int64())})
+
+    item = F.struct((F.length("text") % 4).cast("int").alias("candidate"), F.col("turn").cast("int").alias("turn"), "text")
+    rows = lines(spark, sf_dir).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("found"))
+    return rows.mapInArrow(run, "conv_id long, candidate int, chars long")
 
 
 def adaptive_scale(spark, sf_dir):

@@ -1,10 +1,17 @@
 """Every registered query of the engine against its SQL on the smallest tables."""
 
+import json
 import os
 
+import numpy as np
 import pytest
 
 import opalgrid.catalog as catalog
+from opalgrid.operators import boxes as B
+from opalgrid.operators import decode as D
+from opalgrid.operators import recognize as R
+from opalgrid.operators import trace as T
+from opalgrid.plans import rasters, regions
 
 DATA = "/root/testdata/sf0.001"
 SQL = catalog.oracle_sql()
@@ -27,6 +34,66 @@ def duck():
     return con
 
 
+def checked_reading_order(found, duck):
+    """Lines of each image, computed from rows that another engine reads."""
+    want = set()
+    sql = f"{regions.BOX} SELECT image_id, list((score, x, y, w, h) ORDER BY score, x, y, w, h) FROM bx GROUP BY image_id"
+    for image, rows in duck.execute(sql).fetchall():
+        box = [tuple(r)[1:] for r in rows]
+        order = [(n, i) for n, line in enumerate(B.reading_lines(box)) for i in line]
+        want |= {(image, n, pos, i, *box[i]) for pos, (n, i) in enumerate(order)}
+        for n in {n for n, _ in order}:
+            line = [box[i] for m, i in order if m == n]
+            assert [b[0] for b in line] == sorted(b[0] for b in line)
+    assert {tuple(r[c] for c in ("image_id", "line_no", "pos", "detection_index", "x", "y", "w", "h")) for r in found} == want and len(found) == len(want)
+
+
+def checked_candidate_fold(found, duck):
+    want = {}
+    for conv, rows in duck.execute(f"{regions.LN} SELECT conv_id, list((length(text) % 4, turn, text) ORDER BY length(text) % 4, turn, text) FROM ln GROUP BY conv_id").fetchall():
+        best = None
+        for k in range(4):
+            own = [R.TextLine(4, t * 20, max(1, len(s) % 90), 16, 0.3 + (len(s) % 7) / 10, s) for c, t, s in rows if c == k]
+            if own:
+                e = R.evaluate(own, 120, 200, 0.5)
+                best = (k, e) if best is None or R.better(e, best[1]) else best
+        want[conv] = best[0], best[1].chars
+    assert {r.conv_id: (r.candidate, r.chars) for r in found} == want
+
+
+def checked_trace_paths(found, duck):
+    """Each skeleton pixel is on one path; a path's bounds hold its points and no less."""
+    gray = {}
+    for image, y, x, v in duck.execute(f"{rasters.WITH} SELECT image_id, y, x, gray FROM gr").fetchall():
+        gray.setdefault(image, np.zeros((8, 8), np.uint8))[y, x] = v
+    assert {r.image_id for r in found} == set(gray)
+    for r in found:
+        out, image = json.loads(r.trace), gray[r.image_id]
+        spread = [(image <= t).sum() * (image > t).sum() * (image[image <= t].mean() - image[image > t].mean()) ** 2 if (image <= t).any() and (image > t).any() else -1 for t in range(256)]
+        assert max(spread) < 0 or spread[out["threshold"]] >= max(spread) * (1 - 1e-9)
+        points = [tuple(p) for path in out["paths"] for p in path["points"]]
+        skeleton = T.thin(image >= out["threshold"])
+        assert sorted(points) == sorted((x, y) for y, x in np.argwhere(skeleton).tolist()) and out["point_count"] == len(points) == out["skeleton_pixels"]
+        for path in out["paths"]:
+            xs, ys = zip(*path["points"])
+            assert path["bounds"] == {"x": min(xs), "y": min(ys), "w": max(xs) - min(xs) + 1, "h": max(ys) - min(ys) + 1}
+
+
+def checked_ctc_beam(found, duck):
+    want = {}
+    for seq, values in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall():
+        steps = np.array(values, np.float32).astype(float).reshape(8, 8)
+        want[seq] = "".join(regions.CHARS[i] for i in D.beam_search(steps, 5, 8)), round(D.greedy(steps)[1], 6)
+    assert {r.seq_id: (r.text, r.confidence) for r in found} == want
+
+
+CHECKED = {"reading_order": checked_reading_order, "candidate_fold": checked_candidate_fold, "trace_paths": checked_trace_paths, "ctc_beam": checked_ctc_beam}
+
+
+def test_every_query_is_checked():
+    assert set(catalog.queries()) == set(SQL) | set(CHECKED)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
@@ -34,7 +101,7 @@ def test_query(spark, duck, name):
     columns = sorted(rows.columns)
     found = sorted((tuple(plain(r[c]) for c in columns) for r in rows.collect()), key=str)
     if name not in SQL:
-        assert found
+        CHECKED[name](rows.collect(), duck)
         return
     made = duck.execute(SQL[name])
     names = [d[0] for d in made.description]
