@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm._store import stored
+from opalgrid.llm._store import drop, stored
 from opalgrid.llm._text import chunks, mix64
 from opalgrid.llm.components import components
 
@@ -354,7 +354,8 @@ def _near_pairs(nodes: DataFrame, radius: int, similarity: float, block: int | N
     both = pairs.join(blocks, ["kind", "pop", "cut"]).join(second, ["kind2", "pop2", "cut2"])
     both = both.select(same, "prints", "sizes", "nodes", "sketches", "prints2", "sizes2", "nodes2", "sketches2")
     found = stored(both.mapInArrow(_near_task(radius, similarity), "u long, v long"), "near", max(1, BATCH_BYTES // ((48 + 2 * SKETCH) * block)))
-    return found.distinct()
+    drop(blocks)
+    return stored(found.distinct(), "pairs")
 
 
 def _similar(keyed: DataFrame, prints: DataFrame, key, order: Column, shingle: int, radius: int, similarity: float, seed: int, block: int | None) -> DataFrame:
@@ -373,7 +374,9 @@ def _similar(keyed: DataFrame, prints: DataFrame, key, order: Column, shingle: i
     sets = stored(texts.mapInArrow(_set_task(shingle, seed), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     first, second = (sets.toDF(x, y) for x, y in (("u", "a"), ("v", "b")))
     links = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify_task(similarity), "u long, v long")
-    roots = components(stored(links, "verified", VERIFY_ROWS))
+    links = stored(links, "verified", VERIFY_ROWS)
+    drop(sets)
+    roots = components(links)
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

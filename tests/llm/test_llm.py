@@ -633,3 +633,32 @@ def test_machine_learns_pairs():
     rows, terms = np.nonzero(sets)
     machine = toxicity.Machine(2).fit(rows, terms, labels, steps=800)
     assert ((machine.score(rows, terms, 800) > 0.5) == labels).mean() > 0.99
+
+
+def test_very_long_texts(spark):
+    """200,000 words, one word of a megabyte, a megabyte of blanks, and a secret of 100,000 characters."""
+    many, word = " ".join(f"w{i}" for i in range(200_000)), "x" * (1 << 20)
+    table = [(1, many), (2, word), (3, " " * (1 << 20)), (4, many), (5, "password=" + "Ab3" * 33_000 + " end")]
+    docs = spark.createDataFrame([(i, t, "s", i) for i, t in table], "doc_id long, text string, source string, size int").repartition(3)
+    words = {1: 200_000, 2: 1, 3: 0, 4: 200_000, 5: 2}
+
+    def by_id(df, *columns):
+        return {r.doc_id: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
+
+    benchmark = spark.createDataFrame([("a", "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), ("b", word)], "item_id string, text string")
+    hit = by_id(decontaminate.contamination(docs, benchmark), "n_hit")
+    assert hit == {1: 10, 2: 1, 3: 0, 4: 10, 5: 0}
+    assert by_id(substrings.remove_repeats(docs), "n_words", "n_removed") == {i: (n, 200_000 if i == 4 else 0) for i, n in words.items()}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    assert set(by_id(toxicity.toxicity(docs, labels), "score")) == set(words)
+    assert by_id(simhash.near_duplicates(docs), "component_id") == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5}
+    assert sorted(by_id(simhash.keep_one(docs, 5, 14, similarity=0.8), "size")) == [1, 2, 3, 5]
+    assert by_id(licenses.scan_licenses(docs), "n_words") == words | {5: 3}
+    assert by_id(quality.judge(docs), "n_words") == words and sorted(by_id(quality.keep_good(docs), "size")) == [1, 4]
+    assert by_id(mixing.plan(docs), "size") == words
+    masked = by_id(pii.mask(docs), "text")
+    assert [masked[i] for i in range(1, 5)] == [t for _, t in table[:4]]
+    assert re.fullmatch("password=([A-Z][a-z][0-9]){33000} end", masked[5]) and masked[5] != table[4][1]
+    pages = spark.createDataFrame([(i, f"http://h.org/{t[:50_000]}", t) for i, t in table], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.payload_bytes) for r in warc.round_trip(pages).collect()}
+    assert got == {i: ("revisit" if i == 1 else "response", len(t)) for i, t in table}
