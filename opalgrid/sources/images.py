@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,31 @@ def decode_images(binary: DataFrame, allow32: bool = True) -> DataFrame:
     return binary.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInPandas(_decode_rows(allow32), IMAGE)
 
 
+def write_images(images: DataFrame, folder: str, name: str = "image_id") -> DataFrame:
+    """Writes each image as ``<name>.bmp`` into a folder that all executors reach; returns (name, file, bytes).
+
+    Nothing is written before the result is read.  A task that runs again writes the same files."""
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["data"] is None:
+                    continue
+                bgr, alpha = to_bgr(bytes(r["data"]), r["height"], r["width"], r["format"])
+                data = encode_bmp(np.dstack([bgr, alpha]) if CHANNELS[r["format"]] == 4 else bgr)
+                file = re.sub(r"[^A-Za-z0-9._-]", "_", r["name"].rsplit("/", 1)[-1].removesuffix(".bmp")) + ".bmp"
+                with store.open_output_stream(f"{root}/{file}") as out:
+                    out.write(data)
+                rows.append((r["name"], file, len(data)))
+            names, files, sizes = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch({"name": pa.array(names, pa.string()), "file": pa.array(files, pa.string()), "bytes": pa.array(sizes, pa.int64())})
+
+    return images.select(F.col(name).cast("string").alias("name"), "height", "width", "format", "data").mapInArrow(run, "name string, file string, bytes long")
+
+
 def read_images(spark: SparkSession, path: str, allow32: bool = True, recursive: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return decode_images(files.select(F.col("path").alias("image_id"), "content"), allow32)

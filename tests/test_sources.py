@@ -105,6 +105,16 @@ def test_settings(spark, tmp_path):
     assert charset(["x"]) == ["", "x", " "]
 
 
+def test_written_images_read_back(spark, tmp_path):
+    four = np.dstack([PIXELS, np.full(PIXELS.shape[:2], 9, np.uint8)])
+    rows = [("a/x.bmp", *I.image_from_array(PIXELS)), ("y", *I.image_from_array(four)), ("bad", None, None, None, None)]
+    images = spark.createDataFrame(rows, "image_id string, height int, width int, format int, data binary")
+    made = I.write_images(images, f"file://{tmp_path}/out").collect()
+    assert sorted((r.name, r.file) for r in made) == [("a/x.bmp", "x.bmp"), ("y", "y.bmp")]
+    got = {r.image_id.rsplit("/", 1)[-1]: bytes(r.data) for r in I.read_images(spark, f"{tmp_path}/out").collect()}
+    assert got == {"x.bmp": PIXELS.tobytes(), "y.bmp": four.tobytes()}
+
+
 def test_stream(spark, tmp_path):
     from opalgrid.streaming import run_batches, stream_images
 
