@@ -37,7 +37,7 @@ from opalgrid.llm._text import chunks, mix64
 from opalgrid.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-MIN_BLOCK, MAX_BLOCK, BATCH_BYTES, VERIFY_ROWS = 2048, 1 << 16, 64 << 20, 256
+MIN_BLOCK, MAX_BLOCK = 2048, 1 << 16
 # A stage for near-duplicates: words in a shingle, similarity, and the radius that finds them.  Texts
 # of similarity 0.8 differ in 9.7 bits of 64 on average; NEAR_RADIUS is a trade between those missed
 # and the pairs to verify.
@@ -221,7 +221,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int | None = None) ->
     second = blocks.select(F.col("tile").alias("tile2"), F.col("cut").alias("cut2"), F.col("prints").alias("b"))
     same = F.expr("tile = tile2 and cut = cut2")
     both = pairs.join(first, ["tile", "cut"]).join(second, ["tile2", "cut2"]).select(same.alias("same"), "a", F.when(~same, F.col("b")).otherwise(F.array().cast("array<bigint>")).alias("b"))
-    return stored(both.mapInArrow(_compare_task(radius), "u long, v long"), "links", max(1, BATCH_BYTES // (16 * block)))
+    return stored(both.mapInArrow(_compare_task(radius), "u long, v long"), "links")
 
 
 def _filed(prints: DataFrame, order: Column, radius: int, block: int | None) -> DataFrame:
@@ -353,7 +353,7 @@ def _near_pairs(nodes: DataFrame, radius: int, similarity: float, block: int | N
     second = blocks.toDF("kind2", "pop2", "cut2", "prints2", "sizes2", "nodes2", "sketches2")
     both = pairs.join(blocks, ["kind", "pop", "cut"]).join(second, ["kind2", "pop2", "cut2"])
     both = both.select(same, "prints", "sizes", "nodes", "sketches", "prints2", "sizes2", "nodes2", "sketches2")
-    found = stored(both.mapInArrow(_near_task(radius, similarity), "u long, v long"), "near", max(1, BATCH_BYTES // ((48 + 2 * SKETCH) * block)))
+    found = stored(both.mapInArrow(_near_task(radius, similarity), "u long, v long"), "near")
     drop(blocks)
     return stored(found.distinct(), "pairs")
 
@@ -374,7 +374,7 @@ def _similar(keyed: DataFrame, prints: DataFrame, key, order: Column, shingle: i
     sets = stored(texts.mapInArrow(_set_task(shingle, seed), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     first, second = (sets.toDF(x, y) for x, y in (("u", "a"), ("v", "b")))
     links = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify_task(similarity), "u long, v long")
-    links = stored(links, "verified", VERIFY_ROWS)
+    links = stored(links, "verified")
     drop(sets)
     roots = components(links)
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
