@@ -14,7 +14,7 @@ sizes that differ by the factor s at most) and of neighbouring population counts
 blocks' spanning forest (most similar first) is then verified by the Jaccard similarity of the two
 sets of shingles, and up to ``TRIES`` more of each text where the estimate is close to the limit.  So
 a group of m texts has a few m links to verify, never all pairs; a link that only closes a ring of
-better ones is not looked at.  The comparisons grow with the square of the
+better ones is not looked at.  A group that holds much of a block is compared with its leader only.  The comparisons grow with the square of the
 number of different texts of a size class, as the method has it.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of
@@ -42,7 +42,7 @@ MIN_BLOCK, MAX_BLOCK = 2048, 1 << 16
 # of similarity 0.8 differ in 9.7 bits of 64 on average; NEAR_RADIUS is a trade between those missed
 # and the pairs to verify.
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 14
-SKETCH, SLACK, TRIES = 128, 0.2, 4
+SKETCH, SLACK, TRIES, DENSE = 128, 0.2, 4, 512
 LANES, LANE_BITS = 4, 5
 
 
@@ -259,34 +259,62 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) ->
         root = _roots(a[chosen], b[chosen], n, root)
 
 
-def near_links(a, b, radius: int, similarity: float, step: int = 1 << 21):
-    """Links (numbers in a, then b) of a spanning forest, most similar first; a and b: (prints, sizes,
-    sketches), b None for pairs within a."""
-    (p, m, x), (q, n, y) = a, b or a
-    left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-    rows, few = max(1, step // max(1, len(q))), 1 << 17
-    for lo in range(0, len(p), rows):
-        i, j = np.nonzero(np.bitwise_count(p[lo : lo + rows, None] ^ q[None, :]) <= radius)
-        i += lo
-        ok = (np.minimum(m[i], n[j]) >= similarity * np.maximum(m[i], n[j])) & ((i < j) if b is None else True)
-        i, j = i[ok], j[ok]
-        alike = np.concatenate([np.empty(0), *(estimate(x[i[k : k + few]], y[j[k : k + few]]) for k in range(0, len(i), few))])
+def _near(p, m, x, i, j, radius: int, similarity: float, same: bool, step: int = 1 << 21):
+    """Pairs (and their estimates) of nodes i and nodes j that may be similar; same: each pair once."""
+    found, few = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 1 << 17
+    rows = max(1, step // max(1, len(j)))
+    for lo in range(0, len(i), rows):
+        u, v = np.nonzero(np.bitwise_count(p[i[lo : lo + rows], None] ^ p[None, j]) <= radius)
+        u, v = i[u + lo], j[v]
+        ok = (np.minimum(m[u], m[v]) >= similarity * np.maximum(m[u], m[v])) & ((u < v) if same else True)
+        u, v = u[ok], v[ok]
+        alike = np.concatenate([np.empty(0), *(estimate(x[u[k : k + few]], x[v[k : k + few]]) for k in range(0, len(u), few))])
         ok = alike >= similarity - SLACK
-        left.append(i[ok])
-        right.append(j[ok])
-        far.append(-alike[ok])
-    i, j, d = (np.concatenate(z) for z in (left, right, far))
-    shift = 0 if b is None else len(p)
-    kept = spanning_forest(i, j + shift, d, shift + len(q))
+        found.append((u[ok], v[ok], alike[ok]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _large_group(p, m, x, radius: int, similarity: float):
+    """(links to its leader, members) of a group of near copies with an eighth of the nodes, if one shows
+    up among some nodes tried; its members need not be compared with each other."""
+    n = len(p)
+    if n < DENSE:
+        return None
+    tried = np.unique(np.linspace(0, n - 1, 32).astype(np.int64))
+    reach = [(np.bitwise_count(p ^ p[t]) <= radius).sum() for t in tried]
+    leader = tried[int(np.argmax(reach))]
+    if max(reach) < n // 8:
+        return None
+    u, v, alike = _near(p, m, x, np.array([leader]), np.arange(n), radius, similarity, False)
+    ok = (alike >= similarity + SLACK / 2) & (u != v)
+    return None if ok.sum() < n // 8 else (u[ok], v[ok], alike[ok])
+
+
+def near_links(p, m, x, cut: int | None, radius: int, similarity: float):
+    """Links of a spanning forest, most similar first, over nodes with prints, sizes and sketches: between
+    those before the cut and those after it, or all of them without a cut."""
+    n = len(p)
+    first, second = (np.arange(n),) * 2 if cut is None else (np.arange(cut), np.arange(cut, n))
+    star = _large_group(p, m, x, radius, similarity)
+    if star is None:
+        parts = [_near(p, m, x, first, second, radius, similarity, cut is None)]
+    else:
+        inside = np.zeros(n, bool)
+        inside[star[0][0]] = inside[star[1]] = True
+        rest = second[~inside[second]]
+        parts = [star, _near(p, m, x, first[inside[first]], rest, radius, similarity, False)]
+        others = first[~inside[first]]
+        parts.append(_near(p, m, x, others, rest if cut is None else second, radius, similarity, cut is None))
+    i, j, alike = (np.concatenate(c) for c in zip(*parts))
+    kept = spanning_forest(i, j, -alike, n)
     # where the estimate leaves a doubt, each text's next best links are verified too
-    sure = d <= -(similarity + SLACK / 2)
-    root = _roots(i[sure], j[sure] + shift, shift + len(q))
-    open_ = np.flatnonzero(root[i] != root[j + shift])
+    sure = alike >= similarity + SLACK / 2
+    root = _roots(i[sure], j[sure], n)
+    open_ = np.flatnonzero(root[i] != root[j])
     for end in (i, j):
-        order = open_[np.lexsort((d[open_], end[open_]))]
+        order = open_[np.lexsort((-alike[open_], end[open_]))]
         own = end[order]
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        kept = np.concatenate([kept, order[rank < TRIES]])
+        kept = np.concatenate([kept, order[np.arange(len(own)) - np.searchsorted(own, own) < TRIES]])
     kept = np.unique(kept)
     return i[kept], j[kept]
 
@@ -296,13 +324,15 @@ def _near_task(radius: int, similarity: float):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                p, m, u, q, n, v = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("prints", "sizes", "nodes", "prints2", "sizes2", "nodes2"))
+                p, m, nodes, q, n, others = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("prints", "sizes", "nodes", "prints2", "sizes2", "nodes2"))
                 x, y = (np.frombuffer(b"".join(row.column(c)[0].as_py()), np.uint8).reshape(-1, SKETCH) for c in ("sketches", "sketches2"))
-                own = row.column("same")[0].as_py()
-                p, q = p.view(np.uint64), q.view(np.uint64)  # bits of signed numbers are counted otherwise
-                i, j = near_links((p, m, x), None if own else (q, n, y), radius, similarity)
+                cut = None
+                if not row.column("same")[0].as_py():
+                    cut = len(p)
+                    p, m, x, nodes = (np.concatenate(c) for c in ((p, q), (m, n), (x, y), (nodes, others)))
+                i, j = near_links(p.view(np.uint64), m, x, cut, radius, similarity)  # bits of signed numbers are counted otherwise
                 if len(i):
-                    yield pa.record_batch({"u": pa.array(u[i]), "v": pa.array((u if own else v)[j])})
+                    yield pa.record_batch({"u": pa.array(nodes[i]), "v": pa.array(nodes[j])})
 
     return run
 

@@ -175,6 +175,34 @@ def test_near_texts_by_similarity(spark, docs, rows, none, block):
     assert simhash.keep_one(none, 5, 14, similarity=0.8).count() == 0
 
 
+def test_large_groups_meet_their_leader_only(monkeypatch):
+    """1,500 near copies among 2,000 texts: the same components with the shortcut and without, and few links."""
+    rng = random.Random(13)
+    base = [f"b{rng.randrange(3000)}" for _ in range(400)]
+    texts = []
+    for k in range(2000):
+        words = list(base) if k % 4 else [f"own{k}w{i}" for i in range(60 + k % 300)]
+        words[rng.randrange(len(words))] = f"new{k}"
+        texts.append(" ".join(words))
+        if k % 40 == 0:
+            texts[-1] = texts[-4] + " tail" if k else texts[-1]
+    lists = simhash.shingle_hashes([t.encode() for t in texts], 5, 42)
+    each = [np.unique(np.array(x, np.uint64)) for x in lists]
+    p, m, x = simhash.majority(lists), np.array([len(e) for e in each]), np.array([np.frombuffer(simhash.sketch(e), np.uint8) for e in each])
+    for cut in (None, 900):
+        roots, sizes = [], []
+        for dense in (512, 10**9):
+            monkeypatch.setattr(simhash, "DENSE", dense)
+            i, j = simhash.near_links(p, m, x, cut, 14, 0.8)
+            roots.append(simhash._roots(i, j, len(p)))
+            sizes.append(len(i))
+        if cut is None:
+            assert (roots[0] == roots[1]).all()
+        else:  # links of one side through a leader on the other make no component smaller
+            assert all(len(set(roots[0][roots[1] == r])) == 1 for r in set(roots[1].tolist()))
+        assert max(np.bincount(roots[0])) >= 1500 and max(sizes) < 2 * len(p)
+
+
 def test_spanning_forest_is_minimal():
     rng = np.random.default_rng(5)
     i, j, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
