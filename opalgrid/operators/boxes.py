@@ -207,6 +207,22 @@ def order_lists(listed: DataFrame) -> DataFrame:
     return listed.select(F.col("image_id").cast("long").alias("image_id"), "boxes").mapInArrow(run, ORDERED_BOX)
 
 
+def merge_lists(listed: DataFrame, padding_ratio: float = 0.25) -> DataFrame:
+    """(image_id, n, x, y, w, h, fragments): ``merge_fragments`` of rows (image_id, boxes), in reading order."""
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column("boxes").flatten()
+            ends = np.cumsum(batch.column("boxes").value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            box = list(zip(*(flat.field(c).to_pylist() for c in "xywh")))
+            merged = [merge_fragments(box[lo:hi], padding_ratio) for lo, hi in zip([0, *ends], ends)]
+            owner = [i for i, m in enumerate(merged) for _ in m]
+            table = np.array([(n, *b) for m in merged for n, b in enumerate(m)], np.int32).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(owner, pa.int64())), *(pa.array(c) for c in table.T)], names=["image_id", "n", "x", "y", "w", "h", "fragments"])
+
+    return listed.select(F.col("image_id").cast("long").alias("image_id"), "boxes").mapInArrow(run, "image_id long, n int, x int, y int, w int, h int, fragments int")
+
+
 def label_components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     """Component labels from 1 in row-major order of first pixels; 0 is background."""
     h, w = mask.shape

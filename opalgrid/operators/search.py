@@ -113,6 +113,23 @@ def detect(candidates: DataFrame, labels: DataFrame, confidence: float = 0.25, o
     return D.with_labels(kept, labels)
 
 
+def run_detector(images: DataFrame, detector: Callable[[np.ndarray, float], list[dict]], confidence: float = 0.25) -> DataFrame:
+    """Boxes (image_id, x1, y1, x2, y2, score, class_id, cand) of a detector that takes whole BGR images and
+    gives boxes in their pixels (``backends.Detector``)."""
+    fields = {"x1": pa.float64(), "y1": pa.float64(), "x2": pa.float64(), "y2": pa.float64(), "score": pa.float64(), "class_id": pa.int32()}
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["data"] is None:
+                    continue
+                found = detector(to_bgr(bytes(r["data"]), r["height"], r["width"], r["format"])[0], confidence)
+                columns = {c: pa.array([d[c] for d in found], t) for c, t in fields.items()}
+                yield pa.record_batch({"image_id": pa.array([r["image_id"]] * len(found), pa.string()), **columns, "cand": pa.array(range(len(found)), pa.int32())})
+
+    return images.select("image_id", "height", "width", "format", "data").mapInArrow(run, "image_id string, x1 double, y1 double, x2 double, y2 double, score double, class_id int, cand int")
+
+
 def detections_json(images: DataFrame, detections: DataFrame) -> DataFrame:
     """(image_id, json): each image's boxes by falling score, with centres; ``[]`` without any."""
     number = {c: X.finite(F.col(c)) for c in ("x1", "y1", "x2", "y2", "score")}

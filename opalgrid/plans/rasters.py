@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalgrid.backends import mock_detector
 from opalgrid.functions import pixels as P
 from opalgrid.operators.boxes import label_components
+from opalgrid.operators.decode import with_labels
 from opalgrid.operators.match import find_templates, suppress
 from opalgrid.operators.recognize import adaptive_masks, stretch
-from opalgrid.operators.search import compact_hits
+from opalgrid.operators.search import compact_hits, detections_json, run_detector
 from opalgrid.operators.trace import thin, trace_json
 
 SIDE, TEMPLATES, TEMPLATE_SIDE = 8, 5, 3
@@ -416,17 +418,37 @@ def trace_paths(spark, sf_dir):
     return _arrays(spark, sf_dir).mapInPandas(run, "image_id long, trace string")
 
 
-def template_kernel_multi(spark, sf_dir):
-    """The same search as template_sad_multi by the operator on stored images; without the metric's gray copies."""
+def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The rasters as gray images, and the corners of the first ones as templates."""
     rows = _arrays(spark, sf_dir)
     to_bytes = lambda c: F.unhex(F.array_join(F.transform(c, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     images = rows.select(F.col("image_id").cast("string").alias("image_id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("format"), to_bytes(F.col("gray")).alias("data"))
     corner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TEMPLATE_SIDE - 1)), lambda i: F.slice("gray", i * SIDE + 1, TEMPLATE_SIDE)))
     known = rows.where(F.col("image_id") < TEMPLATES).select(F.col("image_id").cast("int").alias("template_index"), F.lit(TEMPLATE_SIDE).alias("height"), F.lit(TEMPLATE_SIDE).alias("width"), F.lit(1).alias("format"), to_bytes(corner).alias("data"))
-    found = find_templates(images, known, MIN_SCORE)
+    return images, known
+
+
+def template_kernel_multi(spark, sf_dir):
+    """The same search as template_sad_multi by the operator on stored images; without the metric's gray copies."""
+    found = find_templates(*_stored(spark, sf_dir), MIN_SCORE)
     return found.select(F.col("image_id").cast("long").alias("image_id"), "template_index", "y", "x", F.round((1 - F.col("score")) * 765 * TEMPLATE_SIDE**2).cast("int").alias("diff")).withColumn("score", _score())
 
 
+def template_kernel_ncc(spark, sf_dir):
+    """Peaks of the correlation from 0.8 on, after suppression."""
+    found = find_templates(*_stored(spark, sf_dir), 0.8, "ncc")
+    return found.select(F.col("image_id").cast("long").alias("image_id"), "template_index", "y", "x", F.round("score", 6).alias("score"))
+
+
+def detect_mock_json(spark, sf_dir):
+    """The mock detector's boxes, named, as JSON."""
+    images, _ = _stored(spark, sf_dir)
+    boxes = run_detector(images, mock_detector(4), 0.5)
+    boxes = boxes.select("image_id", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "class_id", "cand")
+    named = with_labels(boxes, spark.createDataFrame([(0, "door"), (2, "key")], "class_id int, label string"))
+    return detections_json(images, named).select(F.col("image_id").cast("long").alias("image_id"), "json")
+
+
 def template_text(spark, sf_dir):
     """The hits of template_kernel_multi as compact text, moved by an origin; empty without hits."""
     hits = template_kernel_multi(spark, sf_dir).select("image_id", "template_index", F.lit(0).alias("place"), "x", "y", "diff")
@@ -481,6 +503,8 @@ SQL = {
     "template_sad_best": _SAD + " SELECT image_id, template_index, y, x, diff, 1.0::DOUBLE - diff / 6885.0::DOUBLE AS score FROM sad QUALIFY row_number() OVER (PARTITION BY image_id, template_index ORDER BY diff, y, x) = 1",
     "template_sad_multi": _NMS,
     "template_kernel_multi": _NMS,
+    "detect_mock_json": """WITH d AS (SELECT i, round(8 * (0.2::DOUBLE + i * 0.001::DOUBLE), 6) AS a, round(8 * (0.7::DOUBLE + i * 0.001::DOUBLE), 6) AS b FROM range(4) r(i))
+      SELECT vec_id AS image_id, (SELECT CAST(to_json(list({'x1': a, 'y1': a, 'x2': b, 'y2': b, 'cx': (a + b) * 0.5::DOUBLE, 'cy': (a + b) * 0.5::DOUBLE, 'score': 0.99::DOUBLE, 'class_id': i % 3, 'label': ['door', '1', 'key'][i % 3 + 1]} ORDER BY i)) AS VARCHAR) FROM d) AS json FROM embeddings""",
     "template_text": _NMS.replace("SELECT image_id, template_index, u.y AS y, u.x AS x, u.d AS diff, 1.0::DOUBLE - u.d / 6885.0::DOUBLE AS score", "SELECT image_id, coalesce(t, '') AS points, n FROM (SELECT vec_id AS image_id FROM embeddings) LEFT JOIN (SELECT image_id, count(*) AS n, string_agg(concat_ws(',', template_index, u.x + 100, u.y - 5), '|' ORDER BY template_index, u.d, u.y, u.x) AS t").removesuffix(")") + ") GROUP BY image_id) USING (image_id)",
     "template_stats": _SAD + " SELECT template_index, sum(tv) AS total, 9 * sum(tv * tv) - sum(tv) * sum(tv) AS energy_n FROM tpl GROUP BY template_index",
     "template_ncc_scores": _SAD + """, s AS (SELECT g.image_id, template_index, g.y - dy AS y, g.x - dx AS x, sum(gray) AS sa, sum(tv) AS sb, sum(gray * gray) AS aa, sum(tv * tv) AS bb, sum(gray * tv) AS ab
@@ -507,8 +531,25 @@ SQL = {
       SELECT image_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, avg(gray) AS mean FROM l JOIN f USING (image_id, y, x) GROUP BY image_id, label""",
 }
 
+# correlation as in template_ncc_scores, but 1 for flat sides, which the exact score then rejects
+SQL["template_kernel_ncc"] = "WITH RECURSIVE " + SQL["template_ncc_scores"].removeprefix("WITH ").split("SELECT image_id, template_index, y, x, round(")[0].rstrip() + """,
+  e AS (SELECT *, 9 * aa - sa * sa AS ea, 9 * bb - sb * sb AS eb FROM s),
+  c AS (SELECT image_id, template_index, y, x, CASE WHEN ea > 0 AND eb > 0 THEN CAST(9 * ab - sa * sb AS DOUBLE) / (sqrt(CAST(ea AS DOUBLE)) * sqrt(CAST(eb AS DOUBLE))) ELSE 1.0 END AS v, ea > 0 AND eb > 0 AS real FROM e),
+  f AS (SELECT *, CASE WHEN v < 0.8::DOUBLE - 1e-6 THEN -1.0::DOUBLE ELSE v END AS u FROM c),
+  p AS (SELECT a.image_id, a.template_index, a.y, a.x, a.u, a.v, a.real, max(b.u) AS top, max(CASE WHEN (b.y = a.y AND b.x = a.x - 1) OR (b.x = a.x AND b.y = a.y - 1) THEN CAST(abs(b.u - a.u) <= 1e-7 AS INTEGER) ELSE 0 END) AS again
+    FROM f a JOIN f b ON a.image_id = b.image_id AND a.template_index = b.template_index AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+  h AS (SELECT image_id, template_index, list({'s': CASE WHEN v > 1 - 1e-6 THEN 1.0::DOUBLE ELSE v END, 'y': y, 'x': x} ORDER BY CASE WHEN v > 1 - 1e-6 THEN 1.0::DOUBLE ELSE v END DESC, y, x) AS h
+    FROM p WHERE u >= 0.8::DOUBLE - 1e-6 AND u + 1e-6 >= top AND again = 0 AND real AND v >= 0.8::DOUBLE GROUP BY ALL),
+  kept AS (
+    SELECT image_id, template_index, h, 1 AS i, h[1:1] AS k FROM h
+    UNION ALL
+    SELECT image_id, template_index, h, i + 1, CASE WHEN len(list_filter(k, lambda a: 10 * greatest(0, 3 - abs(a.y - h[i + 1].y)) * greatest(0, 3 - abs(a.x - h[i + 1].x))
+        > 3 * (18 - greatest(0, 3 - abs(a.y - h[i + 1].y)) * greatest(0, 3 - abs(a.x - h[i + 1].x))))) > 0 THEN k ELSE list_append(k, h[i + 1]) END
+    FROM kept WHERE i < len(h))
+  SELECT image_id, template_index, u.y AS y, u.x AS x, round(u.s, 6) AS score FROM (SELECT image_id, template_index, unnest(k) AS u FROM kept WHERE i = len(h))"""
+
 QUERIES = (
     raster_gray, raster_threshold, raster_roi, color_stats, color_find, gray_histogram, otsu_threshold, integral_image, adaptive_mask, foreground_summary, useful_masks, gray_contrast,
-    color_rule_mask, trace_masks, template_sad_scores, template_sad_best, template_sad_multi, template_kernel_multi, template_text, template_stats, template_ncc_scores, local_peaks, color_bias,
+    color_rule_mask, trace_masks, template_sad_scores, template_sad_best, template_sad_multi, template_kernel_multi, template_kernel_ncc, template_text, detect_mock_json, template_stats, template_ncc_scores, local_peaks, color_bias,
     connected_components, component_stats, thin_skeleton, trace_paths,
 )

@@ -265,11 +265,18 @@ def point_budget(spark, sf_dir, limit: int = 12):
     return rows.select("image_id", "x", "y", "score", F.greatest(F.lit(0), F.least(F.col("n"), limit - before)).alias("points")).where("points > 0")
 
 
-def reading_order(spark, sf_dir):
-    """Distinct boxes, numbered by score and place, in reading order: one gather of each image."""
+def _listed(spark, sf_dir) -> DataFrame:
+    """Distinct boxes of each image, numbered by score and place, from one gather."""
     rows = boxes(spark, sf_dir, False)
-    listed = rows.groupBy("image_id").agg(F.sort_array(F.collect_set(F.struct("score", "x", "y", "w", "h"))).alias("boxes"))
-    return B.order_lists(listed)
+    return rows.groupBy("image_id").agg(F.sort_array(F.collect_set(F.struct("score", "x", "y", "w", "h"))).alias("boxes"))
+
+
+def reading_order(spark, sf_dir):
+    return B.order_lists(_listed(spark, sf_dir))
+
+
+def merged_fragments(spark, sf_dir):
+    return B.merge_lists(_listed(spark, sf_dir))
 
 
 def candidate_fold(spark, sf_dir):
@@ -373,5 +380,5 @@ SQL["detect_labels"] = SQL["detect_decode"].replace("WITH v AS", "WITH dd AS (WI
 
 QUERIES = (
     box_iou_pairs, box_nms, origin_offset, box_unclip, box_remap, box_centers, compact_points, match_json, median_height, latency_percentiles, fragment_runs, fragment_pairs, coverage_gaps,
-    detect_decode, detect_labels, detect_json, ctc_greedy, ctc_beam, find_text_all, find_text_first, find_text_groups, find_text_points, lines_json, target_groups, line_text, point_budget, reading_order, candidate_fold, adaptive_scale, letterbox_geometry,
+    detect_decode, detect_labels, detect_json, ctc_greedy, ctc_beam, find_text_all, find_text_first, find_text_groups, find_text_points, lines_json, target_groups, line_text, point_budget, reading_order, merged_fragments, candidate_fold, adaptive_scale, letterbox_geometry,
 )

@@ -233,6 +233,18 @@ def test_beam_by_enumeration():
         assert tuple(D.beam_search(logits, 16)) == max(total, key=total.get)
 
 
+def test_small_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from opalgrid.functions import pixels as P
+
+    rows = spark.createDataFrame([(0.0, -1.0, 5), (-math.inf, -2.0, 2**31 - 3), (-math.inf, -math.inf, -(2**31))], "a double, b double, v int")
+    got = rows.select(X.log_add(F.col("a"), F.col("b")).alias("s"), P.offset_axis(F.col("v"), 2).alias("up"), P.offset_axis(F.col("v"), -1).alias("down")).collect()
+    assert abs(got[0].s - np.logaddexp(0, -1)) < 1e-12 and [r.s for r in got[1:]] == [-2.0, -math.inf]
+    assert [(r.up, r.down) for r in got] == [(7, 4), (2**31 - 1, 2**31 - 4), (2 - 2**31, None)]
+    assert X.truncate_utf8("aé你", 3) == "aé" and X.truncate_utf8("aé你", 2) == "a" and X.truncate_utf8("你" * 400) == "你" * 170
+
+
 def test_status_and_workers(tmp_path):
     good, bad = RuntimeStatus.choose("cpu", ["cpu"]), RuntimeStatus.choose("directml", ["cpu"])
     assert not good.degraded and bad.degraded and bad.active == "cpu" and '"requested":"directml"' in bad.to_json()

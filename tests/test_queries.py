@@ -48,6 +48,21 @@ def checked_reading_order(found, duck):
     assert {tuple(r[c] for c in ("image_id", "line_no", "pos", "detection_index", "x", "y", "w", "h")) for r in found} == want and len(found) == len(want)
 
 
+def checked_merged_fragments(found, duck):
+    """Runs of boxes joined per line: areas are covered, counts add up."""
+    got = {}
+    for r in found:
+        got.setdefault(r.image_id, []).append((r.n, r.x, r.y, r.w, r.h, r.fragments))
+    sql = f"{regions.BOX} SELECT image_id, list((score, x, y, w, h) ORDER BY score, x, y, w, h) FROM bx GROUP BY image_id"
+    for image, rows in duck.execute(sql).fetchall():
+        box = [tuple(r)[1:] for r in rows]
+        own = sorted(got.pop(image))
+        assert [tuple(o[1:]) for o in own] == B.merge_fragments(box) and sum(o[-1] for o in own) == len(box)
+        for x, y, w, h in box:
+            assert any(a <= x and b <= y and x + w <= a + c and y + h <= b + d for _, a, b, c, d, _ in own)
+    assert not got
+
+
 def checked_candidate_fold(found, duck):
     want = {}
     for conv, rows in duck.execute(f"{regions.LN} SELECT conv_id, list((length(text) % 4, turn, text) ORDER BY length(text) % 4, turn, text) FROM ln GROUP BY conv_id").fetchall():
@@ -87,7 +102,7 @@ def checked_ctc_beam(found, duck):
     assert {r.seq_id: (r.text, r.confidence) for r in found} == want
 
 
-CHECKED = {"reading_order": checked_reading_order, "candidate_fold": checked_candidate_fold, "trace_paths": checked_trace_paths, "ctc_beam": checked_ctc_beam}
+CHECKED = {"reading_order": checked_reading_order, "merged_fragments": checked_merged_fragments, "candidate_fold": checked_candidate_fold, "trace_paths": checked_trace_paths, "ctc_beam": checked_ctc_beam}
 
 
 def test_every_query_is_checked():
