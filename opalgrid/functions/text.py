@@ -26,10 +26,14 @@ def normalize_punctuation(text: Column) -> Column:
 def occurrences(text: Column, target: Column) -> Column:
     """0-based code-point places of all non-overlapping hits, left to right: array<int>."""
     parts = F.split(text, F.concat(F.lit("\\Q"), target, F.lit("\\E")), -1)
-    lengths = F.transform(parts, lambda p: F.length(p))
-    n = F.size(parts) - 1
-    place = lambda k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda a, x: a + x) + (k - 1) * F.length(target)
-    return F.when((n > 0) & (F.length(target) > 0), F.transform(F.sequence(F.lit(1), n), place)).otherwise(F.array().cast("array<int>"))
+    gaps = F.slice(F.transform(parts, lambda p: F.length(p)), F.lit(1), F.size(parts) - 1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
+
+    def step(a, gap):  # one running fold over what lies before each hit
+        hit = a["at"] + gap
+        return F.struct((hit + F.length(target)).alias("at"), F.concat(a["hits"], F.array(hit)).alias("hits"))
+
+    return F.when(F.length(target) > 0, F.aggregate(gaps, start, step, lambda a: a["hits"])).otherwise(F.array().cast("array<int>"))
 
 
 def text_box(box: Column, text: Column, at: Column, n: Column) -> Column:
