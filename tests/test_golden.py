@@ -386,6 +386,22 @@ def test_correlation_against_direct():
     assert abs(masked[3, 4] - M.exact_ncc(image[3:12, 4:11], template, mask)) < 1e-6
 
 
+def test_whole_correlation_is_exact():
+    """Sums of whole numbers, by transform and by loops, against the direct score; flat places are told."""
+    rng = np.random.default_rng(9)
+    for channels, h, w in ((1, 3, 3), (3, 3, 3), (3, 20, 11), (1, 30, 30)):
+        image = rng.integers(0, 256, (64, 48, channels), np.uint8)
+        image[:32, :32] = 7
+        template = image[33 : 33 + h, 12 : 12 + w]
+        score, flat = M.whole_ncc_map(image, template)
+        direct = np.array([[M.exact_ncc(image[y : y + h, x : x + w], template) for x in range(48 - w + 1)] for y in range(64 - h + 1)])
+        assert flat[0, 0] and (score[flat] == 1).all() and (direct[flat] == -1).all()
+        assert np.abs(score - direct)[~flat].max() < 1e-6
+        want = np.array([[int((image[y : y + h, x : x + w, 0].astype(int) * template[:, :, 0]).sum()) for x in range(48 - w + 1)] for y in range(64 - h + 1)])
+        assert (M._products(image[:, :, 0], template[:, :, 0]) == want).all()
+    assert M.whole_ncc_map(image, np.full((4, 4, 1), 9, np.uint8))[1].all()
+
+
 @pytest.mark.parametrize("metric", ["sad", "ncc"])
 def test_placement(metric):
     rng = np.random.default_rng(3)

@@ -125,3 +125,18 @@ def test_query(spark, duck, name):
     assert len(found) == len(wanted)
     for a, b in zip(found, wanted):
         assert all(x == y or isinstance(x, float) and abs(x - float(y)) < 1e-5 or str(x) == str(y) for x, y in zip(a, b)), (a, b)
+
+
+def test_correlation_at_the_limit(spark, duck, tmp_path):
+    """A place whose correlation is 0.8 but for rounding is a hit if it is one for the SQL."""
+    raw = (
+        "818976686a869677868e75748b867a607c8f76a97a868e778e8c7e7a8b739f648b838d7492887b7b8474827a7e5f6ca5757d77816494928d9e7792847a837c67",
+        "7d64827486907677949976788f696dac8d7f5d65836f948a74998688868a7c7573937d5885687a867490696c7c886e716c6f7b88838469836d8178757c868a79",
+    )
+    table = [(i, [(v + 0.5) / 127.5 - 1 for v in bytes.fromhex(x)]) for i, x in enumerate(raw)]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duck.cursor()
+    con.execute(f"create temp view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(SQL["template_kernel_ncc"]).fetchall()
+    assert (1, 0, 0.8) in {(r[0], r[1], r[4]) for r in want}
+    assert sorted(map(tuple, rasters.template_kernel_ncc(spark, str(tmp_path)).collect())) == sorted(want)
