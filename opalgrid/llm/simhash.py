@@ -9,13 +9,17 @@ a spanning forest of its links, never all pairs, and components are found on tha
 
 ``near_duplicates`` links fingerprints within a small radius.  ``keep_one`` can ask for a similarity
 instead: then the radius is wide, tiles hold texts of one class of sizes (a similarity of s allows
-sizes that differ by the factor s at most) and of neighbouring population counts.  A sketch of
-``SKETCH`` bytes estimates the similarity of the pairs within the radius; every link of a pair of
-blocks' spanning forest (most similar first) is then verified by the Jaccard similarity of the two
-sets of shingles, and up to ``TRIES`` more of each text where the estimate is close to the limit.  So
-a group of m texts has a few m links to verify, never all pairs; a link that only closes a ring of
-better ones is not looked at.  A group that holds much of a block is compared with its leader only.  The comparisons grow with the square of the
-number of different texts of a size class, as the method has it.
+sizes that differ by the factor s at most) and of neighbouring population counts.  An odd sketch (one
+parity bit for each bin of shingles) bounds the similarity of the pairs within the radius from above:
+what it rules out is surely too far apart.  Of the pairs left, every link of a pair of blocks' spanning
+forest (most similar first) is verified by the Jaccard similarity of the two sets of shingles, and up
+to ``TRIES`` more of each text where the sketch leaves a doubt.  Where that does not settle every pair,
+because there are more or because a link fails that others were left out for, the two blocks are
+compared again, knowing all components and failed links so far and with more tries, until each pair
+within the radius was verified, was ruled out or lies in one component.  So the components are those of
+all links, and a group of m texts has a few m links to verify, not all pairs.  A group that holds much
+of a block is compared with its leader first.  The comparisons grow with the square of the number of
+different texts of a size class, as the method has it.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of
 fewer words than a shingle have one shingle of all words; rows that share a text share a
@@ -42,7 +46,10 @@ MIN_BLOCK, MAX_BLOCK = 2048, 1 << 16
 # of similarity 0.8 differ in 9.7 bits of 64 on average; NEAR_RADIUS is a trade between those missed
 # and the pairs to verify.
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 14
-SKETCH, SLACK, TRIES, DENSE = 128, 0.2, 4, 512
+# Bytes of a sketch if no other number is asked for, estimates from which on a link is taken for granted
+# until verified (above the similarity), tries in the first round, nodes from which on a group has a leader.
+SKETCH, SLACK, TRIES, DENSE = 128, 0.1, 4, 512
+BLOCK_BYTES = 16 << 20
 LANES, LANE_BITS = 4, 5
 
 
@@ -82,19 +89,37 @@ def majority(lists: list[list[int]]) -> np.ndarray:
     return out
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One byte of the smallest of an ascending set's hashes in each of SKETCH bins; 0 in empty ones."""
-    out = np.zeros(SKETCH, np.uint8)
-    out[(hashes[::-1] % np.uint64(SKETCH)).astype(np.int64)] = (hashes[::-1] >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+def sketch_bytes(n: int) -> int:
+    """A power of two with a bit for each of n shingles, 32 at least."""
+    return max(32, 1 << max(0, n - 1).bit_length() >> 3)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-    """Estimated similarity of rows of sketches."""
-    out = np.zeros(len(a))
+def sketch(hashes: np.ndarray, size: int = SKETCH) -> bytes:
+    """Odd sketch of a set: the parity of the number of its hashes in each of 8 * size bins.
+
+    Hashes that two sets share cancel out, so no more bits of their sketches differ than hashes do."""
+    bins = (hashes % np.uint64(8 * size)).astype(np.int64)
+    return np.packbits(np.bincount(bins, minlength=8 * size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of one size, which divides theirs."""
+    out = np.empty((len(sketches), size), np.uint8)
+    for k, x in enumerate(sketches):
+        out[k] = np.frombuffer(x, np.uint8) if len(x) == size else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+    return out
+
+
+def estimate(a: np.ndarray, b: np.ndarray, total: np.ndarray, similarity: float, step: int = 1 << 16) -> np.ndarray:
+    """Estimated similarity of pairs of sets, from rows of sketches and the sum of their sizes; -1 where
+    the bits that differ rule ``similarity`` out."""
+    out, bits = np.zeros(len(a)), 8 * a.shape[1]
     for lo in range(0, len(a), step):
-        x, y = a[lo : lo + step], b[lo : lo + step]
-        out[lo : lo + step] = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+        x, y = (np.ascontiguousarray(c[lo : lo + step]).view(np.uint64) for c in (a, b))
+        off, n = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), total[lo : lo + step]
+        apart = np.minimum(n, -bits / 2 * np.log1p(-np.minimum(2 * off / bits, 1 - 1e-9)))
+        # sets of n elements in all reach the similarity with (1 - s) / (1 + s) * n unshared ones at most
+        out[lo : lo + step] = np.where(off * (1 + similarity) <= n * (1 - similarity) + 1e-6, (n - apart) / np.maximum(1, n + apart), -1.0)
     return out
 
 
@@ -112,7 +137,7 @@ def _fingerprint_task(shingle: int, seed: int, sets: bool = False):
                 found["n"] = pa.array([len(x) for x in each], pa.int64())
                 for k, name in enumerate(("set_a", "set_b")):
                     found[name] = pa.array(np.array([mix64(x + np.uint64(k)).sum(dtype=np.uint64) for x in each], np.uint64).view(np.int64))
-                found["sketch"] = pa.array([sketch(x) for x in each], pa.binary())
+                found["sketch"] = pa.array([sketch(x, sketch_bytes(len(x))) for x in each], pa.binary())
             yield pa.record_batch(found)
 
     return run
@@ -268,8 +293,8 @@ def _near(p, m, x, i, j, radius: int, similarity: float, same: bool, step: int =
         u, v = i[u + lo], j[v]
         ok = (np.minimum(m[u], m[v]) >= similarity * np.maximum(m[u], m[v])) & ((u < v) if same else True)
         u, v = u[ok], v[ok]
-        alike = np.concatenate([np.empty(0), *(estimate(x[u[k : k + few]], x[v[k : k + few]]) for k in range(0, len(u), few))])
-        ok = alike >= similarity - SLACK
+        alike = np.concatenate([np.empty(0), *(estimate(x[u[k : k + few]], x[v[k : k + few]], m[u[k : k + few]] + m[v[k : k + few]], similarity) for k in range(0, len(u), few))])
+        ok = alike >= 0
         found.append((u[ok], v[ok], alike[ok]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
@@ -286,53 +311,84 @@ def _large_group(p, m, x, radius: int, similarity: float):
     if max(reach) < n // 8:
         return None
     u, v, alike = _near(p, m, x, np.array([leader]), np.arange(n), radius, similarity, False)
-    ok = (alike >= similarity + SLACK / 2) & (u != v)
+    ok = (alike >= similarity + SLACK) & (u != v)
     return None if ok.sum() < n // 8 else (u[ok], v[ok], alike[ok])
 
 
-def near_links(p, m, x, cut: int | None, radius: int, similarity: float):
-    """Links of a spanning forest, most similar first, over nodes with prints, sizes and sketches: between
-    those before the cut and those after it, or all of them without a cut."""
+def near_step(p, m, x, cut: int | None, radius: int, similarity: float, known=None, failed=None, tries: int = TRIES):
+    """(i, j, must): links to verify over nodes with prints, sizes and sketches: between those before the
+    cut and those after it, or all of them without a cut.
+
+    ``known`` is the component of each node by links verified so far, ``failed`` two arrays of links that
+    were not similar.  If all links of ``must`` hold, every pair not returned is too far apart, failed or
+    within a component; if one does not, another step is due."""
     n = len(p)
     first, second = (np.arange(n),) * 2 if cut is None else (np.arange(cut), np.arange(cut, n))
-    star = _large_group(p, m, x, radius, similarity)
-    if star is None:
-        parts = [_near(p, m, x, first, second, radius, similarity, cut is None)]
+    inside, parts = np.zeros(n, bool), []
+    if known is None:
+        own, star = np.arange(n), _large_group(p, m, x, radius, similarity)
+        if star is not None:
+            parts.append(star)
+            inside[star[0][0]] = inside[star[1]] = True
     else:
-        inside = np.zeros(n, bool)
-        inside[star[0][0]] = inside[star[1]] = True
+        _, own, size = np.unique(known, return_inverse=True, return_counts=True)
+        inside = own == np.argmax(size) if n >= DENSE and size.max() >= n // 8 else inside
+    if inside.any():
         rest = second[~inside[second]]
-        parts = [star, _near(p, m, x, first[inside[first]], rest, radius, similarity, False)]
+        parts.append(_near(p, m, x, first[inside[first]], rest, radius, similarity, False))
         others = first[~inside[first]]
         parts.append(_near(p, m, x, others, rest if cut is None else second, radius, similarity, cut is None))
+    else:
+        parts.append(_near(p, m, x, first, second, radius, similarity, cut is None))
     i, j, alike = (np.concatenate(c) for c in zip(*parts))
-    kept = spanning_forest(i, j, -alike, n)
-    # where the estimate leaves a doubt, each text's next best links are verified too
-    sure = alike >= similarity + SLACK / 2
-    root = _roots(i[sure], j[sure], n)
-    open_ = np.flatnonzero(root[i] != root[j])
-    for end in (i, j):
+    if known is not None:
+        low, high = (np.minimum(i, j) * n + np.maximum(i, j), np.minimum(*failed) * n + np.maximum(*failed))
+        ok = (own[i] != own[j]) & ~np.isin(low, high)
+        i, j, alike = i[ok], j[ok], alike[ok]
+    a, b = own[i], own[j]
+    kept = spanning_forest(a, b, -alike, n)
+    # where the estimate leaves a doubt, the next best links of each component are verified too
+    sure = alike >= similarity + SLACK
+    root = _roots(a[sure], b[sure], n)
+    open_ = np.flatnonzero(root[a] != root[b])
+    granted = kept[sure[kept]]
+    for end in (a, b):
         order = open_[np.lexsort((-alike[open_], end[open_]))]
-        own = end[order]
-        kept = np.concatenate([kept, order[np.arange(len(own)) - np.searchsorted(own, own) < TRIES]])
+        place = end[order]
+        kept = np.concatenate([kept, order[np.arange(len(place)) - np.searchsorted(place, place) < tries]])
     kept = np.unique(kept)
-    return i[kept], j[kept]
+    must = np.ones(len(kept), bool) if len(np.setdiff1d(open_, kept)) else np.isin(kept, granted)
+    return i[kept], j[kept], must
 
 
-def _near_task(radius: int, similarity: float):
+def near_links(p, m, x, cut: int | None, radius: int, similarity: float):
+    """The links of a first ``near_step``: they hold a spanning forest of all that may be similar."""
+    return near_step(p, m, x, cut, radius, similarity)[:2]
+
+
+def _near_task(radius: int, similarity: float, tries: int, again: bool):
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                p, m, nodes, q, n, others = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("prints", "sizes", "nodes", "prints2", "sizes2", "nodes2"))
-                x, y = (np.frombuffer(b"".join(row.column(c)[0].as_py()), np.uint8).reshape(-1, SKETCH) for c in ("sketches", "sketches2"))
-                cut = None
+                numbers = lambda *names: [row.column(c).flatten().to_numpy(zero_copy_only=False) for c in names]  # noqa: B023, E731
+                p, m, nodes, q, n, others = numbers("prints", "sizes", "nodes", "prints2", "sizes2", "nodes2")
+                raw, cut = row.column("sketches")[0].as_py(), None
                 if not row.column("same")[0].as_py():
                     cut = len(p)
-                    p, m, x, nodes = (np.concatenate(c) for c in ((p, q), (m, n), (x, y), (nodes, others)))
-                i, j = near_links(p.view(np.uint64), m, x, cut, radius, similarity)  # bits of signed numbers are counted otherwise
+                    p, m, nodes = (np.concatenate(c) for c in ((p, q), (m, n), (nodes, others)))
+                    raw = raw + row.column("sketches2")[0].as_py()
+                x, known, failed = folded(raw, min(map(len, raw))), None, None
+                if again:
+                    known, more, u, v = numbers("roots", "roots2", "failed_u", "failed_v")
+                    known, order = known if cut is None else np.concatenate([known, more]), np.argsort(nodes)
+                    failed = tuple(order[np.searchsorted(nodes, e, sorter=order)] for e in (u, v))
+                # bits of signed numbers are counted otherwise
+                i, j, must = near_step(p.view(np.uint64), m, x, cut, radius, similarity, known, failed, tries)
                 if len(i):
-                    yield pa.record_batch({"u": pa.array(nodes[i]), "v": pa.array(nodes[j])})
+                    u, v = nodes[i], nodes[j]
+                    pair = np.full(len(i), row.column("pair")[0].as_py(), np.int64)
+                    yield pa.record_batch({"pair": pa.array(pair), "u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "must": pa.array(must)})
 
     return run
 
@@ -348,6 +404,8 @@ def _set_task(shingle: int, seed: int):
 
 
 def _verify_task(similarity: float):
+    """Whether each link's two sets reach the similarity."""
+
     def run(batches):
         for batch in batches:
             kept = []
@@ -357,18 +415,19 @@ def _verify_task(similarity: float):
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 kept.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("u", "v")], names=["u", "v"])
+            yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(kept, pa.bool_())], names=["u", "v", "holds"])
 
     return run
 
 
-def _near_pairs(nodes: DataFrame, radius: int, similarity: float, block: int | None) -> DataFrame:
-    """(u, v): links to verify between nodes (node, print, n, sketch)."""
+def _near_blocks(nodes: DataFrame, radius: int, similarity: float, block: int | None) -> tuple[DataFrame, DataFrame]:
+    """Blocks of nodes (node, print, n, sketch), and the numbered pairs of blocks to compare."""
     block = _block(nodes, block)
     # sizes of one class and the next, counts of one bucket and the next: no closer pair lies elsewhere
     kind = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(-np.log(similarity)) + F.lit(1e-9))).otherwise(-9).cast("int")
     filed = nodes.select("*", kind.alias("kind"), (F.bit_count("print") / F.lit(radius + 1)).cast("int").alias("pop"))
-    cuts = filed.groupBy("kind", "pop").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("cuts"))
+    size = F.greatest(F.count("*") / F.lit(block), F.sum(F.octet_length("sketch")) / F.lit(BLOCK_BYTES))
+    cuts = filed.groupBy("kind", "pop").agg(F.ceil(size).cast("int").alias("cuts"))
     blocks = filed.join(F.broadcast(cuts), ["kind", "pop"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     blocks = blocks.groupBy("kind", "pop", "cut").agg(F.collect_list(F.struct("print", "n", "node", "sketch")).alias("rows"))
     blocks = stored(blocks.select("kind", "pop", "cut", F.col("rows.print").alias("prints"), F.col("rows.n").alias("sizes"), F.col("rows.node").alias("nodes"), F.col("rows.sketch").alias("sketches")), "tiles")
@@ -379,13 +438,23 @@ def _near_pairs(nodes: DataFrame, radius: int, similarity: float, block: int | N
     counts = cuts.toDF("kind2", "pop2", "cuts")
     pairs = pairs.join(F.broadcast(counts), ["kind2", "pop2"]).select("kind", "pop", "cut", "kind2", "pop2", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut2"))
     pairs = pairs.where("kind <> kind2 or pop <> pop2 or cut <= cut2")
+    return blocks, stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "block_pairs")
+
+
+def _compared(blocks: DataFrame, pairs: DataFrame, radius: int, similarity: float, tries: int, roots: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """(pair, u, v, must): links to verify of the pairs of blocks, knowing components and failed links."""
+    key, again = ["kind", "pop", "cut"], roots is not None
+    second = ["kind2", "pop2", "cut2", "prints2", "sizes2", "nodes2", "sketches2"]
+    if again:
+        places = blocks.select(*key, F.posexplode("nodes").alias("place", "node")).join(roots, "node", "left")
+        places = places.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("root", "node").alias("root")))).alias("r"))
+        blocks, second = blocks.join(places.select(*key, F.col("r.root").alias("roots")), key), [*second, "roots2"]
+        lists = failed.groupBy("pair").agg(F.collect_list(F.struct("u", "v")).alias("f"))
+        pairs = pairs.join(lists.select("pair", F.col("f.u").alias("failed_u"), F.col("f.v").alias("failed_v")), "pair")
+    both = pairs.join(blocks, key).join(blocks.toDF(*second), second[:3])
     same = F.expr("kind = kind2 and pop = pop2 and cut = cut2").alias("same")
-    second = blocks.toDF("kind2", "pop2", "cut2", "prints2", "sizes2", "nodes2", "sketches2")
-    both = pairs.join(blocks, ["kind", "pop", "cut"]).join(second, ["kind2", "pop2", "cut2"])
-    both = both.select(same, "prints", "sizes", "nodes", "sketches", "prints2", "sizes2", "nodes2", "sketches2")
-    found = stored(both.mapInArrow(_near_task(radius, similarity), "u long, v long"), "near")
-    drop(blocks)
-    return stored(found.distinct(), "pairs")
+    columns = ["prints", "sizes", "nodes", "sketches", *second[3:], *(["roots", "failed_u", "failed_v"] if again else [])]
+    return stored(both.select("pair", same, *columns).mapInArrow(_near_task(radius, similarity, tries, again), "pair long, u long, v long, must boolean"), "near")
 
 
 def _similar(keyed: DataFrame, prints: DataFrame, key, order: Column, shingle: int, radius: int, similarity: float, seed: int, block: int | None) -> DataFrame:
@@ -393,20 +462,38 @@ def _similar(keyed: DataFrame, prints: DataFrame, key, order: Column, shingle: i
     alike = ["print", "n", "set_a", "set_b"]
     nodes = prints.groupBy(*alike).agg(F.min(order).alias("least"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = _near_pairs(nodes.select("node", "print", "n", "sketch"), radius, similarity, block)
-    ends = pairs.select("u").union(pairs.select("v")).distinct().toDF("node")
-    wanted = nodes.join(ends, "node").select("node", *[F.col(f"least.{k}").alias(f"own_{k}") for k in key])
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
-    # a text that stands for its node; rows that repeat it give the same set
-    texts = keyed.join(wanted, same).select("node", "text")
-    sets = stored(texts.mapInArrow(_set_task(shingle, seed), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    first, second = (sets.toDF(x, y) for x, y in (("u", "a"), ("v", "b")))
-    links = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify_task(similarity), "u long, v long")
-    links = stored(links, "verified")
-    drop(sets)
-    roots = components(links)
+    blocks, pairs = _near_blocks(nodes.select("node", "print", "n", "sketch"), radius, similarity, block)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(u, v, holds) of the links."""
+        ends = pairs.select("u").union(pairs.select("v")).distinct().toDF("node")
+        wanted = nodes.join(ends, "node").select("node", *[F.col(f"least.{k}").alias(f"own_{k}") for k in key])
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
+        # a text that stands for its node; rows that repeat it give the same set
+        texts = keyed.join(wanted, same).select("node", "text")
+        sets = stored(texts.mapInArrow(_set_task(shingle, seed), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        first, second = (sets.toDF(x, y) for x, y in (("u", "a"), ("v", "b")))
+        links = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify_task(similarity), "u long, v long, holds boolean")
+        links = stored(links, "verified")
+        drop(sets)
+        return links
+
+    links, failed, roots, tries = None, None, None, TRIES
+    while True:
+        found = _compared(blocks, pairs, radius, similarity, tries, roots, failed)
+        judged = verified(stored(found.select("u", "v").distinct(), "pairs"))
+        held, lost = judged.where("holds").select("u", "v"), found.join(judged.where("not holds"), ["u", "v"])
+        lost = stored(lost.select("pair", "u", "v", "must"), "failed")
+        links = held if links is None else links.union(held)
+        failed = lost if failed is None else failed.union(lost)
+        roots = components(links)
+        again = lost.where("must").select("pair").distinct()
+        if again.isEmpty():
+            break
+        pairs, tries = stored(pairs.join(again, "pair"), "block_pairs"), 8 * tries
+    drop(blocks)
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

@@ -203,6 +203,74 @@ def test_large_groups_meet_their_leader_only(monkeypatch):
         assert max(np.bincount(roots[0])) >= 1500 and max(sizes) < 2 * len(p)
 
 
+def test_no_link_is_dropped_among_many_candidates(spark):
+    """60 texts of similarity 0.79 to each other, each with one partner of 0.81: all links count."""
+    core, table = [f"c{i}" for i in range(400)], []
+    for k in range(60):
+        shared, own = [f"s{k // 2}x{i}" for i in range(6)], [f"o{k}x{i}" for i in range(48)]
+        table.append((k, " ".join(core + shared + own)))
+    hashes = simhash.shingle_hashes([t.encode() for _, t in table], 5, 42)
+    sets, prints = [set(h) for h in hashes], simhash.majority(hashes).tolist()
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 14
+    linked = lambda i, j: near(i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    links = [(i, j) for i in range(60) for j in range(i) if linked(i, j)]
+    assert len(links) > 20 and all(i // 2 == j // 2 for i, j in links) and sum(near(i, j) for i in range(60) for j in range(i)) > 1000
+    kept = simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string").repartition(3), 5, 14, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(60)) - {i for i, _ in links})
+
+
+@pytest.mark.parametrize("dense", [8, 10**9])
+@pytest.mark.parametrize("blind", [True, False])
+def test_steps_end_with_the_components_of_all_links(monkeypatch, dense, blind):
+    """Whatever the sketches say (blind ones call all sets equal), steps go on until each pair is decided."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(17)
+    for cut in (None, 35):
+        base = [rng.integers(0, 2**64, 120, dtype=np.uint64) for _ in range(3)]
+        sets = []
+        for k in range(80):
+            s = base[min(2, k % 4)].copy()
+            s[rng.integers(0, 120, rng.integers(0, 16))] = rng.integers(0, 2**64, dtype=np.uint64)
+            sets.append(np.unique(s))
+        n, m = len(sets), np.array([len(s) for s in sets])
+        p, x = np.zeros(n, np.uint64), np.zeros((n, 32), np.uint8)
+        if not blind:
+            x = np.array([np.frombuffer(simhash.sketch(s, 32), np.uint8) for s in sets])
+        holds = lambda i, j: (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (m[i] + m[j] - c)  # noqa: B023, E731
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (cut is None or i < cut <= j) and holds(i, j)]
+        want = simhash._roots(*np.array(pairs).T, n)
+        good, bad, steps, tries, known = [], [], 0, simhash.TRIES, None
+        while True:
+            i, j, must = simhash.near_step(p, m, x, cut, 14, 0.8, known, tuple(np.array(bad, np.int64).reshape(-1, 2).T), tries)
+            verdict = np.array([holds(a, b) for a, b in zip(i, j)], bool)
+            assert not {tuple(sorted(e)) for e in zip(i.tolist(), j.tolist())} & {tuple(sorted(e)) for e in bad}
+            good += list(zip(i[verdict], j[verdict]))
+            bad += list(zip(i[~verdict].tolist(), j[~verdict].tolist()))
+            known, steps, tries = simhash._roots(*np.array(good).T, n), steps + 1, 8 * tries
+            if not (must & ~verdict).any():
+                break
+        assert steps > 1 or not blind
+        assert len(set(known.tolist())) > 2 and len(set(want.tolist())) > 2
+        if cut is None:
+            assert (known == want).all()
+        else:  # links of one side through a leader on the other make no component smaller
+            assert all(len(set(known[want == r])) == 1 for r in set(want.tolist()))
+
+
+def test_sketches_rule_out_no_link():
+    """Fewer bits differ than hashes do, in any size that sketches are folded to."""
+    rng = np.random.default_rng(23)
+    for n in (1, 5, 40, 400, 3000):
+        for share in (1.0, 0.95, 0.89, 0.5):
+            own = rng.integers(0, 2**64, (3, n), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([own[0][: round(n * share)], own[k][round(n * share) :]])) for k in (1, 2))
+            common, size = len(np.intersect1d(a, b)), simhash.sketch_bytes(n)
+            x, y = (simhash.folded([simhash.sketch(e, 2 * size)], size) for e in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * common and (x == simhash.folded([simhash.sketch(a, size)], size)).all()
+            if common >= 0.8 * (len(a) + len(b) - common):
+                assert simhash.estimate(x, y, np.array([len(a) + len(b)]), 0.8)[0] >= 0
+
+
 def test_spanning_forest_is_minimal():
     rng = np.random.default_rng(5)
     i, j, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
