@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates stays: the one with the smallest doc_id.
 
     Near means a Jaccard similarity of 0.8 or more of the sets of five-word shingles, among texts
-    whose fingerprints lie within a radius that such pairs rarely exceed.  A null doc_id is larger
+    whose fingerprints lie within a radius that such pairs rarely exceed; every such link counts.  A null doc_id is larger
     than any other; ties (one doc_id, unlike texts) go to the smallest hash of the text; of rows that
     agree in both any one stays."""
     return simhash.keep_one(docs, simhash.NEAR_SHINGLE, simhash.NEAR_RADIUS, similarity=simhash.NEAR_SIMILARITY)
