@@ -23,6 +23,7 @@ looked at, but for n_chars.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,26 +78,38 @@ def _maybe(text: Column) -> Column:
     return text.rlike(r"[0-9@=:]|AKIA|ASIA") | reduce(lambda a, b: a | b, (text.contains(t + s) for t in TITLES for s in (" ", ". ")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is taken once, however often ``use`` names it.
+
+    Without this each mention is a copy of the value's whole expression.  Copies within copies would make
+    plans of many thousand expressions, which the driver holds several times over while it plans and logs."""
+    return F.element_at(F.transform(F.array(value), lambda bound: use(bound)), 1)
+
+
 def _label(token: Column) -> Column:
     """The part of a token that names a secret; empty in other tokens."""
     return F.regexp_extract(token, "^" + LABEL, 0)
 
 
-def _value_of(token: Column) -> Column:
-    return F.substring(token, F.length(_label(token)) + 1, F.length(token))
+def _value_of(token: Column, label: Column | None = None) -> Column:
+    return F.substring(token, F.length(_label(token) if label is None else label) + 1, F.length(token))
 
 
 def _type(token: Column) -> Column:
     """The kind of a token that PATTERN has found, from its own form; a secret's value has its own."""
+    return _bound(_label(token), lambda label: _type_after(token, label))
+
+
+def _type_after(token: Column, label: Column) -> Column:
     digits = F.length(F.regexp_replace(token, r"\D", ""))
     only = token.rlike(r"^[\d ()+.-]+$")
     titled = token.rlike(rf"^(?:{'|'.join(TITLES)})\.? [\p{{Lu}}\p{{IsHan}}]")
-    value = _value_of(token)
+    value = _value_of(token, label)
     return (
         F.when(titled, "name")
         .when(value.rlike(rf"^{AWS}$"), "aws")
         .when(value.rlike(rf"^{HEX}$"), "hex")
-        .when(_label(token) != "", "secret")
+        .when(label != "", "secret")
         .when(token.contains("@"), "email")
         .when(only & token.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
         .when(token.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
@@ -125,20 +138,24 @@ def _titled_as(token: Column, titles) -> Column:
 
 def _parts(token: Column) -> Column:
     """A token's entities: array<struct<kind, form>>.  A name gives those before its last and its last."""
-    kind, value = _type(token), _value_of(token)
+    return _bound(_type(token), lambda kind: _parts_of(token, kind))
+
+
+def _parts_of(token: Column, kind: Column) -> Column:
+    """The entities of a token of a kind."""
     gender = F.when(_titled_as(token, MALE), "m").when(_titled_as(token, FEMALE), "f").otherwise("x")
-    pieces = _pieces(token)
 
-    def piece(p, i):
+    def piece(p, i, n):
         script = F.when(p.rlike(r"\p{IsHan}"), "han").when(p.rlike(r"\p{IsCyrillic}"), "cyrillic").when(p.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-        role = F.when(i == F.size(pieces) - 1, "family").otherwise(gender)
+        role = F.when(i == n - 1, "family").otherwise(gender)
         return F.struct(F.concat(role, F.lit(":"), script).alias("kind"), F.lower(p).alias("form"))
 
     digits = F.regexp_replace(token, r"\D", "")
     # a leading 1 before ten digits is the country code of the same number
     number = F.when((kind == "phone") & digits.rlike(r"^1\d{10}$"), F.substring(digits, F.lit(2), F.lit(10))).otherwise(digits)
-    form = F.when(kind.isin(*DIGIT_TYPES), number).when(kind == "iban", F.replace(token, F.lit(" "), F.lit(""))).when(kind.isin("email", "ip6"), F.lower(token)).otherwise(value)
-    return F.when(kind == "name", F.transform(pieces, piece)).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"))))
+    form = F.when(kind.isin(*DIGIT_TYPES), number).when(kind == "iban", F.replace(token, F.lit(" "), F.lit(""))).when(kind.isin("email", "ip6"), F.lower(token)).otherwise(_value_of(token))
+    named = _bound(_pieces(token), lambda pieces: F.transform(pieces, lambda p, i: piece(p, i, F.size(pieces))))
+    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"))))
 
 
 def _stream(key: str, kind: Column, form: Column, turn: Column) -> Column:
@@ -217,30 +234,35 @@ def _name(kind: Column, form: Column, stream: Column, turn: Column) -> Column:
 
 def surrogate(kind: Column, form: Column, turn: Column, key: str = KEY) -> Column:
     """The surrogate of a normal form in a round."""
-    # bound by a lambda, or the digests would be taken again for each character
-    return F.element_at(F.transform(F.array(_stream(key, kind, form, turn)), lambda s: _from_stream(kind, form, turn, s)), 1)
+    # bound, or the digests would be taken again for each character
+    return _bound(_stream(key, kind, form, turn), lambda s: _from_stream(kind, form, turn, s))
 
 
 def _from_stream(kind: Column, form: Column, turn: Column, s: Column) -> Column:
-    digits = _reshape(form, s, F.lit(1))
     country = F.greatest(F.lit(0), F.length(form) - 10)
     octets = F.concat_ws(".", *[(F.pmod(_value(s, F.lit(2 * k + 1)) * 256 + _value(s, F.lit(2 * k + 2)), F.lit(222 if k == 0 else 254)) + 1).cast("string") for k in range(4)])
-    at = F.instr(form, "@")
-    dots = F.substring_index(form, ".", -1)
-    email = F.concat(_reshape(F.substring(form, F.lit(1), F.length(form) - F.length(dots)), s, F.lit(0)), dots)
+    address = (kind == "email") & (F.instr(form, "@") > 0)
+    dots = F.when(address, F.substring_index(form, ".", -1)).otherwise("")
+    keep = F.when(kind == "card", F.lit(1)).when(kind == "phone", country).when(kind.isin("aws", "iban"), F.lit(4)).otherwise(F.lit(0))
+    # one expression for all kinds that only differ in what is kept
+    shape = _bound(keep, lambda kept: _reshape(F.substring(form, F.lit(1), F.length(form) - F.length(dots)), s, kept))
+
+    def shaped(new):
+        return (
+            F.when(kind == "card", _luhn(new))
+            .when(kind == "phone", F.overlay(new, _pick("23456789", _value(s, F.lit(120))), country + 1))
+            .when(kind.isin("ssn", "aws"), new)
+            .when(address, F.concat(new, dots))
+            .when(kind == "iban", _iban(new))
+            # a secret grows in later rounds, as short ones can run out
+            .otherwise(F.concat(new, F.substring(s, F.lit(1), F.greatest(F.lit(0), turn - 7))))
+        )
+
     return (
-        F.when(kind == "card", _luhn(digits))
-        .when(kind == "phone", F.overlay(_reshape(form, s, country), _pick("23456789", _value(s, F.lit(120))), country + 1))
-        .when(kind == "ssn", _reshape(form, s, F.lit(0)))
-        .when(kind == "ip", octets)
-        .when((kind == "email") & (at > 0), email)
-        .when(kind == "aws", _reshape(form, s, F.lit(4)))
-        .when(kind == "hex", _reshape(form, s, F.lit(0), True))
-        .when(kind == "ip6", _reshape(form, s, F.lit(0), True))
-        .when(kind == "iban", _iban(_reshape(form, s, F.lit(4))))
+        F.when(kind == "ip", octets)
+        .when(kind.isin("hex", "ip6"), _reshape(form, s, F.lit(0), True))
         .when(kind.contains(":"), _name(kind, form, s, turn))
-        # a secret grows in later rounds, as short ones can run out
-        .otherwise(F.concat(_reshape(form, s, F.lit(0)), F.substring(s, F.lit(1), F.greatest(F.lit(0), turn - 7))))
+        .otherwise(_bound(shape, shaped))
     )
 
 
@@ -268,12 +290,18 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
 
 def _render(token: Column, names: Column) -> Column:
     """A token with its entities replaced, in its own format."""
-    kind, parts = _type(token), _parts(token)
 
     def of(part):
         return F.element_at(names, F.concat(part["kind"], F.lit("\x1f"), part["form"]))
 
-    plain = of(parts[0])
+    def render(kind):
+        return _bound(_parts_of(token, kind), lambda parts: F.when(kind == "name", _render_name(token, parts, of)).otherwise(_bound(of(parts[0]), lambda plain: _render_plain(token, kind, plain))))
+
+    return _bound(_type(token), render)
+
+
+def _render_plain(token: Column, kind: Column, plain: Column) -> Column:
+    """A token other than a name with its entity's surrogate, in its own format."""
     plain = F.when((kind == "phone") & token.rlike(r"^\D*1(?:\D*\d){10}\D*$"), F.concat(F.lit("1"), plain)).otherwise(plain)
     filled = F.aggregate(
         F.sequence(F.lit(1), F.length(token)),
@@ -284,23 +312,24 @@ def _render(token: Column, names: Column) -> Column:
         ).otherwise(F.struct(F.concat(a["out"], F.substring(token, p, F.lit(1))).alias("out"), a["next"].alias("next"))),
         lambda a: a["out"],
     )
-    pieces = _pieces(token)
+    plain6 = F.when(token.rlike("[A-F]"), F.upper(plain)).otherwise(plain)
+    return F.when(kind.isin(*DIGIT_TYPES, "iban"), filled).when(kind == "ip6", plain6).otherwise(F.concat(_label(token), plain))
+
+
+def _render_name(token: Column, parts: Column, of: Callable[[Column], Column]) -> Column:
+    """A name with the surrogates of its parts, in its own capitals and joints."""
 
-    def written(part, i):
-        new, old = of(part), pieces[i]
+    def in_form(new, old):
         capitals = (F.length(old) > 1) & (F.upper(old) == old) & ~old.rlike(r"\p{IsHan}")
         one = (F.length(old) == 1) & ~old.rlike(r"\p{IsHan}")
         return F.when(one, F.upper(F.substring(new, F.lit(1), F.lit(1)))).when(capitals, F.upper(new)).otherwise(F.initcap(new))
 
+    def written(part, old):
+        return _bound(of(part), lambda new: in_form(new, old))
+
     between = F.split(_names(token), f"{LETTERS}+", -1)
-    names_ = F.array_join(F.zip_with(between, F.transform(parts, written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    plain6 = F.when(token.rlike("[A-F]"), F.upper(plain)).otherwise(plain)
-    return (
-        F.when(kind == "name", F.concat(F.substring_index(token, " ", 1), F.lit(" "), names_))
-        .when(kind.isin(*DIGIT_TYPES, "iban"), filled)
-        .when(kind == "ip6", plain6)
-        .otherwise(F.concat(_label(token), plain))
-    )
+    names_ = F.array_join(F.zip_with(between, F.zip_with(parts, _pieces(token), written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.concat(F.substring_index(token, " ", 1), F.lit(" "), names_)
 
 
 def mask(documents: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:

@@ -675,6 +675,13 @@ def test_surrogates_stay_apart(spark):
     assert len(got) == 200 and len({r.surrogate for r in got}) == 200 and not {r.surrogate for r in got} & {r.form for r in got}
 
 
+def test_pii_plans_stay_small(spark):
+    """The driver holds each plan several times: an expression that is used often must not be copied each time."""
+    docs = spark.createDataFrame([(1, "Mr John Smith, call 555-123-4567")], "doc_id long, text string")
+    for made, chars in ((pii.mask(docs), 30_000), (docs.select(pii._parts(docs["text"])), 15_000)):
+        assert len(made._jdf.queryExecution().optimizedPlan().toString()) < chars
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
